@@ -104,3 +104,9 @@ def bucket(ts, grain: str) -> Column:
     if grain == "day":
         return day_bucket(ts)
     raise ValueError(grain)
+
+
+def fixed(x, digits: int) -> Column:
+    """Decimal text with ``digits`` places (HALF_UP on the stored decimal), for
+    alert descriptions such as ``Z-Score: 3.60``."""
+    return F.round(_c(x).cast("decimal(38,10)"), digits).cast(f"decimal(28,{digits})").cast("string")

@@ -99,8 +99,8 @@ def volume_check(df: DataFrame, time_col: str, baseline: DataFrame, as_of, metri
     return out.withColumn(
         "description",
         F.when(F.col("status") == "evaluated",
-               F.format_string("Volume anomaly detected: %d records (Z-Score: %.2f)",
-                               F.col("current_count"), F.col("z_score").cast("double"))))
+               F.concat(F.lit("Volume anomaly detected: "), F.col("current_count").cast("string"),
+                        F.lit(" records (Z-Score: "), S.fixed("z_score", 2), F.lit(")"))))
 
 
 def freshness_check(df: DataFrame, time_col: str, as_of, table_name: str, by: Sequence[str] = (),
@@ -127,8 +127,8 @@ def freshness_check(df: DataFrame, time_col: str, as_of, table_name: str, by: Se
     return out.withColumn(
         "description",
         F.when(F.col("status") == "evaluated",
-               F.format_string("Data flow stale: %.1f minutes since last record",
-                               F.col("minutes_since_last").cast("double"))))
+               F.concat(F.lit("Data flow stale: "), S.fixed("minutes_since_last", 1),
+                        F.lit(" minutes since last record"))))
 
 
 def score_buckets(series: DataFrame, keys: Sequence[str] = ("metric_name",), baseline: DataFrame | None = None,

@@ -62,3 +62,217 @@ SELECT event_type, metric_name, bucket, value, mean_value, std_deviation, sample
        {_BAND.format(z='z')} AS severity_band
 FROM z
 """
+
+_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
+_HOURLY_BY_TYPE = ("SELECT event_type, 'hourly_ingestion_rate' AS metric_name, date_trunc('hour', ts) AS bucket, "
+                   "CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY event_type, date_trunc('hour', ts)")
+
+_VOLUME_CTE = f"""
+vcur AS (SELECT COUNT(*) AS current_count, MAX(ts) AS latest_timestamp FROM events
+         WHERE ts >= TIMESTAMP '2024-01-30 23:00:00' AND ts <= {_AS_OF}),
+vh AS (SELECT date_trunc('hour', ts) AS b, CAST(COUNT(*) AS DOUBLE) AS v FROM events WHERE {_EVENTS_24H} GROUP BY 1),
+vbase AS (SELECT CAST(AVG(v) AS DECIMAL(15,4)) AS baseline_mean,
+                 CAST(COALESCE(STDDEV_SAMP(v), 0.0) AS DECIMAL(15,4)) AS baseline_std,
+                 CAST(COUNT(*) AS INTEGER) AS sample_size FROM vh HAVING COUNT(*) > 0),
+vj AS (SELECT vcur.*, vbase.*, {_Z.format(v='vcur.current_count', m='vbase.baseline_mean', sd='vbase.baseline_std')} AS z,
+              vbase.baseline_mean IS NOT NULL AND vcur.current_count > 0 AS evaluated
+       FROM vcur LEFT JOIN vbase ON TRUE),
+vol AS (SELECT 'events' AS source_table, 'hourly_ingestion_rate' AS metric_name, current_count, latest_timestamp,
+        baseline_mean, baseline_std, sample_size,
+        CASE WHEN evaluated THEN CAST(abs(z) AS DECIMAL(10,4)) END AS z_score,
+        CASE WHEN evaluated THEN CAST(z AS DECIMAL(10,4)) END AS signed_z,
+        CAST(CAST(baseline_mean AS DOUBLE) + 3.0 * CAST(baseline_std AS DOUBLE) AS DECIMAL(15,4)) AS threshold_value,
+        CAST(CAST(baseline_mean AS DOUBLE) - 3.0 * CAST(baseline_std AS DOUBLE) AS DECIMAL(15,4)) AS expected_low,
+        CAST(CAST(baseline_mean AS DOUBLE) + 3.0 * CAST(baseline_std AS DOUBLE) AS DECIMAL(15,4)) AS expected_high,
+        CASE WHEN evaluated THEN CAST(CASE WHEN CAST(baseline_mean AS DOUBLE) = 0 THEN NULL
+             ELSE (1.0 - CAST(current_count AS DOUBLE) / CAST(baseline_mean AS DOUBLE)) * 100.0 END AS DECIMAL(15,4)) END
+             AS drop_pct,
+        evaluated AND COALESCE(abs(z) > 3.0, false) AS is_anomaly,
+        CASE WHEN evaluated THEN {_BAND.format(z='z')} END AS severity_band,
+        CASE WHEN baseline_mean IS NULL THEN 'skipped_no_baseline' WHEN NOT evaluated THEN 'skipped_no_data'
+             ELSE 'evaluated' END AS status
+        FROM vj)
+"""
+
+_FRESH_CTE = f"""
+fl AS (SELECT event_type, MAX(ts) AS latest_timestamp FROM events GROUP BY 1),
+fm AS (SELECT *, CAST(date_diff('microsecond', latest_timestamp, {_AS_OF}) AS DOUBLE) / 6.0e7 AS mins FROM fl),
+fresh AS (SELECT event_type, 'events' AS source_table, latest_timestamp, {_AS_OF} AS as_of,
+          CAST(mins AS DECIMAL(15,4)) AS minutes_since_last, CAST(30.0 AS DECIMAL(15,4)) AS threshold_minutes,
+          COALESCE(mins > 30.0, false) AS is_stale, CAST(mins / 30.0 AS DECIMAL(15,4)) AS staleness_factor,
+          CASE WHEN mins IS NULL THEN NULL WHEN mins / 30.0 >= 3.0 THEN 'CRITICAL' WHEN mins / 30.0 >= 1.5 THEN 'HIGH'
+               WHEN mins / 30.0 > 1.0 THEN 'MEDIUM' ELSE 'NONE' END AS impact_level,
+          CASE WHEN latest_timestamp IS NULL THEN 'skipped_no_data' ELSE 'evaluated' END AS status,
+          CASE WHEN latest_timestamp IS NOT NULL THEN 'Data flow stale: '
+               || CAST(CAST(ROUND(CAST(mins AS DECIMAL(15,4)), 1) AS DECIMAL(28,1)) AS VARCHAR)
+               || ' minutes since last record' END AS description
+          FROM fm)
+"""
+
+SQL["volume_check"] = f"""
+WITH {_VOLUME_CTE}
+SELECT *, CASE WHEN status = 'evaluated' THEN 'Volume anomaly detected: ' || CAST(current_count AS VARCHAR)
+       || ' records (Z-Score: ' || CAST(CAST(ROUND(z_score, 2) AS DECIMAL(28,2)) AS VARCHAR) || ')' END AS description
+FROM vol
+"""
+
+SQL["freshness_check"] = f"WITH {_FRESH_CTE} SELECT * FROM fresh"
+
+_CHECKS = f"""
+WITH {_VOLUME_CTE}, {_FRESH_CTE},
+checks AS (
+  SELECT 'volume' AS check_type, source_table, metric_name AS check_key, CAST(current_count AS DOUBLE) AS metric_value,
+         CAST(threshold_value AS DOUBLE) AS threshold_value, CAST(z_score AS DOUBLE) AS z_score, is_anomaly, status
+  FROM vol
+  UNION ALL
+  SELECT 'freshness', source_table, CAST(event_type AS VARCHAR), CAST(minutes_since_last AS DOUBLE),
+         CAST(threshold_minutes AS DOUBLE), CAST(NULL AS DOUBLE), is_stale, status
+  FROM fresh)
+"""
+
+SQL["detection_checks"] = _CHECKS + " SELECT * FROM checks"
+
+SQL["detection_summary"] = _CHECKS + """
+SELECT CAST(SUM(CASE WHEN check_type = 'volume' AND is_anomaly THEN 1 ELSE 0 END) AS INTEGER) AS volume_anomalies,
+       CAST(SUM(CASE WHEN check_type = 'freshness' AND is_anomaly THEN 1 ELSE 0 END) AS INTEGER) AS freshness_anomalies,
+       CAST(SUM(CAST(is_anomaly AS INTEGER)) AS INTEGER) AS total_anomalies,
+       CAST(SUM(CASE WHEN status = 'evaluated' THEN 1 ELSE 0 END) AS INTEGER) AS checks_evaluated,
+       CAST(SUM(CASE WHEN status <> 'evaluated' THEN 1 ELSE 0 END) AS INTEGER) AS checks_skipped
+FROM checks
+"""
+
+SQL["deviation_table"] = f"""
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS bucket, CAST(COUNT(*) AS DOUBLE) AS daily_orders,
+                  CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS daily_revenue,
+                  CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*) AS avg_order_value
+           FROM orders WHERE {_ORDERS_30D} GROUP BY 1),
+s AS (UNPIVOT d ON daily_orders, daily_revenue, avg_order_value INTO NAME metric_name VALUE value),
+mx AS (SELECT metric_name, MAX(bucket) AS current_bucket FROM s GROUP BY 1),
+a AS (SELECT s.metric_name, mx.current_bucket,
+             MAX(CASE WHEN s.bucket = mx.current_bucket THEN value END) AS cv,
+             CAST(AVG(CASE WHEN s.bucket <> mx.current_bucket THEN value END) AS DECIMAL(15,4)) AS mean_value,
+             CAST(COALESCE(STDDEV_SAMP(CASE WHEN s.bucket <> mx.current_bucket THEN value END),
+                           CASE WHEN COUNT(CASE WHEN s.bucket <> mx.current_bucket THEN value END) > 0 THEN 0.0 END)
+                  AS DECIMAL(15,4)) AS std_deviation,
+             CAST(COUNT(CASE WHEN s.bucket <> mx.current_bucket THEN value END) AS INTEGER) AS sample_size
+      FROM s JOIN mx USING (metric_name) GROUP BY 1, 2),
+z AS (SELECT *, {_Z.format(v='cv', m='mean_value', sd='std_deviation')} AS z FROM a)
+SELECT metric_name, current_bucket, CAST(cv AS DECIMAL(15,4)) AS current_value, mean_value, std_deviation, sample_size,
+       CAST(CAST(mean_value AS DOUBLE) - 3.0 * CAST(std_deviation AS DOUBLE) AS DECIMAL(15,4)) AS expected_low,
+       CAST(CAST(mean_value AS DOUBLE) + 3.0 * CAST(std_deviation AS DOUBLE) AS DECIMAL(15,4)) AS expected_high,
+       CAST(z AS DECIMAL(10,4)) AS signed_z, COALESCE(abs(z) > 3.0, false) AS is_anomaly,
+       {_BAND.format(z='z')} AS severity_band
+FROM z
+"""
+
+SQL["seasonal_baseline"] = """
+WITH s AS (SELECT date_trunc('hour', ts) AS bucket, CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY 1)
+SELECT 'hourly_ingestion_rate' AS metric_name,
+       CASE WHEN dayofweek(bucket) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS day_class,
+       CAST(hour(bucket) AS INTEGER) AS hour_of_day,
+       CAST(AVG(value) AS DECIMAL(15,4)) AS mean_value,
+       CAST(COALESCE(STDDEV_SAMP(value), 0.0) AS DECIMAL(15,4)) AS std_deviation,
+       CAST(COUNT(*) AS INTEGER) AS sample_size
+FROM s GROUP BY 2, 3
+"""
+
+SQL["rolling_baseline"] = f"""
+WITH s AS ({_HOURLY_BY_TYPE}),
+w AS (SELECT *, COUNT(value) OVER win AS n, AVG(value) OVER win AS m, STDDEV_SAMP(value) OVER win AS sd FROM s
+      WINDOW win AS (PARTITION BY event_type, metric_name ORDER BY bucket
+                     RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 HOUR PRECEDING)),
+x AS (SELECT *, CAST(m AS DECIMAL(15,4)) AS trailing_mean,
+             CAST(COALESCE(sd, CASE WHEN n > 0 THEN 0.0 END) AS DECIMAL(15,4)) AS trailing_std FROM w),
+y AS (SELECT *, {_Z.format(v='value', m='trailing_mean', sd='trailing_std')} AS z FROM x)
+SELECT event_type, metric_name, bucket, value, CAST(n AS INTEGER) AS trailing_n, trailing_mean, trailing_std,
+       CAST(z AS DECIMAL(10,4)) AS z_score, COALESCE(abs(z) > 3.0, false) AS is_anomaly
+FROM y
+"""
+
+SQL["outlier_rejected_baseline"] = f"""
+WITH s AS ({_HOURLY_BY_TYPE}),
+b AS (SELECT *, CAST(AVG(value) OVER (PARTITION BY event_type, metric_name) AS DECIMAL(15,4)) AS m1,
+             CAST(COALESCE(STDDEV_SAMP(value) OVER (PARTITION BY event_type, metric_name), 0.0) AS DECIMAL(15,4)) AS s1
+      FROM s),
+z AS (SELECT *, abs({_Z.format(v='value', m='m1', sd='s1')}) AS az FROM b)
+SELECT event_type, metric_name, CAST(COUNT(*) AS INTEGER) AS raw_sample_size,
+       CAST(SUM(CASE WHEN az > 3.0 THEN 1 ELSE 0 END) AS INTEGER) AS rejected,
+       CAST(AVG(CASE WHEN az <= 3.0 THEN value END) AS DECIMAL(15,4)) AS mean_value,
+       CAST(COALESCE(STDDEV_SAMP(CASE WHEN az <= 3.0 THEN value END), 0.0) AS DECIMAL(15,4)) AS std_deviation,
+       CAST(COUNT(CASE WHEN az <= 3.0 THEN 1 END) AS INTEGER) AS sample_size,
+       CASE WHEN COUNT(CASE WHEN az <= 3.0 THEN 1 END) < 10 THEN 'insufficient' ELSE 'ok' END AS baseline_status
+FROM z GROUP BY 1, 2
+"""
+
+SQL["smoothed_baseline"] = f"""
+WITH s AS ({_HOURLY_BY_TYPE}),
+o AS (SELECT event_type, metric_name, CAST(AVG(value) AS DECIMAL(15,4)) AS old_mean,
+             CAST(COALESCE(STDDEV_SAMP(value), 0.0) AS DECIMAL(15,4)) AS old_std
+      FROM s WHERE bucket < TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1, 2),
+n AS (SELECT event_type, metric_name, CAST(AVG(value) AS DECIMAL(15,4)) AS new_mean,
+             CAST(COALESCE(STDDEV_SAMP(value), 0.0) AS DECIMAL(15,4)) AS new_std, CAST(COUNT(*) AS INTEGER) AS sample_size
+      FROM s WHERE bucket >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1, 2)
+SELECT n.event_type, n.metric_name, new_mean, new_std, sample_size, old_mean, old_std,
+       CAST(CASE WHEN old_mean IS NULL THEN CAST(new_mean AS DOUBLE)
+                 ELSE 0.1 * CAST(new_mean AS DOUBLE) + 0.9 * CAST(old_mean AS DOUBLE) END AS DECIMAL(15,4)) AS smoothed_mean
+FROM n LEFT JOIN o USING (event_type, metric_name)
+"""
+
+SQL["interarrival_freshness"] = f"""
+WITH g AS (SELECT event_type, ts, LAG(ts) OVER (PARTITION BY event_type ORDER BY ts) AS prev_ts FROM events),
+gg AS (SELECT event_type, CAST(date_diff('microsecond', prev_ts, ts) AS DOUBLE) / 6.0e7 AS gap
+       FROM g WHERE prev_ts IS NOT NULL),
+st AS (SELECT event_type, COUNT(*) AS n_gaps, CAST(AVG(gap) AS DECIMAL(15,4)) AS mean_gap_minutes,
+              CAST(COALESCE(STDDEV_SAMP(gap), 0.0) AS DECIMAL(15,4)) AS std_gap_minutes,
+              CAST(MAX(gap) AS DECIMAL(15,4)) AS max_gap_minutes FROM gg GROUP BY 1),
+l AS (SELECT event_type, MAX(ts) AS latest_timestamp FROM events GROUP BY 1),
+j AS (SELECT l.event_type, l.latest_timestamp, st.n_gaps, st.mean_gap_minutes, st.std_gap_minutes, st.max_gap_minutes,
+             CAST(date_diff('microsecond', l.latest_timestamp, {_AS_OF}) AS DOUBLE) / 6.0e7 AS cur
+      FROM l LEFT JOIN st USING (event_type)),
+z AS (SELECT *, {_Z.format(v='cur', m='mean_gap_minutes', sd='std_gap_minutes')} AS z FROM j)
+SELECT event_type, latest_timestamp, n_gaps, mean_gap_minutes, std_gap_minutes, max_gap_minutes,
+       CAST(cur AS DECIMAL(15,4)) AS current_gap_minutes, CAST(z AS DECIMAL(10,4)) AS z_score,
+       COALESCE(abs(z) > 3.0, false) AS is_anomaly
+FROM z
+"""
+
+SQL["z_trajectory"] = f"""
+WITH s AS (SELECT event_type, 'daily_row_count' AS metric_name, CAST(ts AS DATE) AS bucket,
+                  CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY event_type, CAST(ts AS DATE)),
+b AS (SELECT *,
+        CAST(AVG(CASE WHEN bucket >= DATE '2024-01-01' AND bucket < DATE '2024-01-08' THEN value END)
+             OVER (PARTITION BY event_type, metric_name) AS DECIMAL(15,4)) AS mean_value,
+        CAST(COALESCE(STDDEV_SAMP(CASE WHEN bucket >= DATE '2024-01-01' AND bucket < DATE '2024-01-08' THEN value END)
+             OVER (PARTITION BY event_type, metric_name), 0.0) AS DECIMAL(15,4)) AS std_deviation
+      FROM s),
+z AS (SELECT *, {_Z.format(v='value', m='mean_value', sd='std_deviation')} AS z FROM b)
+SELECT event_type, metric_name, bucket, value, mean_value, std_deviation, CAST(z AS DECIMAL(10,4)) AS signed_z,
+       COALESCE(abs(z) > 3.0, false) AS is_anomaly, {_BAND.format(z='z')} AS severity_band
+FROM z
+"""
+
+SQL["latest_baseline"] = """
+WITH g1d AS (SELECT CAST(o_orderdate AS DATE) AS b, CAST(COUNT(*) AS DOUBLE) AS v FROM orders
+             WHERE o_orderdate >= TIMESTAMP '2001-06-26 00:00:00' AND o_orderdate < TIMESTAMP '2001-07-26 00:00:00'
+             GROUP BY 1),
+g1h AS (SELECT date_trunc('hour', ts) AS b, CAST(COUNT(*) AS DOUBLE) AS v FROM events
+        WHERE ts >= TIMESTAMP '2024-01-23 00:00:00' AND ts < TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1),
+g2h AS (SELECT date_trunc('hour', ts) AS b, CAST(COUNT(*) AS DOUBLE) AS v FROM events
+        WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1),
+store AS (
+  SELECT 'daily_row_count' AS metric_name, 'batch_analytics_db' AS source_database, 'orders' AS table_name,
+         CAST(AVG(v) AS DECIMAL(15,4)) AS mean_value, CAST(COALESCE(STDDEV_SAMP(v), 0.0) AS DECIMAL(15,4)) AS std_deviation,
+         CAST(COUNT(*) AS INTEGER) AS sample_size, TIMESTAMP '2001-07-26 00:00:00' AS calculation_timestamp FROM g1d
+  UNION ALL
+  SELECT 'hourly_ingestion_rate', 'cdc_history_db', 'events', CAST(AVG(v) AS DECIMAL(15,4)),
+         CAST(COALESCE(STDDEV_SAMP(v), 0.0) AS DECIMAL(15,4)), CAST(COUNT(*) AS INTEGER),
+         TIMESTAMP '2024-01-24 00:00:00' FROM g1h
+  UNION ALL
+  SELECT 'hourly_ingestion_rate', 'cdc_history_db', 'events', CAST(AVG(v) AS DECIMAL(15,4)),
+         CAST(COALESCE(STDDEV_SAMP(v), 0.0) AS DECIMAL(15,4)), CAST(COUNT(*) AS INTEGER),
+         TIMESTAMP '2024-01-31 00:00:00' FROM g2h)
+SELECT metric_name, source_database, table_name, mean_value, std_deviation, sample_size, calculation_timestamp
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY metric_name, source_database, table_name
+                                   ORDER BY calculation_timestamp DESC) AS rn FROM store)
+WHERE rn = 1
+"""

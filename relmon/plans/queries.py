@@ -89,3 +89,141 @@ def bucket_anomalies(spark, sf_dir):
     return D.score_buckets(s, keys=["event_type", "metric_name"]).select(
         "event_type", "metric_name", "bucket", "value", "mean_value", "std_deviation", "sample_size",
         "signed_z", "z_score", "is_anomaly", "severity_band")
+
+
+# ---------------------------------------------------------------- detection
+
+def _events(spark, sf_dir):
+    return load(spark, sf_dir, "events")
+
+
+def _volume(spark, sf_dir):
+    return D.volume_check(_events(spark, sf_dir), "ts", _baselines(spark, sf_dir), EVENTS_AS_OF,
+                          metric_name="hourly_ingestion_rate", table_name="events")
+
+
+def _freshness(spark, sf_dir):
+    return D.freshness_check(_events(spark, sf_dir), "ts", EVENTS_AS_OF, table_name="events", by=["event_type"])
+
+
+@query
+def volume_check(spark, sf_dir):
+    """A-3 / J-1 / DT-1 / F-3 / F-21: the last hour of events against the
+    latest hourly baseline (one row with status)."""
+    ensure_utc(spark)
+    return _volume(spark, sf_dir)
+
+
+@query
+def freshness_check(spark, sf_dir):
+    """A-4 / DT-2 / F-4 / F-20: minutes since the latest event, per event_type."""
+    ensure_utc(spark)
+    return _freshness(spark, sf_dir)
+
+
+@query
+def detection_checks(spark, sf_dir):
+    """DT-4: one row per check (volume + freshness per event_type)."""
+    ensure_utc(spark)
+    return D.detection_checks(_volume(spark, sf_dir), _freshness(spark, sf_dir))
+
+
+@query
+def detection_summary(spark, sf_dir):
+    """A-14: flags and total anomalies of the detection run."""
+    ensure_utc(spark)
+    return D.detection_summary(D.detection_checks(_volume(spark, sf_dir), _freshness(spark, sf_dir)))
+
+
+def _daily_business_series(spark, sf_dir):
+    amt = F.col("o_totalprice").cast("decimal(12,2)")
+    return _daily_orders_series(spark, sf_dir, metrics={
+        "daily_orders": F.count(F.lit(1)),
+        "daily_revenue": F.sum(amt),
+        "avg_order_value": F.sum(amt).cast("double") / F.count(F.lit(1))})
+
+
+@query
+def deviation_table(spark, sf_dir):
+    """J-5 / DT-7: latest day of each business metric vs its earlier days."""
+    ensure_utc(spark)
+    return D.deviation_table(_daily_business_series(spark, sf_dir), keys=["metric_name"])
+
+
+def _hourly_by_type(spark, sf_dir):
+    return P.metric_series(_events(spark, sf_dir), "ts", grain="hour", by=["event_type"],
+                           metrics={"hourly_ingestion_rate": F.count(F.lit(1))})
+
+
+@query
+def seasonal_baseline(spark, sf_dir):
+    """DT-11: weekday/weekend x hour-of-day baselines of hourly ingestion."""
+    ensure_utc(spark)
+    s = P.metric_series(_events(spark, sf_dir), "ts", grain="hour",
+                        metrics={"hourly_ingestion_rate": F.count(F.lit(1))})
+    return P.seasonal_baselines(s, keys=["metric_name"], season="weekpart_hour")
+
+
+@query
+def rolling_baseline(spark, sf_dir):
+    """W-1: trailing 24-hour baseline of every hour x event_type bucket,
+    excluding the bucket itself."""
+    ensure_utc(spark)
+    return P.rolling_baselines(_hourly_by_type(spark, sf_dir), keys=["event_type", "metric_name"],
+                               grain="hour", window=24)
+
+
+@query
+def outlier_rejected_baseline(spark, sf_dir):
+    """DT-10 / DT-8: baseline per event_type after dropping |z| > 3 buckets,
+    with the minimum-sample guard."""
+    ensure_utc(spark)
+    return P.outlier_rejected_baselines(_hourly_by_type(spark, sf_dir), keys=["event_type", "metric_name"])
+
+
+@query
+def smoothed_baseline(spark, sf_dir):
+    """DT-9: alpha=0.1 smoothing of the first-half baseline by the second half."""
+    ensure_utc(spark)
+    s = _hourly_by_type(spark, sf_dir)
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    old = P.baselines(s.filter(F.col("bucket") < cut), keys=["event_type", "metric_name"])
+    new = P.baselines(s.filter(F.col("bucket") >= cut), keys=["event_type", "metric_name"])
+    return P.smoothed_baselines(old, new, keys=["event_type", "metric_name"], alpha=0.1)
+
+
+@query
+def interarrival_freshness(spark, sf_dir):
+    """DT-12: current silence per event_type against its inter-arrival gaps."""
+    ensure_utc(spark)
+    return D.interarrival_freshness(_events(spark, sf_dir), ["event_type"], "ts", EVENTS_AS_OF)
+
+
+@query
+def z_trajectory(spark, sf_dir):
+    """W-2: daily events per type against the fixed baseline of the first week."""
+    ensure_utc(spark)
+    s = P.metric_series(_events(spark, sf_dir), "ts", grain="day", by=["event_type"],
+                        metrics={"daily_row_count": F.count(F.lit(1))})
+    return D.z_trajectory(s, "2024-01-01", "2024-01-08", keys=["event_type", "metric_name"])
+
+
+@query
+def latest_baseline(spark, sf_dir):
+    """T-2 / SNK-1: two profiling generations in one store; the newer run
+    profiled only the events source, so the latest row per key mixes both."""
+    ensure_utc(spark)
+    gen1_daily = P.baselines(
+        P.metric_series(load(spark, sf_dir, "orders"), "o_orderdate", grain="day",
+                        metrics={"daily_row_count": F.count(F.lit(1))},
+                        as_of="2001-07-26 00:00:00", lookback_days=30),
+        as_of="2001-07-26 00:00:00", source_database=BATCH_DB, table_name="orders")
+    gen1_hourly = P.baselines(
+        P.metric_series(_events(spark, sf_dir), "ts", grain="hour",
+                        metrics={"hourly_ingestion_rate": F.count(F.lit(1))},
+                        as_of="2024-01-24 00:00:00", lookback_hours=24),
+        as_of="2024-01-24 00:00:00", source_database=CDC_DB, table_name="events")
+    gen2_hourly = P.baselines(_hourly_events_series(spark, sf_dir), as_of=EVENTS_AS_OF,
+                              source_database=CDC_DB, table_name="events")
+    store = gen1_daily.unionByName(gen1_hourly).unionByName(gen2_hourly)
+    return D.latest_baseline(store)
