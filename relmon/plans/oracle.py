@@ -276,3 +276,159 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY metric_name, source_database, ta
                                    ORDER BY calculation_timestamp DESC) AS rn FROM store)
 WHERE rn = 1
 """
+
+_ALLOWED_STATUS = "['pending', 'completed', 'shipped', 'cancelled', 'refunded']".replace("'", "''")
+_PAT = "^[A-Za-z0-9-_]+$"
+
+# Expected violations of the planted CDC payloads, derived relationally from
+# the same key arithmetic (no JSON involved).
+_CDC_VIOL = f"""
+o AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus,
+             (CAST(round(o_totalprice * 100) AS BIGINT) * 10) // 7 AS milli FROM orders),
+cand AS (
+  SELECT k AS record_id, 0 AS ord, 'order_key' AS field_name, 'MISSING_REQUIRED_FIELD' AS violation_type,
+         'missing' AS constraint_kind, 'missing' AS error_kinds, CAST(NULL AS VARCHAR) AS expected_type,
+         CAST(NULL AS VARCHAR) AS actual_type, 'Required field ''order_key'' is missing' AS error_text
+  FROM o WHERE k % 79 = 0
+  UNION ALL
+  SELECT k, 1, 'order_key', 'TYPE_MISMATCH', 'pattern', 'pattern', 'string', 'str',
+         'Field ''order_key'' value ''ORD ' || CAST(k AS VARCHAR) || ''' does not match pattern ''{_PAT}'''
+  FROM o WHERE k % 79 <> 0 AND k % 71 = 0
+  UNION ALL
+  SELECT k, 1, 'order_key', 'CONSTRAINT_VIOLATION', 'min_length', 'min_length,pattern', 'string', 'str',
+         'Field ''order_key'' length 0 below minimum 1 | Field ''order_key'' value '''' does not match pattern ''{_PAT}'''
+  FROM o WHERE k % 79 <> 0 AND k % 71 <> 0 AND k % 67 = 0
+  UNION ALL
+  SELECT k, 2, 'total_amount', 'TYPE_MISMATCH', 'type', 'type', 'float', 'str',
+         'Field ''total_amount'' type mismatch: expected float, got str'
+  FROM o WHERE k % 97 = 0
+  UNION ALL
+  SELECT k, 2, 'total_amount', 'NULLABILITY_VIOLATION', 'nullability', 'nullability', 'float', 'NoneType',
+         'Field ''total_amount'' is not nullable but value is null'
+  FROM o WHERE k % 97 <> 0 AND k % 89 = 0
+  UNION ALL
+  SELECT k, 3, 'customer_id', 'TYPE_MISMATCH', 'type', 'type', 'integer', 'str',
+         'Field ''customer_id'' type mismatch: expected integer, got str'
+  FROM o WHERE k % 73 = 0
+  UNION ALL
+  SELECT k, 4, 'quantity', 'TYPE_MISMATCH', 'min_value', 'min_value', 'integer', 'int',
+         'Field ''quantity'' value 0 below minimum 1'
+  FROM o WHERE k % 7 = 0
+  UNION ALL
+  SELECT k, 5, 'unit_price', 'TYPE_MISMATCH', 'precision', 'precision', 'float', 'float',
+         'Field ''unit_price'' precision 3 exceeds maximum 2'
+  FROM o WHERE milli % 10 <> 0
+  UNION ALL
+  SELECT k, 6, 'order_status', 'TYPE_MISMATCH', 'allowed_values', 'allowed_values', 'string', 'str',
+         'Field ''order_status'' value ''processing'' not in allowed values: {_ALLOWED_STATUS}'
+  FROM o WHERE o_orderstatus NOT IN ('F', 'O')
+  UNION ALL
+  SELECT k, 10, 'legacy_flag', 'UNEXPECTED_FIELD', 'unexpected', 'unexpected', NULL, NULL,
+         'Unexpected field ''legacy_flag'' not defined in contract'
+  FROM o WHERE k % 83 = 0),
+viol AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY record_id ORDER BY ord) - 1 AS INTEGER) AS violation_pos
+         FROM cand)
+"""
+
+SQL["contract_violations_json"] = f"""
+WITH {_CDC_VIOL}
+SELECT record_id, violation_pos, field_name, violation_type, constraint_kind, error_kinds, expected_type,
+       actual_type, error_text FROM viol
+"""
+
+SQL["contract_summary"] = f"""
+WITH {_CDC_VIOL},
+per AS (SELECT record_id, COUNT(*) AS n,
+               SUM(CASE WHEN violation_type IN ('TYPE_MISMATCH', 'MISSING_REQUIRED_FIELD') THEN 1 ELSE 0 END) AS c
+        FROM viol GROUP BY 1)
+SELECT COUNT(*) AS total_records,
+       CAST(SUM(CASE WHEN per.record_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS valid_records,
+       CAST(SUM(CASE WHEN per.record_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS invalid_records,
+       CAST(COALESCE(SUM(per.n), 0) AS BIGINT) AS total_violations,
+       CAST(COALESCE(SUM(per.c), 0) AS BIGINT) AS critical_violations
+FROM o LEFT JOIN per ON o.k = per.record_id
+"""
+
+SQL["contract_violations_by_type"] = f"""
+WITH {_CDC_VIOL}
+SELECT violation_type, COUNT(*) AS violation_count FROM viol GROUP BY 1
+"""
+
+SQL["contract_valid_records"] = f"""
+WITH {_CDC_VIOL}
+SELECT k AS record_id FROM o WHERE k NOT IN (SELECT record_id FROM viol)
+"""
+
+SQL["contract_quarantine"] = f"""
+WITH {_CDC_VIOL}
+SELECT record_id, CAST(COUNT(*) AS INTEGER) AS violation_count,
+       arg_min(violation_type, violation_pos) AS first_violation_type
+FROM viol GROUP BY 1
+"""
+
+SQL["contract_critical_sample"] = f"""
+WITH {_CDC_VIOL}
+SELECT record_id, violation_pos, field_name, violation_type FROM viol
+WHERE violation_type IN ('TYPE_MISMATCH', 'MISSING_REQUIRED_FIELD')
+ORDER BY record_id, violation_pos LIMIT 5
+"""
+
+SQL["contract_typed_table"] = """
+WITH cand AS (
+  SELECT o_orderkey AS record_id, 1 AS ord, 'o_orderstatus' AS field_name, 'TYPE_MISMATCH' AS violation_type,
+         'allowed_values' AS constraint_kind, 'allowed_values' AS error_kinds, 'string' AS expected_type,
+         'str' AS actual_type,
+         'Field ''o_orderstatus'' value ''' || o_orderstatus || ''' not in allowed values: [''F'', ''O'']' AS error_text
+  FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+  UNION ALL
+  SELECT o_orderkey, 2, 'o_orderpriority',
+         CASE WHEN length(o_orderpriority) > 8 THEN 'CONSTRAINT_VIOLATION' ELSE 'TYPE_MISMATCH' END,
+         CASE WHEN length(o_orderpriority) > 8 THEN 'max_length' ELSE 'pattern' END,
+         concat_ws(',', CASE WHEN length(o_orderpriority) > 8 THEN 'max_length' END,
+                   CASE WHEN NOT regexp_matches(o_orderpriority, '^(?:^[1-5]-[A-Z]+$)') THEN 'pattern' END),
+         'string', 'str',
+         concat_ws(' | ',
+           CASE WHEN length(o_orderpriority) > 8 THEN 'Field ''o_orderpriority'' length '
+                || CAST(length(o_orderpriority) AS VARCHAR) || ' above maximum 8' END,
+           CASE WHEN NOT regexp_matches(o_orderpriority, '^(?:^[1-5]-[A-Z]+$)') THEN 'Field ''o_orderpriority'' value '''
+                || o_orderpriority || ''' does not match pattern ''^[1-5]-[A-Z]+$''' END)
+  FROM orders WHERE length(o_orderpriority) > 8 OR NOT regexp_matches(o_orderpriority, '^(?:^[1-5]-[A-Z]+$)')
+  UNION ALL
+  SELECT o_orderkey, 3, 'o_totalprice', 'TYPE_MISMATCH',
+         CASE WHEN o_totalprice < 1000.0 THEN 'min_value' ELSE 'max_value' END,
+         CASE WHEN o_totalprice < 1000.0 THEN 'min_value' ELSE 'max_value' END, 'float', 'float',
+         'Field ''o_totalprice'' value ' || CAST(o_totalprice AS VARCHAR)
+         || CASE WHEN o_totalprice < 1000.0 THEN ' below minimum 1000.0' ELSE ' above maximum 450000.0' END
+  FROM orders WHERE o_totalprice < 1000.0 OR o_totalprice > 450000.0
+  UNION ALL
+  SELECT o_orderkey, 4, 'o_custkey', 'TYPE_MISMATCH', 'min_value', 'min_value', 'integer', 'int',
+         'Field ''o_custkey'' value ' || CAST(o_custkey AS VARCHAR) || ' below minimum 1'
+  FROM orders WHERE o_custkey < 1)
+SELECT record_id, CAST(ROW_NUMBER() OVER (PARTITION BY record_id ORDER BY ord) - 1 AS INTEGER) AS violation_pos,
+       field_name, violation_type, constraint_kind, error_kinds, expected_type, actual_type, error_text
+FROM cand
+"""
+
+SQL["schema_drift"] = """
+SELECT 'order_key' AS field_name, 'TYPE_MISMATCH' AS violation_type, 'string' AS expected_type, 'int' AS actual_type,
+       COUNT(o_orderkey) AS affected_rows FROM orders
+UNION ALL
+SELECT 'total_amount', 'TYPE_MISMATCH', 'float', 'Decimal', COUNT(o_totalprice) FROM orders
+UNION ALL
+SELECT 'order_priority', 'UNEXPECTED_FIELD', NULL, 'str', COUNT(*) FROM orders
+"""
+
+SQL["newest_sample"] = """
+SELECT event_id, ts, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100
+"""
+
+SQL["union_sources"] = f"""
+WITH {_CDC_VIOL},
+per AS (SELECT record_id, COUNT(*) AS n FROM viol GROUP BY 1)
+SELECT 'database' AS record_source, COUNT(*) AS total_records, CAST(0 AS BIGINT) AS valid_records,
+       COUNT(*) AS total_violations FROM events
+UNION ALL
+SELECT 'json_logs', COUNT(*), CAST(SUM(CASE WHEN per.record_id IS NULL THEN 1 ELSE 0 END) AS BIGINT),
+       CAST(COALESCE(SUM(per.n), 0) AS BIGINT)
+FROM o LEFT JOIN per ON o.k = per.record_id
+"""

@@ -227,3 +227,134 @@ def latest_baseline(spark, sf_dir):
                               source_database=CDC_DB, table_name="events")
     store = gen1_daily.unionByName(gen1_hourly).unionByName(gen2_hourly)
     return D.latest_baseline(store)
+
+
+# ---------------------------------------------------------------- contracts
+
+def _cdc_validated(spark, sf_dir):
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    recs = cdc_payloads(load(spark, sf_dir, "orders"))
+    return C.validate_variant(recs, cdc_contract(), record_col="record", keys_col="record_keys")
+
+
+def _violation_cols(rows):
+    return rows.select("record_id", "violation_pos", "field_name", "violation_type", "constraint_kind",
+                       "error_kinds", "expected_type", "actual_type",
+                       F.array_join("errors", " | ").alias("error_text"))
+
+
+@query
+def contract_violations_json(spark, sf_dir):
+    """CT-1..CT-9 / J-3 / J-4: every order as a CDC JSON payload validated
+    against the CDC contract; one row per violation."""
+    from relmon.operators import contract as C
+    return _violation_cols(C.violation_rows(_cdc_validated(spark, sf_dir), ["record_id"]))
+
+
+@query
+def contract_summary(spark, sf_dir):
+    """A-12 / CT-10: totals of the validation run."""
+    from relmon.operators import contract as C
+    return C.summary(_cdc_validated(spark, sf_dir))
+
+
+@query
+def contract_violations_by_type(spark, sf_dir):
+    """A-12: violations per type."""
+    from relmon.operators import contract as C
+    return C.counts_by_type(_cdc_validated(spark, sf_dir))
+
+
+@query
+def contract_valid_records(spark, sf_dir):
+    """CT-12: records that pass (the clean side of the quarantine split)."""
+    from relmon.operators import contract as C
+    valid, _ = C.split(_cdc_validated(spark, sf_dir))
+    return valid.select("record_id")
+
+
+@query
+def contract_quarantine(spark, sf_dir):
+    """CT-12: quarantined records with their violation count and first type."""
+    from relmon.operators import contract as C
+    _, bad = C.split(_cdc_validated(spark, sf_dir))
+    return bad.select("record_id", F.size("violations").alias("violation_count"),
+                      F.col("violations")[0]["violation_type"].alias("first_violation_type"))
+
+
+@query
+def contract_critical_sample(spark, sf_dir):
+    """T-5 / PF-10: the first five critical violations (top-k report)."""
+    from relmon.operators import contract as C
+    rows = C.violation_rows(_cdc_validated(spark, sf_dir), ["record_id"])
+    return C.critical_violations(rows, ["record_id"], 5).select(
+        "record_id", "violation_pos", "field_name", "violation_type")
+
+
+@query
+def contract_typed_table(spark, sf_dir):
+    """CT-4 / CT-5 / F-8..F-12: the orders table validated column-wise against
+    its own contract (allowed status, priority pattern and length, price range)."""
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import orders_contract
+    orders = load(spark, sf_dir, "orders")
+    val = C.validate_typed(orders, orders_contract())
+    rows = C.violation_rows(val, ["o_orderkey"]).withColumnRenamed("o_orderkey", "record_id")
+    return _violation_cols(rows)
+
+
+def _orders_as_cdc_table(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("order_key"),
+        F.col("o_totalprice").cast("decimal(10,2)").alias("total_amount"),
+        F.col("o_custkey").alias("customer_id"),
+        F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending")
+         .otherwise("processing").alias("order_status"),
+        F.col("o_orderdate").alias("order_date"),
+        F.lit("INSERT").alias("cdc_operation"),
+        F.col("o_orderdate").alias("cdc_timestamp"),
+        F.col("o_orderpriority").alias("order_priority"))
+
+
+@query
+def schema_drift(spark, sf_dir):
+    """CT-11: typed columns that contradict the CDC contract (integer key vs
+    string, DECIMAL vs float, an undeclared column), with affected rows."""
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    return C.schema_drift(_orders_as_cdc_table(spark, sf_dir), cdc_contract())
+
+
+@query
+def newest_sample(spark, sf_dir):
+    """SRC-2 / T-3: the newest 100 CDC rows (top-k by time, key tie-break)."""
+    from relmon.sources.logs import newest
+    e = _events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value")
+    return newest(e, "ts", 100, ["event_id"])
+
+
+@query
+def union_sources(spark, sf_dir):
+    """U-1 / CT-10: DB-path records (events, typed columns turned into
+    records) and JSON-path records (order payloads) validated together."""
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    from relmon.sources.logs import table_records
+    ev = _events(spark, sf_dir).select(
+        F.col("event_id").alias("record_id"),
+        F.concat(F.lit("EVT-"), F.col("event_id").cast("string")).alias("order_key"),
+        F.col("value").alias("total_amount"), F.col("user_id").alias("customer_id"),
+        F.upper("event_type").alias("cdc_operation"), F.col("ts").alias("cdc_timestamp"))
+    db = table_records(ev, ["order_key", "total_amount", "customer_id", "cdc_operation", "cdc_timestamp"],
+                       ["record_id"]).withColumn("record_source", F.lit("database"))
+    js = cdc_payloads(load(spark, sf_dir, "orders")).select(
+        "record_id", "record", "record_keys", F.lit("json_logs").alias("record_source"))
+    val = C.validate_variant(db.unionByName(js), cdc_contract(), record_col="record", keys_col="record_keys")
+    return val.groupBy("record_source").agg(
+        F.count(F.lit(1)).alias("total_records"),
+        F.sum(F.col("is_valid").cast("long")).alias("valid_records"),
+        F.sum(F.size("violations")).cast("long").alias("total_violations"))

@@ -37,3 +37,58 @@ def events_spec(sf_dir: str) -> SourceSpec:
 def orders_spec(sf_dir: str) -> SourceSpec:
     return SourceSpec(name="orders", path=table_path(sf_dir, "orders"), time_column="o_orderdate",
                       database=BATCH_DB)
+
+
+def cdc_payloads(orders: DataFrame) -> DataFrame:
+    """CDC JSON payloads derived from every order, with faults planted by key
+    arithmetic so that each violation kind occurs at every scale:
+
+    * key % 79 == 0: ``order_key`` absent            -> MISSING_REQUIRED_FIELD
+    * key % 71 == 0: ``order_key`` with a blank       -> pattern
+    * key % 67 == 0: ``order_key`` empty              -> length + pattern
+    * key % 97 == 0: ``total_amount`` as text         -> TYPE_MISMATCH
+    * key % 89 == 0: ``total_amount`` null            -> NULLABILITY_VIOLATION
+    * key % 73 == 0: ``customer_id`` as "CUST-n"      -> TYPE_MISMATCH
+    * ``quantity`` = key % 7 (0 is below minimum 1)
+    * ``unit_price`` = price / 7 cut to 3 decimals    -> precision
+    * status P -> "processing" (not an allowed value)
+    * key % 83 == 0: extra ``legacy_flag``            -> UNEXPECTED_FIELD
+
+    Output: record_id (the order key), raw JSON text, parsed record, keys in
+    source order.  Every order yields exactly one record.
+    """
+    from pyspark.sql import functions as F
+    k = F.col("o_orderkey")
+
+    def s(x):
+        return F.concat(F.lit('"'), x, F.lit('"'))
+
+    def kv(name, val):
+        return F.concat(F.lit(f'"{name}":'), val)
+
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    order_key = (F.when(k % 79 == 0, F.lit(None))
+                  .when(k % 71 == 0, kv("order_key", s(F.concat(F.lit("ORD "), k.cast("string")))))
+                  .when(k % 67 == 0, kv("order_key", F.lit('""')))
+                  .otherwise(kv("order_key", s(F.concat(F.lit("ORD-"), k.cast("string"))))))
+    total = (F.when(k % 97 == 0, kv("total_amount", s(price)))
+              .when(k % 89 == 0, kv("total_amount", F.lit("null")))
+              .otherwise(kv("total_amount", price)))
+    cust = (F.when(k % 73 == 0, kv("customer_id", s(F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")))))
+             .otherwise(kv("customer_id", F.col("o_custkey").cast("string"))))
+    qty = kv("quantity", (k % 7).cast("string"))
+    # price / 7 cut to 3 decimals, in integer arithmetic (exact in any engine)
+    milli = F.expr("cast(round(o_totalprice * 100) as bigint) * 10 div 7")
+    unit = kv("unit_price", (milli.cast("decimal(18,0)") / F.lit(1000)).cast("decimal(18,3)").cast("string"))
+    status = kv("order_status", s(F.when(F.col("o_orderstatus") == "F", F.lit("completed"))
+                                  .when(F.col("o_orderstatus") == "O", F.lit("pending"))
+                                  .otherwise(F.lit("processing"))))
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    odate = kv("order_date", s(iso))
+    op = kv("cdc_operation", F.lit('"INSERT"'))
+    cts = kv("cdc_timestamp", s(iso))
+    extra = F.when(k % 83 == 0, kv("legacy_flag", F.lit("true")))
+    raw = F.concat(F.lit("{"), F.concat_ws(",", order_key, total, cust, qty, unit, status, odate, op, cts, extra),
+                   F.lit("}"))
+    return orders.select(k.alias("record_id"), raw.alias("raw")).select(
+        "record_id", "raw", F.parse_json("raw").alias("record"), F.json_object_keys("raw").alias("record_keys"))
