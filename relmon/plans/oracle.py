@@ -432,3 +432,172 @@ SELECT 'json_logs', COUNT(*), CAST(SUM(CASE WHEN per.record_id IS NULL THEN 1 EL
        CAST(COALESCE(SUM(per.n), 0) AS BIGINT)
 FROM o LEFT JOIN per ON o.k = per.record_id
 """
+
+_AL = """
+al AS (SELECT event_id,
+              CASE event_type WHEN 'error' THEN 'VOLUME_ANOMALY' WHEN 'view' THEN 'STALE_DATA_FLOW'
+                              WHEN 'click' THEN 'CONTRACT_VIOLATION' ELSE 'OTHER' END AS alert_type,
+              CASE WHEN value > 300 THEN 'CRITICAL' ELSE 'WARNING' END AS alert_severity,
+              'events' AS source_table, ts AS alert_timestamp, CAST(value AS DECIMAL(15,4)) AS metric_value,
+              CAST(NULL AS VARCHAR) AS contract_name, CAST(NULL AS VARCHAR) AS field_name
+       FROM events WHERE value > 200)
+"""
+_RECENT = ("r AS (SELECT * FROM al WHERE alert_timestamp >= TIMESTAMP '2024-01-30 00:00:00' "
+           "AND alert_timestamp <= TIMESTAMP '2024-01-31 00:00:00')")
+_COUNTS = """COUNT(*) AS alerts_24h,
+       CAST(COALESCE(SUM(CASE WHEN alert_severity = 'CRITICAL' THEN 1 ELSE 0 END), 0) AS BIGINT) AS critical_24h,
+       CAST(COALESCE(SUM(CASE WHEN alert_type = 'VOLUME_ANOMALY' THEN 1 ELSE 0 END), 0) AS BIGINT) AS volume_anomalies,
+       CAST(COALESCE(SUM(CASE WHEN alert_type = 'STALE_DATA_FLOW' THEN 1 ELSE 0 END), 0) AS BIGINT) AS stale_alerts,
+       CAST(COALESCE(SUM(CASE WHEN alert_type = 'CONTRACT_VIOLATION' THEN 1 ELSE 0 END), 0) AS BIGINT)
+         AS contract_violations"""
+
+
+def _scores_sql(src: str) -> str:
+    """Score CTEs over ``src`` (alerts_24h, critical_24h, volume_anomalies,
+    stale_alerts, contract_violations, total_baselines)."""
+    return f"""
+s1 AS (SELECT *, CASE WHEN total_baselines > 0
+                      THEN greatest(0.0, 100.0 - CAST(critical_24h AS DOUBLE) / greatest(total_baselines, 1) * 50.0)
+                      ELSE 50.0 END AS base FROM {src}),
+s2 AS (SELECT *,
+         round_even(CASE WHEN alerts_24h > 10 THEN greatest(0.0, base - least(20.0, CAST(alerts_24h - 10 AS DOUBLE) * 2.0))
+                    ELSE base END, 1) AS platform_score,
+         round_even(CASE WHEN volume_anomalies = 0 THEN 100.0 WHEN volume_anomalies <= 2 THEN 75.0
+                    ELSE greatest(0.0, CAST(100 - volume_anomalies * 20 AS DOUBLE)) END, 1) AS batch_score,
+         CASE WHEN volume_anomalies = 0 THEN 'Healthy' WHEN volume_anomalies <= 2 THEN 'Minor Anomaly'
+              ELSE 'Anomaly' END AS batch_status,
+         round_even(CASE WHEN stale_alerts = 0 THEN 100.0 WHEN stale_alerts <= 1 THEN 80.0
+                    ELSE greatest(0.0, CAST(100 - stale_alerts * 25 AS DOUBLE)) END, 1) AS cdc_score,
+         CASE WHEN stale_alerts = 0 THEN 'Healthy' WHEN stale_alerts <= 1 THEN 'Minor Staleness'
+              ELSE 'Stale' END AS cdc_status,
+         round_even(CASE WHEN contract_violations = 0 THEN 100.0 WHEN contract_violations <= 3 THEN 85.0
+                    ELSE greatest(0.0, CAST(100 - contract_violations * 15 AS DOUBLE)) END, 1) AS contract_score,
+         CASE WHEN contract_violations = 0 THEN 'Compliant' WHEN contract_violations <= 3 THEN 'Minor Violation'
+              ELSE 'Violated' END AS contract_status
+       FROM s1),
+s3 AS (SELECT *,
+         CASE WHEN platform_score >= 90 THEN 'Excellent' WHEN platform_score >= 75 THEN 'Good'
+              WHEN platform_score >= 60 THEN 'Fair' ELSE 'Poor' END AS platform_status,
+         CASE WHEN batch_score >= 90 THEN 'Healthy' WHEN batch_score >= 70 THEN 'Minor Anomaly' ELSE 'Anomaly' END
+           AS batch_band,
+         CASE WHEN cdc_score >= 90 THEN 'Healthy' WHEN cdc_score >= 75 THEN 'Minor Staleness' ELSE 'Stale' END
+           AS cdc_band,
+         CASE WHEN contract_score >= 90 THEN 'Compliant' WHEN contract_score >= 80 THEN 'Minor Violation'
+              ELSE 'Violated' END AS contract_band,
+         CASE WHEN least(platform_score, batch_score, cdc_score, contract_score) < 60 THEN 'CRITICAL'
+              WHEN least(platform_score, batch_score, cdc_score, contract_score) < 75 THEN 'ATTENTION'
+              ELSE 'HEALTHY' END AS overall_status,
+         concat_ws('; ',
+           CASE WHEN platform_score < 75 THEN 'High Priority: Address critical platform reliability issues' END,
+           CASE WHEN batch_score < 75 THEN 'Investigate: Review batch processing volume anomalies' END,
+           CASE WHEN cdc_score < 75 THEN 'Optimize: Investigate CDC data flow staleness' END,
+           CASE WHEN contract_score < 75 THEN 'Enforce: Review and update data contracts' END) AS recs,
+         platform_score >= 75 AS gate_passed
+       FROM s2)
+"""
+
+
+SQL["alerts_dedup"] = f"""
+WITH {_AL},
+k AS (SELECT *, lower(alert_type) || '_' || source_table || '_' || CAST(CAST(alert_timestamp AS DATE) AS VARCHAR)
+                AS dedup_key, CAST(alert_timestamp AS DATE) AS alert_day FROM al),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dedup_key ORDER BY alert_timestamp, event_id) AS rn,
+             COUNT(*) OVER (PARTITION BY dedup_key) AS duplicates FROM k)
+SELECT dedup_key, alert_type, source_table, alert_day, alert_timestamp, alert_severity, event_id, duplicates
+FROM r WHERE rn = 1
+"""
+
+SQL["alert_cooldown"] = f"""
+WITH {_AL},
+g AS (SELECT *, LAG(alert_timestamp) OVER (PARTITION BY alert_type, source_table
+                                           ORDER BY alert_timestamp, event_id) AS prev_ts FROM al),
+m AS (SELECT *, CAST(date_diff('microsecond', prev_ts, alert_timestamp) AS DOUBLE) / 6.0e7 AS gap FROM g)
+SELECT event_id, alert_type, alert_timestamp, prev_ts, CAST(gap AS DECIMAL(15,4)) AS gap_minutes
+FROM m WHERE prev_ts IS NULL OR gap >= 60.0
+"""
+
+SQL["alert_stats"] = f"""
+WITH {_AL}, {_RECENT},
+g AS (SELECT alert_type, alert_severity, COUNT(*) AS alert_count, MAX(alert_timestamp) AS latest_alert
+      FROM r GROUP BY 1, 2)
+SELECT *, CAST(SUM(alert_count) OVER (PARTITION BY alert_type) AS BIGINT) AS type_total FROM g
+"""
+
+SQL["alert_totals"] = f"""
+WITH {_AL}
+SELECT COUNT(*) AS total_alerts, MIN(alert_timestamp) AS earliest_alert, MAX(alert_timestamp) AS latest_alert FROM al
+"""
+
+SQL["severity_distribution"] = f"""
+WITH {_AL}
+SELECT alert_severity, COUNT(*) AS alert_count,
+       CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS share
+FROM al GROUP BY 1
+"""
+
+SQL["detection_status"] = f"""
+WITH {_AL}, {_RECENT}
+SELECT alert_type, COUNT(*) AS alert_count, MAX(alert_timestamp) AS latest_alert FROM r GROUP BY 1
+"""
+
+SQL["profiling_status"] = f"""
+WITH bl AS ({_BASELINES})
+SELECT metric_name, COUNT(*) AS baseline_count, MAX(calculation_timestamp) AS last_calculated FROM bl GROUP BY 1
+"""
+
+SQL["retention"] = f"""
+WITH {_AL}
+SELECT event_id, alert_type, alert_timestamp FROM al WHERE alert_timestamp >= TIMESTAMP '2024-01-17 00:00:00'
+"""
+
+SQL["new_alerts"] = f"""
+WITH {_AL},
+b AS (SELECT * FROM al WHERE alert_timestamp >= TIMESTAMP '2024-01-27 00:00:00'),
+s AS (SELECT * FROM al WHERE alert_timestamp < TIMESTAMP '2024-01-29 00:00:00')
+SELECT alert_type, source_table, alert_timestamp, alert_severity, metric_value FROM b
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.alert_type IS NOT DISTINCT FROM b.alert_type
+                  AND s.source_table IS NOT DISTINCT FROM b.source_table
+                  AND s.contract_name IS NOT DISTINCT FROM b.contract_name
+                  AND s.field_name IS NOT DISTINCT FROM b.field_name
+                  AND s.alert_timestamp IS NOT DISTINCT FROM b.alert_timestamp)
+"""
+
+SQL["scorecard"] = f"""
+WITH {_AL}, {_RECENT}, bl AS ({_BASELINES}),
+a AS (SELECT {_COUNTS} FROM r),
+t AS (SELECT COUNT(*) AS total_alerts, MAX(alert_timestamp) AS latest_alert FROM al),
+b AS (SELECT COUNT(*) AS total_baselines, MAX(calculation_timestamp) AS last_updated FROM bl),
+j AS (SELECT * FROM a CROSS JOIN t CROSS JOIN b),
+{_scores_sql('j')}
+SELECT TIMESTAMP '2024-01-31 00:00:00' AS generated_at, total_baselines, total_alerts, alerts_24h, critical_24h,
+       volume_anomalies, stale_alerts, contract_violations, platform_score, platform_status, batch_score,
+       batch_status, batch_band, cdc_score, cdc_status, cdc_band, contract_score, contract_status, contract_band,
+       overall_status,
+       CASE WHEN recs = '' THEN 'Maintain: Continue current monitoring practices' ELSE recs END AS recommendations,
+       gate_passed, latest_alert, last_updated
+FROM s3
+"""
+
+_HISTORY = f"""
+WITH {_AL}, bl AS ({_BASELINES}),
+a AS (SELECT CAST(alert_timestamp AS DATE) AS score_date, {_COUNTS} FROM al GROUP BY 1),
+b AS (SELECT COUNT(*) AS total_baselines FROM bl),
+j AS (SELECT * FROM a CROSS JOIN b),
+{_scores_sql('j')}
+"""
+
+SQL["scorecard_history"] = _HISTORY + """
+SELECT score_date, alerts_24h, critical_24h, volume_anomalies, stale_alerts, contract_violations, platform_score,
+       batch_score, cdc_score, contract_score, overall_status FROM s3
+"""
+
+SQL["health_trend"] = _HISTORY + """,
+t AS (SELECT score_date, platform_score,
+             CAST(AVG(platform_score) OVER (ORDER BY score_date
+                  RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) AS DECIMAL(15,4)) AS prior_mean
+      FROM s3)
+SELECT score_date, platform_score, prior_mean,
+       CASE WHEN prior_mean IS NULL THEN NULL WHEN platform_score - prior_mean > 1.0 THEN 'improving'
+            WHEN platform_score - prior_mean < -1.0 THEN 'declining' ELSE 'stable' END AS trend
+FROM t
+"""

@@ -358,3 +358,118 @@ def union_sources(spark, sf_dir):
         F.count(F.lit(1)).alias("total_records"),
         F.sum(F.col("is_valid").cast("long")).alias("valid_records"),
         F.sum(F.size("violations")).cast("long").alias("total_violations"))
+
+
+# ---------------------------------------------------------------- alerts and scorecards
+
+def _alerts(spark, sf_dir):
+    from relmon.plans.tables import alert_store
+    return alert_store(_events(spark, sf_dir))
+
+
+@query
+def alerts_dedup(spark, sf_dir):
+    """AL-1 / AL-2 / AL-3: one alert per (type, table, day), the first one kept."""
+    from relmon.operators import alerts as A
+    d = A.dedup_daily(_alerts(spark, sf_dir), order=("alert_timestamp", "event_id"))
+    return d.select("dedup_key", "alert_type", "source_table", "alert_day", "alert_timestamp", "alert_severity",
+                    "event_id", "duplicates")
+
+
+@query
+def alert_cooldown(spark, sf_dir):
+    """W-4: alerts surviving a 60-minute cool-down per (type, table)."""
+    from relmon.operators import alerts as A
+    c = A.cooldown(_alerts(spark, sf_dir), 60, order_cols=["event_id"])
+    return c.select("event_id", "alert_type", "alert_timestamp", "prev_ts", "gap_minutes")
+
+
+@query
+def alert_stats(spark, sf_dir):
+    """A-6 / A-8 / T-4: last-24h alerts by type and severity."""
+    from relmon.operators import scorecard as H
+    return H.alert_stats(_alerts(spark, sf_dir), EVENTS_AS_OF)
+
+
+@query
+def alert_totals(spark, sf_dir):
+    """A-7: all-time alert count, first and last."""
+    from relmon.operators import scorecard as H
+    return H.alert_totals(_alerts(spark, sf_dir))
+
+
+@query
+def severity_distribution(spark, sf_dir):
+    """A-15: alerts by severity with their share."""
+    from relmon.operators import scorecard as H
+    return H.severity_distribution(_alerts(spark, sf_dir))
+
+
+@query
+def detection_status(spark, sf_dir):
+    """A-11: last-24h alerts per type."""
+    from relmon.operators import scorecard as H
+    return H.detection_status(_alerts(spark, sf_dir), EVENTS_AS_OF)
+
+
+@query
+def profiling_status(spark, sf_dir):
+    """A-9 / A-10: baselines per metric with the last calculation time."""
+    from relmon.operators import scorecard as H
+    return H.profiling_status(_baselines(spark, sf_dir))
+
+
+@query
+def retention(spark, sf_dir):
+    """SNK-5: alert rows kept by a 14-day retention."""
+    from relmon.operators import alerts as A
+    return A.retention(_alerts(spark, sf_dir), EVENTS_AS_OF, days=14).select(
+        "event_id", "alert_type", "alert_timestamp")
+
+
+@query
+def new_alerts(spark, sf_dir):
+    """SNK-2 / AL-1: a batch of alerts inserted if absent from the store
+    (null-safe key, batch de-duplicated first)."""
+    from relmon.operators import alerts as A
+    a = _alerts(spark, sf_dir)
+    store = a.filter(F.col("alert_timestamp") < F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"))
+    batch = a.filter(F.col("alert_timestamp") >= F.lit("2024-01-27 00:00:00").cast("timestamp_ntz"))
+    return A.new_alerts(batch.drop("event_id"), store.drop("event_id")).select(
+        "alert_type", "source_table", "alert_timestamp", "alert_severity", "metric_value")
+
+
+def _report_cols(df):
+    return df.select("generated_at", "total_baselines", "total_alerts", "alerts_24h", "critical_24h",
+                     "volume_anomalies", "stale_alerts", "contract_violations", "platform_score", "platform_status",
+                     "batch_score", "batch_status", "batch_band", "cdc_score", "cdc_status", "cdc_band",
+                     "contract_score", "contract_status", "contract_band", "overall_status",
+                     F.array_join("recommendations", "; ").alias("recommendations"), "gate_passed",
+                     "latest_alert", "last_updated")
+
+
+@query
+def scorecard(spark, sf_dir):
+    """HS-1..HS-9 / HS-11: the health report as one row."""
+    from relmon.operators import scorecard as H
+    return _report_cols(H.scorecard(_alerts(spark, sf_dir), _baselines(spark, sf_dir), EVENTS_AS_OF))
+
+
+def _history(spark, sf_dir):
+    from relmon.operators import scorecard as H
+    return H.scorecard_history(_alerts(spark, sf_dir), _baselines(spark, sf_dir))
+
+
+@query
+def scorecard_history(spark, sf_dir):
+    """HS-10: the scores of every day of the alert history."""
+    return _history(spark, sf_dir).select(
+        "score_date", "alerts_24h", "critical_24h", "volume_anomalies", "stale_alerts", "contract_violations",
+        "platform_score", "batch_score", "cdc_score", "contract_score", "overall_status")
+
+
+@query
+def health_trend(spark, sf_dir):
+    """W-3: each day's platform score against the mean of the 7 days before."""
+    from relmon.operators import scorecard as H
+    return H.health_trend(_history(spark, sf_dir)).select("score_date", "platform_score", "prior_mean", "trend")

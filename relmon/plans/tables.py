@@ -92,3 +92,21 @@ def cdc_payloads(orders: DataFrame) -> DataFrame:
                    F.lit("}"))
     return orders.select(k.alias("record_id"), raw.alias("raw")).select(
         "record_id", "raw", F.parse_json("raw").alias("record"), F.json_object_keys("raw").alias("record_keys"))
+
+
+def alert_store(events: DataFrame) -> DataFrame:
+    """An alert history derived from events: every event whose value exceeds
+    200 is an alert; its type follows the event type (error -> volume,
+    view -> staleness, click -> contract, others -> OTHER) and it is
+    CRITICAL above 300, else WARNING.  Keeps ``event_id`` as a tie-break."""
+    from pyspark.sql import functions as F
+
+    from relmon.operators.alerts import ALERT_COLUMNS, _alert_row
+    e = events.filter(F.col("value") > 200)
+    et = F.col("event_type")
+    atype = (F.when(et == "error", "VOLUME_ANOMALY").when(et == "view", "STALE_DATA_FLOW")
+              .when(et == "click", "CONTRACT_VIOLATION").otherwise("OTHER"))
+    sev = F.when(F.col("value") > 300, "CRITICAL").otherwise("WARNING")
+    rows = _alert_row(atype, sev, F.concat(F.lit("event "), F.col("event_id").cast("string")), "events",
+                      F.col("ts"), metric_value=F.col("value"))
+    return e.select(*rows, "event_id").select(*ALERT_COLUMNS, "event_id")
