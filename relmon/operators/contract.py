@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relmon.session import spread_if_narrow
 from relmon.specs import Contract, FieldRule
 
 # Violation labels.
@@ -39,6 +40,7 @@ UNEXPECTED = "UNEXPECTED_FIELD"
 CRITICAL_TYPES = (TYPE_MISMATCH, MISSING)
 
 VIOLATION_TYPE = T.StructType([
+    T.StructField("key_position", T.IntegerType()),   # sort key: order inside the record
     T.StructField("field_name", T.StringType()),
     T.StructField("violation_type", T.StringType()),
     T.StructField("constraint_kind", T.StringType()),
@@ -174,97 +176,114 @@ def _num_text(x) -> str:
     return str(x)
 
 
-def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> Column:
-    """ARRAY<STRUCT<kind, msg>> of the errors of one present field, in the
-    order the rules are checked; empty when the field is fine."""
+_EMPTY_S = F.array().cast("array<string>")
+
+
+def _one(cond: Column, val: Column) -> Column:
+    """[val] when cond holds, else [] (plain CASE + array: no lambda)."""
+    return F.when(cond, F.array(val)).otherwise(_EMPTY_S)
+
+
+def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Column, Column]:
+    """(messages, kinds) of one present field, in the order the rules are
+    checked; both empty when the field is fine.  Built from ``concat`` of
+    conditional one-element arrays so the whole rule set stays in generated
+    code (no higher-order function)."""
     n = rule.name
     exp = rule.type
     t = rule.type_lower
     accepts = _ACCEPTS.get(rule.python_type, (rule.python_type,))
     type_ok = fv.pytype.isin(*accepts)
 
-    def err(kind: str, msg: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), msg.alias("msg"))
-
-    null_errs = F.array(err("nullability", _lit(f"Field '{n}' is not nullable but value is null"))) \
-        if (not rule.nullable and contract.check_null_constraints) else F.array().cast(
-            "array<struct<kind:string,msg:string>>")
-    type_errs = F.array(err("type", F.concat(_lit(f"Field '{n}' type mismatch: expected {exp}, got "), fv.pytype)))
+    if not rule.nullable and contract.check_null_constraints:
+        null_m = F.array(_lit(f"Field '{n}' is not nullable but value is null"))
+        null_k = F.array(F.lit("nullability"))
+    else:
+        null_m = null_k = _EMPTY_S
+    type_m = F.array(F.concat(_lit(f"Field '{n}' type mismatch: expected {exp}, got "), fv.pytype))
+    type_k = F.array(F.lit("type"))
 
     cons = rule.constraints or {}
-    checks: list[Column] = []
+    checks: list[tuple[Column, str, Column]] = []
     if t == "string":
         ln = F.length(fv.text)
         if "min_length" in cons and contract.check_value_constraints:
             m = cons["min_length"]
-            checks.append(F.when(ln < F.lit(m), err("min_length", F.concat(
-                _lit(f"Field '{n}' length "), ln.cast("string"), _lit(f" below minimum {_num_text(m)}")))))
+            checks.append((ln < F.lit(m), "min_length", F.concat(
+                _lit(f"Field '{n}' length "), ln.cast("string"), _lit(f" below minimum {_num_text(m)}"))))
         if "max_length" in cons and contract.check_value_constraints:
             m = cons["max_length"]
-            checks.append(F.when(ln > F.lit(m), err("max_length", F.concat(
-                _lit(f"Field '{n}' length "), ln.cast("string"), _lit(f" above maximum {_num_text(m)}")))))
+            checks.append((ln > F.lit(m), "max_length", F.concat(
+                _lit(f"Field '{n}' length "), ln.cast("string"), _lit(f" above maximum {_num_text(m)}"))))
         if "pattern" in cons and contract.check_pattern_constraints:
             p = str(cons["pattern"])
-            checks.append(F.when(~fv.text.rlike("^(?:" + p + ")"), err("pattern", F.concat(
-                _lit(f"Field '{n}' value '"), fv.text, _lit(f"' does not match pattern '{p}'")))))
+            checks.append((~fv.text.rlike("^(?:" + p + ")"), "pattern", F.concat(
+                _lit(f"Field '{n}' value '"), fv.text, _lit(f"' does not match pattern '{p}'"))))
         if "allowed_values" in cons and contract.check_value_constraints:
             allowed = list(cons["allowed_values"] or [])
             strs = [a for a in allowed if isinstance(a, str)]
             ok = fv.text.isin(*strs) if strs else F.lit(False)
-            checks.append(F.when(~ok, err("allowed_values", F.concat(
-                _lit(f"Field '{n}' value '"), fv.text, _lit(f"' not in allowed values: {allowed!r}")))))
+            checks.append((~ok, "allowed_values", F.concat(
+                _lit(f"Field '{n}' value '"), fv.text, _lit(f"' not in allowed values: {allowed!r}"))))
     elif t in ("integer", "float") and contract.check_value_constraints:
         if "min_value" in cons:
             m = cons["min_value"]
-            checks.append(F.when(fv.number < F.lit(float(m)), err("min_value", F.concat(
-                _lit(f"Field '{n}' value "), fv.repr, _lit(f" below minimum {_num_text(m)}")))))
+            checks.append((fv.number < F.lit(float(m)), "min_value", F.concat(
+                _lit(f"Field '{n}' value "), fv.repr, _lit(f" below minimum {_num_text(m)}"))))
         if "max_value" in cons:
             m = cons["max_value"]
-            checks.append(F.when(fv.number > F.lit(float(m)), err("max_value", F.concat(
-                _lit(f"Field '{n}' value "), fv.repr, _lit(f" above maximum {_num_text(m)}")))))
+            checks.append((fv.number > F.lit(float(m)), "max_value", F.concat(
+                _lit(f"Field '{n}' value "), fv.repr, _lit(f" above maximum {_num_text(m)}"))))
         if "precision" in cons and t == "float":
             p = int(cons["precision"])
             digits = F.length(F.substring_index(fv.repr, ".", -1))
-            checks.append(F.when(digits > F.lit(p), err("precision", F.concat(
-                _lit(f"Field '{n}' precision "), digits.cast("string"), _lit(f" exceeds maximum {p}")))))
-    cons_errs = F.array_compact(F.array(*checks)) if checks else F.array().cast(
-        "array<struct<kind:string,msg:string>>")
-    return (F.when(fv.is_null, null_errs)
-             .when(~type_ok, type_errs)
-             .otherwise(cons_errs))
-
-
-def _violation(rule: FieldRule, errs: Column, fv: FieldView) -> Column:
-    """Violation struct of one field from its (materialised) error array."""
-    msgs = F.transform(errs, lambda e: e["msg"])
+            checks.append((digits > F.lit(p), "precision", F.concat(
+                _lit(f"Field '{n}' precision "), digits.cast("string"), _lit(f" exceeds maximum {p}"))))
+    cons_m = F.concat(*[_one(c, m) for c, _, m in checks]) if checks else _EMPTY_S
+    cons_k = F.concat(*[_one(c, F.lit(k)) for c, k, _ in checks]) if checks else _EMPTY_S
+    msgs = F.when(fv.is_null, null_m).when(~type_ok, type_m).otherwise(cons_m)
+    kinds = F.when(fv.is_null, null_k).when(~type_ok, type_k).otherwise(cons_k)
+    return msgs, kinds
+
+
+_EMPTY_V = F.array().cast(T.ArrayType(VIOLATION_TYPE))
+
+
+def _violation(rule: FieldRule, msgs: Column, kinds: Column, fv: FieldView, pos: Column) -> Column:
+    """[violation] of one field (or []) from its materialised messages/kinds.
+    The label follows the message text: "type mismatch", else "not
+    nullable", else "length", else TYPE_MISMATCH."""
     joined = F.lower(F.array_join(msgs, "\n"))
     vtype = (F.when(joined.contains("type mismatch"), F.lit(TYPE_MISMATCH))
              .when(joined.contains("not nullable"), F.lit(NULLABILITY))
              .when(joined.contains("length"), F.lit(CONSTRAINT))
              .otherwise(F.lit(TYPE_MISMATCH)))
     v = F.struct(
+        pos.cast("int").alias("key_position"),
         F.lit(rule.name).alias("field_name"),
         vtype.alias("violation_type"),
-        errs[0]["kind"].alias("constraint_kind"),
-        F.array_join(F.transform(errs, lambda e: e["kind"]), ",").alias("error_kinds"),
+        F.element_at(kinds, 1).alias("constraint_kind"),
+        F.array_join(kinds, ",").alias("error_kinds"),
         F.lit(rule.type).alias("expected_type"),
         fv.pytype.alias("actual_type"),
         msgs.alias("errors"))
-    return F.when(fv.present & (F.size(errs) > 0), v)
+    return F.when(fv.present & (F.size(msgs) > 0), F.array(v)).otherwise(_EMPTY_V)
 
 
-def _missing(rule: FieldRule, fv: FieldView) -> Column:
+def _missing(rule: FieldRule, fv: FieldView, idx: int) -> Column:
     msg = f"Required field '{rule.name}' is missing"
-    v = F.struct(F.lit(rule.name).alias("field_name"), F.lit(MISSING).alias("violation_type"),
+    v = F.struct(F.lit(-100000 + idx).alias("key_position"),
+                 F.lit(rule.name).alias("field_name"), F.lit(MISSING).alias("violation_type"),
                  F.lit("missing").alias("constraint_kind"), F.lit("missing").alias("error_kinds"),
                  F.lit(None).cast("string").alias("expected_type"), F.lit(None).cast("string").alias("actual_type"),
                  F.array(F.lit(msg)).alias("errors"))
-    return F.when(~fv.present, v)
+    return F.when(~fv.present, F.array(v)).otherwise(_EMPTY_V)
 
 
-def _unexpected(name: Column) -> Column:
+def _unexpected(name: Column, pos: Column) -> Column:
     msg = F.concat(F.lit("Unexpected field '"), name, F.lit("' not defined in contract"))
-    return F.struct(name.alias("field_name"), F.lit(UNEXPECTED).alias("violation_type"),
+    return F.struct(pos.cast("int").alias("key_position"), name.alias("field_name"),
+                    F.lit(UNEXPECTED).alias("violation_type"),
                     F.lit("unexpected").alias("constraint_kind"), F.lit("unexpected").alias("error_kinds"),
                     F.lit(None).cast("string").alias("expected_type"), F.lit(None).cast("string").alias("actual_type"),
                     F.array(msg).alias("errors"))
@@ -298,41 +317,38 @@ def _materialize_views(df: DataFrame, views: dict[str, FieldView], tag: str) ->
     return df, out
 
 
-def _violation_columns(df: DataFrame, contract: Contract, views: dict[str, FieldView], tag: str):
-    """Adds one error-array column and one violation column per field."""
-    names = [f.name for f in contract.fields]
-    errs = {f"_{tag}e{i}": _errors_for(f, views[f.name], contract) for i, f in enumerate(contract.fields)}
+def _violation_columns(df: DataFrame, contract: Contract, views: dict[str, FieldView], tag: str,
+                       keys: Column | None):
+    """Adds message/kind arrays and then a [violation]-or-[] column per field."""
+    fields = list(contract.fields)
+    errs = {}
+    for i, f in enumerate(fields):
+        m, k = _errors_for(f, views[f.name], contract)
+        errs[f"_{tag}m{i}"] = m
+        errs[f"_{tag}g{i}"] = k
     df = df.select("*", *[c.alias(k) for k, c in errs.items()])
-    viols = {f"_{tag}v{i}": _violation(f, F.col(f"_{tag}e{i}"), views[f.name])
-             for i, f in enumerate(contract.fields)}
+    viols = {}
+    for i, f in enumerate(fields):
+        pos = F.array_position(keys, F.lit(f.name)) if keys is not None else F.lit(i + 1)
+        viols[f"_{tag}v{i}"] = _violation(f, F.col(f"_{tag}m{i}"), F.col(f"_{tag}g{i}"), views[f.name], pos)
     df = df.select("*", *[c.alias(k) for k, c in viols.items()])
-    return df, {n: F.col(f"_{tag}v{i}") for i, n in enumerate(names)}
-
-
-_EMPTY_VIOLATIONS = F.array().cast(T.ArrayType(VIOLATION_TYPE))
+    return df, {f.name: F.col(f"_{tag}v{i}") for i, f in enumerate(fields)}
 
 
 def _assemble(df: DataFrame, contract: Contract, views: dict[str, FieldView], viol: dict[str, Column],
               keys: Column | None, tag: str) -> DataFrame:
-    missing = [_missing(f, views[f.name]) for f in contract.required]
-    first = F.array(*missing).cast(T.ArrayType(VIOLATION_TYPE)) if missing else _EMPTY_VIOLATIONS
-    names = [f.name for f in contract.fields]
-    if keys is not None:
-        # walk the record's keys in order: declared -> its violation, else unexpected
-        vm = (F.create_map(*[x for n in names for x in (F.lit(n), viol[n])]) if names
-              else F.create_map().cast(T.MapType(T.StringType(), VIOLATION_TYPE)))
-        df = df.select("*", vm.alias(f"_{tag}vm"))
-        declared = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-
-        def per_key(k):
-            dv = F.element_at(F.col(f"_{tag}vm"), k)
-            if contract.detect_new_fields:
-                return F.when(F.array_contains(declared, k), dv).otherwise(_unexpected(k))
-            return F.when(F.array_contains(declared, k), dv)
-        present = F.transform(keys, per_key)
-    else:
-        present = F.array(*[viol[n] for n in names]) if names else _EMPTY_VIOLATIONS
-    allv = F.array_compact(F.concat(first, present.cast(T.ArrayType(VIOLATION_TYPE))))
+    """violations = missing required fields first (contract order), then the
+    record's own fields in key order: every piece carries its position and
+    one ``sort_array`` puts them in order."""
+    parts = [_missing(f, views[f.name], i) for i, f in enumerate(contract.fields) if f.required]
+    parts += [viol[f.name] for f in contract.fields]
+    if keys is not None and contract.detect_new_fields:
+        declared = F.array(*[F.lit(n) for n in contract.field_names]) if contract.fields else _EMPTY_S
+        extra = F.array_except(keys, declared)
+        # a lambda, but over the undeclared keys only (normally none)
+        parts.append(F.when(F.size(extra) > 0, F.transform(
+            extra, lambda k: _unexpected(k, F.array_position(keys, k)))).otherwise(_EMPTY_V))
+    allv = F.sort_array(F.concat(*parts)) if parts else _EMPTY_V
     return df.withColumn("violations", allv)
 
 
@@ -352,6 +368,18 @@ def _drop_work(df: DataFrame, tag: str) -> DataFrame:
     return out.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in cols]))))
 
 
+def _trim_view(rule: FieldRule, fv: FieldView) -> FieldView:
+    """Only extract the value renderings a field's rules actually use."""
+    cons = rule.constraints or {}
+    t = rule.type_lower
+    text = t == "string" and bool(cons)
+    num = t in ("integer", "float") and any(k in cons for k in ("min_value", "max_value", "precision"))
+    return FieldView(present=fv.present, is_null=fv.is_null, pytype=fv.pytype,
+                     text=fv.text if text else F.lit(None).cast("string"),
+                     number=fv.number if num else F.lit(None).cast("double"),
+                     repr=fv.repr if num else F.lit(None).cast("string"))
+
+
 def validate_variant(df: DataFrame, contract: Contract, record_col: str = "record",
                      keys_col: str | None = None) -> DataFrame:
     """Validate one VARIANT record per row.
@@ -361,16 +389,20 @@ def validate_variant(df: DataFrame, contract: Contract, record_col: str = "recor
     taken from the variant (sorted order).
     """
     tag = "cv"
+    df = spread_if_narrow(df)
     rec = F.col(record_col)
     fields = contract.fields
     stage = df.select("*", *[F.variant_get(rec, _path(f.name), "variant").alias(f"_{tag}x{i}")
                              for i, f in enumerate(fields)])
     stage = stage.select("*", *[F.schema_of_variant(F.col(f"_{tag}x{i}")).alias(f"_{tag}k{i}")
                                 for i in range(len(fields))])
-    raw_views = {f.name: variant_field(F.col(f"_{tag}x{i}"), F.col(f"_{tag}k{i}")) for i, f in enumerate(fields)}
+    raw_views = {f.name: _trim_view(f, variant_field(F.col(f"_{tag}x{i}"), F.col(f"_{tag}k{i}")))
+                 for i, f in enumerate(fields)}
     stage, views = _materialize_views(stage, raw_views, tag)
-    stage, viol = _violation_columns(stage, contract, views, tag)
     keys = F.col(keys_col) if keys_col else F.json_object_keys(F.to_json(rec))
+    stage = stage.withColumn(f"_{tag}keys", keys)
+    keys = F.col(f"_{tag}keys")
+    stage, viol = _violation_columns(stage, contract, views, tag, keys)
     out = _assemble(stage, contract, views, viol, keys, tag)
     return _drop_work(out, tag)
 
@@ -385,6 +417,7 @@ def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "ta
     fields.  ``"row"`` reproduces one violation per row for them as well.
     """
     tag = "ct"
+    df = spread_if_narrow(df)
     views: dict[str, FieldView] = {}
     rules = []
     for f in contract.fields:
@@ -404,13 +437,14 @@ def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "ta
                    check_value_constraints=contract.check_value_constraints,
                    check_pattern_constraints=contract.check_pattern_constraints)
     stage, mviews = _materialize_views(df, views, tag)
-    stage, viol = _violation_columns(stage, sub, mviews, tag)
+    stage, viol = _violation_columns(stage, sub, mviews, tag, None)
     out = _assemble(stage, sub, mviews, viol, None, tag)
     if static_mismatch == "row" and contract.detect_new_fields:
         extra = [c for c in df.columns if contract.get(c) is None]
         if extra:
             out = out.withColumn("violations", F.concat(
-                "violations", F.array(*[_unexpected(F.lit(c)) for c in extra]).cast(T.ArrayType(VIOLATION_TYPE))))
+                "violations", F.array(*[_unexpected(F.lit(c), F.lit(len(sub.fields) + 1 + j))
+                                        for j, c in enumerate(extra)]).cast(T.ArrayType(VIOLATION_TYPE))))
     return _drop_work(out, tag)
 
 
@@ -448,8 +482,9 @@ def schema_drift(df: DataFrame, contract: Contract) -> DataFrame:
 def violation_rows(validated: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """One row per violation (``inline``, row-local: no shuffle), with the
     position of the violation inside its record."""
+    fields = [f.name for f in VIOLATION_TYPE.fields if f.name != "key_position"]
     return validated.select(*id_cols, F.posexplode("violations").alias("violation_pos", "v")).select(
-        *id_cols, "violation_pos", "v.*")
+        *id_cols, "violation_pos", *[F.col("v." + f).alias(f) for f in fields])
 
 
 def summary(validated: DataFrame) -> DataFrame:
@@ -467,7 +502,7 @@ def summary(validated: DataFrame) -> DataFrame:
 def counts_by_type(validated: DataFrame) -> DataFrame:
     """Violations per type.  Each record is reduced map-side first, so a
     record-heavy partition ships one small row per type, not its records."""
-    per = validated.select(F.explode(F.transform("violations", lambda v: v["violation_type"])).alias("violation_type"))
+    per = validated.select(F.explode("violations").alias("v")).select(F.col("v.violation_type").alias("violation_type"))
     return per.groupBy("violation_type").agg(F.count(F.lit(1)).alias("violation_count"))
 
 

@@ -58,6 +58,9 @@ def cdc_payloads(orders: DataFrame) -> DataFrame:
     source order.  Every order yields exactly one record.
     """
     from pyspark.sql import functions as F
+
+    from relmon.session import spread_if_narrow
+    orders = spread_if_narrow(orders)
     k = F.col("o_orderkey")
 
     def s(x):

@@ -69,3 +69,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for staged writes."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def spread_if_narrow(df):
+    """Row-local but CPU-heavy work (contract validation) runs where the scan
+    put the rows.  A large input has many splits and this is a no-op; a
+    small input read from a single row group arrives as ONE partition and
+    would run on one core, so it is round-robin spread over the cluster's
+    default parallelism first (a shuffle of a small input only)."""
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. no RDD access; leave the plan alone
+        return df
+    return df.repartition(target) if n < max(2, target // 2) else df
