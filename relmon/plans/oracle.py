@@ -601,3 +601,20 @@ SELECT score_date, platform_score, prior_mean,
             WHEN platform_score - prior_mean < -1.0 THEN 'declining' ELSE 'stable' END AS trend
 FROM t
 """
+
+SQL["stream_hourly_ingestion"] = """
+SELECT date_trunc('hour', ts) AS bucket, date_trunc('hour', ts) + INTERVAL 1 HOUR AS bucket_end, COUNT(*) AS row_count
+FROM events GROUP BY 1
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR
+"""
+
+SQL["stream_contract_quarantine"] = SQL["contract_quarantine"]
+
+SQL["stream_alert_dedup"] = f"""
+WITH {_AL}
+SELECT DISTINCT lower(alert_type) || '_' || source_table || '_' || CAST(CAST(alert_timestamp AS DATE) AS VARCHAR)
+       AS dedup_key, alert_type, source_table, CAST(alert_timestamp AS DATE) AS alert_day
+FROM al
+"""
+
+SQL["stream_freshness"] = SQL["freshness_check"]

@@ -473,3 +473,62 @@ def health_trend(spark, sf_dir):
     """W-3: each day's platform score against the mean of the 7 days before."""
     from relmon.operators import scorecard as H
     return H.health_trend(_history(spark, sf_dir)).select("score_date", "platform_score", "prior_mean", "trend")
+
+
+# ---------------------------------------------------------------- streaming (ST-1..ST-5)
+
+def _stream_of(spark, sf_dir, table):
+    from relmon.streaming.streams import file_stream
+    schema = load(spark, sf_dir, table).schema
+    return file_stream(spark, sf_dir, f"{table}.parquet", schema)
+
+
+@query
+def stream_hourly_ingestion(spark, sf_dir):
+    """ST-1: hourly ingestion from an events stream with a 1-hour watermark;
+    append mode emits every window the watermark has closed."""
+    ensure_utc(spark)
+    from relmon.streaming.streams import hourly_counts, run_to_table
+    return run_to_table(hourly_counts(_stream_of(spark, sf_dir, "events"), "ts"), "hourly")
+
+
+@query
+def stream_contract_quarantine(spark, sf_dir):
+    """ST-2 / CT-12: the CDC payload contract applied to a stream of orders;
+    the quarantined records (same expressions as the batch validator)."""
+    ensure_utc(spark)
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    from relmon.streaming.streams import run_to_table
+    val = C.validate_variant(cdc_payloads(_stream_of(spark, sf_dir, "orders")), cdc_contract(),
+                             record_col="record", keys_col="record_keys")
+    bad = val.filter(~F.col("is_valid")).select(
+        "record_id", F.size("violations").alias("violation_count"),
+        F.col("violations")[0]["violation_type"].alias("first_violation_type"))
+    return run_to_table(bad, "quarantine")
+
+
+@query
+def stream_alert_dedup(spark, sf_dir):
+    """ST-3 / AL-2: alert de-duplication across micro-batches, keyed by
+    (type, table, day) under a 1-day watermark."""
+    ensure_utc(spark)
+    from relmon.plans.tables import alert_store
+    from relmon.streaming.streams import dedup_alerts, run_to_table
+    d = dedup_alerts(alert_store(_stream_of(spark, sf_dir, "events")))
+    out = run_to_table(d.select("dedup_key", "alert_type", "source_table",
+                                F.to_date("alert_timestamp").alias("alert_day")), "dedup")
+    return out
+
+
+@query
+def stream_freshness(spark, sf_dir):
+    """ST-4 / ST-5: running latest event per type from a stream (complete
+    mode through an idempotent foreachBatch sink), then the batch freshness
+    check on it."""
+    ensure_utc(spark)
+    from relmon.streaming.streams import latest_per_source, run_to_table
+    latest = run_to_table(latest_per_source(_stream_of(spark, sf_dir, "events"), "ts", ["event_type"]),
+                          "freshness", output_mode="complete")
+    return D.freshness_check(latest, "ts", EVENTS_AS_OF, table_name="events", by=["event_type"])

@@ -77,6 +77,8 @@ def spread_if_narrow(df):
     small input read from a single row group arrives as ONE partition and
     would run on one core, so it is round-robin spread over the cluster's
     default parallelism first (a shuffle of a small input only)."""
+    if df.isStreaming:
+        return df
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
