@@ -176,12 +176,13 @@ def _num_text(x) -> str:
     return str(x)
 
 
-_EMPTY_S = F.array().cast("array<string>")
+def _empty_s() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _one(cond: Column, val: Column) -> Column:
     """[val] when cond holds, else [] (plain CASE + array: no lambda)."""
-    return F.when(cond, F.array(val)).otherwise(_EMPTY_S)
+    return F.when(cond, F.array(val)).otherwise(_empty_s())
 
 
 def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Column, Column]:
@@ -199,7 +200,7 @@ def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Col
         null_m = F.array(_lit(f"Field '{n}' is not nullable but value is null"))
         null_k = F.array(F.lit("nullability"))
     else:
-        null_m = null_k = _EMPTY_S
+        null_m = null_k = _empty_s()
     type_m = F.array(F.concat(_lit(f"Field '{n}' type mismatch: expected {exp}, got "), fv.pytype))
     type_k = F.array(F.lit("type"))
 
@@ -239,14 +240,15 @@ def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Col
             digits = F.length(F.substring_index(fv.repr, ".", -1))
             checks.append((digits > F.lit(p), "precision", F.concat(
                 _lit(f"Field '{n}' precision "), digits.cast("string"), _lit(f" exceeds maximum {p}"))))
-    cons_m = F.concat(*[_one(c, m) for c, _, m in checks]) if checks else _EMPTY_S
-    cons_k = F.concat(*[_one(c, F.lit(k)) for c, k, _ in checks]) if checks else _EMPTY_S
+    cons_m = F.concat(*[_one(c, m) for c, _, m in checks]) if checks else _empty_s()
+    cons_k = F.concat(*[_one(c, F.lit(k)) for c, k, _ in checks]) if checks else _empty_s()
     msgs = F.when(fv.is_null, null_m).when(~type_ok, type_m).otherwise(cons_m)
     kinds = F.when(fv.is_null, null_k).when(~type_ok, type_k).otherwise(cons_k)
     return msgs, kinds
 
 
-_EMPTY_V = F.array().cast(T.ArrayType(VIOLATION_TYPE))
+def _empty_v() -> Column:
+    return F.array().cast(T.ArrayType(VIOLATION_TYPE))
 
 
 def _violation(rule: FieldRule, msgs: Column, kinds: Column, fv: FieldView, pos: Column) -> Column:
@@ -267,7 +269,7 @@ def _violation(rule: FieldRule, msgs: Column, kinds: Column, fv: FieldView, pos:
         F.lit(rule.type).alias("expected_type"),
         fv.pytype.alias("actual_type"),
         msgs.alias("errors"))
-    return F.when(fv.present & (F.size(msgs) > 0), F.array(v)).otherwise(_EMPTY_V)
+    return F.when(fv.present & (F.size(msgs) > 0), F.array(v)).otherwise(_empty_v())
 
 
 def _missing(rule: FieldRule, fv: FieldView, idx: int) -> Column:
@@ -277,7 +279,7 @@ def _missing(rule: FieldRule, fv: FieldView, idx: int) -> Column:
                  F.lit("missing").alias("constraint_kind"), F.lit("missing").alias("error_kinds"),
                  F.lit(None).cast("string").alias("expected_type"), F.lit(None).cast("string").alias("actual_type"),
                  F.array(F.lit(msg)).alias("errors"))
-    return F.when(~fv.present, F.array(v)).otherwise(_EMPTY_V)
+    return F.when(~fv.present, F.array(v)).otherwise(_empty_v())
 
 
 def _unexpected(name: Column, pos: Column) -> Column:
@@ -343,12 +345,12 @@ def _assemble(df: DataFrame, contract: Contract, views: dict[str, FieldView], vi
     parts = [_missing(f, views[f.name], i) for i, f in enumerate(contract.fields) if f.required]
     parts += [viol[f.name] for f in contract.fields]
     if keys is not None and contract.detect_new_fields:
-        declared = F.array(*[F.lit(n) for n in contract.field_names]) if contract.fields else _EMPTY_S
+        declared = F.array(*[F.lit(n) for n in contract.field_names]) if contract.fields else _empty_s()
         extra = F.array_except(keys, declared)
         # a lambda, but over the undeclared keys only (normally none)
         parts.append(F.when(F.size(extra) > 0, F.transform(
-            extra, lambda k: _unexpected(k, F.array_position(keys, k)))).otherwise(_EMPTY_V))
-    allv = F.sort_array(F.concat(*parts)) if parts else _EMPTY_V
+            extra, lambda k: _unexpected(k, F.array_position(keys, k)))).otherwise(_empty_v()))
+    allv = F.sort_array(F.concat(*parts)) if parts else _empty_v()
     return df.withColumn("violations", allv)
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from relmon.functions import stats as S
 from relmon.specs import DEFAULT_MIN_SAMPLES, DEFAULT_Z_THRESHOLD
 
-EPOCH_NTZ = F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+def _epoch_ntz() -> Column:
+    return F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
 
 
 def to_datetime(x) -> _dt.datetime:
@@ -161,7 +162,7 @@ def bucket_index(grain: str) -> Column:
     """Integer position of a bucket (hours or days since the epoch) so that
     value-range window frames can be expressed with ``rangeBetween``."""
     if grain == "hour":
-        return F.timestamp_diff("HOUR", EPOCH_NTZ, F.col("bucket"))
+        return F.timestamp_diff("HOUR", _epoch_ntz(), F.col("bucket"))
     return F.datediff(F.col("bucket"), F.lit(_dt.date(1970, 1, 1)))
 
 
