@@ -618,3 +618,79 @@ FROM al
 """
 
 SQL["stream_freshness"] = SQL["freshness_check"]
+
+
+def _dev_sql(series: str, thresholds: dict[str, float], table: str) -> str:
+    """Deviation checks (latest bucket vs the others) over a long series CTE."""
+    case = " ".join(f"WHEN '{k}' THEN {v}" for k, v in thresholds.items())
+    return f"""
+SELECT 'volume' AS check_type, '{table}' AS source_table, metric_name AS check_key,
+       CAST(CAST(cv AS DECIMAL(15,4)) AS DOUBLE) AS metric_value,
+       CAST(mean_value AS DOUBLE) + thr * CAST(std_deviation AS DOUBLE) AS threshold_value,
+       abs(CAST(CAST(z AS DECIMAL(10,4)) AS DOUBLE)) AS z_score,
+       COALESCE(abs(CAST(CAST(z AS DECIMAL(10,4)) AS DOUBLE)) > thr, false) AS is_anomaly,
+       CASE WHEN sample_size > 0 THEN 'evaluated' ELSE 'skipped_no_baseline' END AS status
+FROM (SELECT *, {_Z.format(v='cv', m='mean_value', sd='std_deviation')} AS z,
+             CASE metric_name {case} ELSE 3.0 END AS thr
+      FROM (SELECT s.metric_name, MAX(CASE WHEN s.bucket = mx.cb THEN value END) AS cv,
+                   CAST(AVG(CASE WHEN s.bucket <> mx.cb THEN value END) AS DECIMAL(15,4)) AS mean_value,
+                   CAST(COALESCE(STDDEV_SAMP(CASE WHEN s.bucket <> mx.cb THEN value END),
+                        CASE WHEN COUNT(CASE WHEN s.bucket <> mx.cb THEN value END) > 0 THEN 0.0 END)
+                        AS DECIMAL(15,4)) AS std_deviation,
+                   COUNT(CASE WHEN s.bucket <> mx.cb THEN value END) AS sample_size
+            FROM {series} s JOIN (SELECT metric_name, MAX(bucket) AS cb FROM {series} GROUP BY 1) mx
+                 USING (metric_name)
+            GROUP BY 1))
+"""
+
+
+def _fresh_sql(table: str, ts: str, as_of: str) -> str:
+    return f"""
+SELECT 'freshness' AS check_type, '{table}' AS source_table, 'table' AS check_key,
+       CAST(CAST(m AS DECIMAL(15,4)) AS DOUBLE) AS metric_value, 30.0 AS threshold_value,
+       CAST(NULL AS DOUBLE) AS z_score, COALESCE(m > 30.0, false) AS is_anomaly,
+       CASE WHEN m IS NULL THEN 'skipped_no_data' ELSE 'evaluated' END AS status
+FROM (SELECT CAST(date_diff('microsecond', MAX({ts}), TIMESTAMP '{as_of}') AS DOUBLE) / 6.0e7 AS m FROM {table})
+"""
+
+
+SQL["monitor_checks"] = f"""
+WITH od AS (SELECT CAST(o_orderdate AS DATE) AS bucket, CAST(COUNT(*) AS DOUBLE) AS daily_row_count,
+                   CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS daily_revenue
+            FROM orders WHERE {_ORDERS_30D} GROUP BY 1),
+os AS (UNPIVOT od ON daily_row_count, daily_revenue INTO NAME metric_name VALUE value),
+es AS (SELECT 'hourly_ingestion_rate' AS metric_name, date_trunc('hour', ts) AS bucket,
+              CAST(COUNT(*) AS DOUBLE) AS value FROM events WHERE {_EVENTS_24H} GROUP BY 2)
+{_dev_sql('os', {'daily_row_count': 3.0, 'daily_revenue': 2.5}, 'orders')}
+UNION ALL
+{_fresh_sql('orders', 'o_orderdate', '2001-08-02 00:00:00')}
+UNION ALL
+{_dev_sql('es', {'hourly_ingestion_rate': 3.0}, 'events')}
+UNION ALL
+{_fresh_sql('events', 'ts', '2024-01-31 00:00:00')}
+"""
+
+SQL["monitor_scorecard"] = f"""
+WITH chk AS ({SQL["monitor_checks"]}),
+al AS (SELECT CASE check_type WHEN 'volume' THEN 'VOLUME_ANOMALY' ELSE 'STALE_DATA_FLOW' END AS alert_type,
+              'CRITICAL' AS alert_severity,
+              CASE source_table WHEN 'orders' THEN TIMESTAMP '2001-08-02 00:00:00'
+                   ELSE TIMESTAMP '2024-01-31 00:00:00' END AS alert_timestamp
+       FROM chk WHERE is_anomaly),
+{_RECENT},
+a AS (SELECT {_COUNTS} FROM r),
+t AS (SELECT COUNT(*) AS total_alerts, MAX(alert_timestamp) AS latest_alert FROM al),
+b AS (SELECT COUNT(*) AS total_baselines,
+             MAX(CASE source_table WHEN 'orders' THEN TIMESTAMP '2001-08-02 00:00:00'
+                 ELSE TIMESTAMP '2024-01-31 00:00:00' END) AS last_updated
+      FROM chk WHERE check_type = 'volume'),
+j AS (SELECT * FROM a CROSS JOIN t CROSS JOIN b),
+{_scores_sql('j')}
+SELECT TIMESTAMP '2024-01-31 00:00:00' AS generated_at, total_baselines, total_alerts, alerts_24h, critical_24h,
+       volume_anomalies, stale_alerts, contract_violations, platform_score, platform_status, batch_score,
+       batch_status, batch_band, cdc_score, cdc_status, cdc_band, contract_score, contract_status, contract_band,
+       overall_status,
+       CASE WHEN recs = '' THEN 'Maintain: Continue current monitoring practices' ELSE recs END AS recommendations,
+       gate_passed, latest_alert, last_updated
+FROM s3
+"""

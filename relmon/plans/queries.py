@@ -532,3 +532,37 @@ def stream_freshness(spark, sf_dir):
     latest = run_to_table(latest_per_source(_stream_of(spark, sf_dir, "events"), "ts", ["event_type"]),
                           "freshness", output_mode="complete")
     return D.freshness_check(latest, "ts", EVENTS_AS_OF, table_name="events", by=["event_type"])
+
+
+# ---------------------------------------------------------------- a whole monitoring run
+
+def _monitor(spark, sf_dir):
+    from relmon.plans.monitor import MonitoredSource, run
+    from relmon.plans.tables import events_spec, orders_spec
+    from relmon.specs import MetricSpec
+    orders = load(spark, sf_dir, "orders").withColumn("amount", F.col("o_totalprice").cast("decimal(12,2)"))
+    srcs = [
+        MonitoredSource(orders_spec(sf_dir), [
+            MetricSpec("daily_row_count", "volume", "day", 3.0, window_days=30),
+            MetricSpec("daily_revenue", "sum", "day", 2.5, window_days=30, value_column="amount")],
+            df=orders, as_of=ORDERS_AS_OF),
+        MonitoredSource(events_spec(sf_dir), [
+            MetricSpec("hourly_ingestion_rate", "volume", "hour", 3.0, window_hours=24)],
+            df=_events(spark, sf_dir), as_of=EVENTS_AS_OF),
+    ]
+    return run(spark, srcs, EVENTS_AS_OF)
+
+
+@query
+def monitor_checks(spark, sf_dir):
+    """DT-3 / DT-4 / DT-5 / DT-7: one run over both sources: every metric of a
+    source from one scan, per-metric thresholds, freshness per table."""
+    ensure_utc(spark)
+    return _monitor(spark, sf_dir)["checks"]
+
+
+@query
+def monitor_scorecard(spark, sf_dir):
+    """AL-3 / HS-9: the run's checks turned into alerts and scored."""
+    ensure_utc(spark)
+    return _report_cols(_monitor(spark, sf_dir)["scorecard"])

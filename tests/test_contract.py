@@ -133,3 +133,30 @@ def test_no_python_udf_in_plan(spark):
     v = C.validate_variant(_records(spark, [BASE]), cdc_contract(), keys_col="record_keys")
     plan = v._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_lenient_coercion(spark):
+    import dataclasses
+    lenient = dataclasses.replace(cdc_contract(), coerce_types=True)
+    _, strict_rows = _validate(spark, [dict(BASE, customer_id="12", total_amount="47.5")])
+    _, lenient_rows = _validate(spark, [dict(BASE, customer_id="12", total_amount="47.5")], lenient)
+    assert len(strict_rows) == 2 and lenient_rows == []
+
+
+def test_metric_csv_and_specs(spark, tmpdir_path):
+    from relmon.operators import profile as P
+    from relmon.sources.logs import load_metric_csv
+    from relmon.specs import metrics_from_dict
+    path = os.path.join(tmpdir_path, "m.csv")
+    with open(path, "w") as fh:
+        fh.write("order_date,daily_orders,daily_revenue,avg_order_value\n")
+        for d, n in zip(range(1, 11), [100, 102, 98, 101, 99, 100, 103, 97, 100, 10]):
+            fh.write(f"2024-01-{d:02d},{n},{n * 10}.50,10.05\n")
+    s = load_metric_csv(spark, path)
+    assert s.count() == 30
+    b = {r.metric_name: r for r in P.baselines(s).collect()}
+    assert b["daily_orders"].sample_size == 10
+    specs = metrics_from_dict({"db": {"tables": [{"name": "fact_orders", "metrics": [
+        {"name": "daily_order_count", "type": "volume", "threshold": 3.0, "window_days": 30},
+        {"name": "daily_revenue", "type": "volume", "threshold": 2.5, "window_days": 30}]}]}})
+    assert [m.threshold for m in specs["fact_orders"]] == [3.0, 2.5]
