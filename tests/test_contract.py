@@ -160,3 +160,19 @@ def test_metric_csv_and_specs(spark, tmpdir_path):
         {"name": "daily_order_count", "type": "volume", "threshold": 3.0, "window_days": 30},
         {"name": "daily_revenue", "type": "volume", "threshold": 2.5, "window_days": 30}]}]}})
     assert [m.threshold for m in specs["fact_orders"]] == [3.0, 2.5]
+
+
+def test_sampling_methods(spark):
+    import datetime as dt
+
+    from relmon.sources.logs import newest, sample_records
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, base + dt.timedelta(minutes=i % 50)) for i in range(200)],
+                               "k long, ts timestamp_ntz")
+    top = newest(df, "ts", 5, ["k"]).collect()
+    assert [r.k for r in top] == [199, 149, 99, 49, 198]
+    assert sample_records(df, "sequential", 3, order_cols=["k"]).count() == 3
+    r1 = sorted(r.k for r in sample_records(df, "random", 10, order_cols=["k"]).collect())
+    r2 = sorted(r.k for r in sample_records(df, "random", 10, order_cols=["k"]).collect())
+    assert r1 == r2 and len(r1) == 10
+    assert sample_records(df, "latest", None, "ts").count() == 200
