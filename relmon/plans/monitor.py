@@ -28,6 +28,7 @@ from relmon.operators import contract as C
 from relmon.operators import detect as D
 from relmon.operators import profile as P
 from relmon.operators import scorecard as H
+from relmon.session import ensure_checkpoint_dir
 from relmon.specs import DEFAULT_STALENESS_MINUTES, Contract, MetricSpec, SourceSpec
 
 
@@ -78,12 +79,22 @@ def source_series(src: MonitoredSource, spark: SparkSession, as_of) -> dict[str,
 
 def run(spark: SparkSession, sources: Sequence[MonitoredSource], as_of, contract: Contract | None = None,
         records: DataFrame | None = None, record_id_cols: Sequence[str] = ("record_id",),
-        contract_table: str | None = None) -> dict[str, DataFrame]:
+        contract_table: str | None = None, materialize: bool = True) -> dict[str, DataFrame]:
+    """With ``materialize`` (default) each source's aggregated series and its
+    freshness aggregate are written once with a reliable ``checkpoint()``
+    into the shared ``spark.checkpoint.dir``: every output (baselines,
+    checks, alerts, scorecard) then reads those small results instead of
+    re-scanning the source, and a lost executor costs a re-read of the
+    checkpoint, not of the source."""
+    if materialize:
+        ensure_checkpoint_dir(spark)
     baselines, checks, fresh_checks, volume_rows = [], [], [], []
     for src in sources:
         name, db = src.source.name, src.source.database
         src_as_of = src.as_of if src.as_of is not None else as_of
         for grain, series in source_series(src, spark, src_as_of).items():
+            if materialize:
+                series = series.checkpoint(eager=True)
             baselines.append(P.baselines(series, as_of=src_as_of, source_database=db, table_name=name))
             dev = D.deviation_table(series, keys=["metric_name"])
             thr = _threshold_col(src.metrics)
@@ -105,6 +116,8 @@ def run(spark: SparkSession, sources: Sequence[MonitoredSource], as_of, contract
             df = src.df if src.df is not None else src.source.read(spark)
             f = D.freshness_check(df, src.source.time_column, src_as_of, table_name=name,
                                   threshold_minutes=src.freshness_minutes)
+            if materialize:
+                f = f.checkpoint(eager=True)
             fresh_checks.append(f)
             checks.append(D.detection_checks(freshness=f))
     out: dict[str, DataFrame] = {}

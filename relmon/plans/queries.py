@@ -235,7 +235,7 @@ def _cdc_validated(spark, sf_dir):
     from relmon.operators import contract as C
     from relmon.plans.contracts import cdc_contract
     from relmon.plans.tables import cdc_payloads
-    recs = cdc_payloads(load(spark, sf_dir, "orders"))
+    recs = cdc_payloads(load(spark, sf_dir, "orders")).select("record_id", "record", "record_keys")
     return C.validate_variant(recs, cdc_contract(), record_col="record", keys_col="record_keys")
 
 
