@@ -47,9 +47,12 @@ def ensure_utc(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (cluster setting)."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+        if d:
+            return d
+    except Exception:  # noqa: BLE001 - no local SparkContext (e.g. a remote session)
+        pass
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
@@ -60,9 +63,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="relmon-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    try:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+        return spark.sparkContext.getCheckpointDir() or d
+    except Exception:  # noqa: BLE001
+        return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
