@@ -694,3 +694,17 @@ SELECT TIMESTAMP '2024-01-31 00:00:00' AS generated_at, total_baselines, total_a
        gate_passed, latest_alert, last_updated
 FROM s3
 """
+
+SQL["metric_breaches"] = f"""
+WITH s AS (SELECT event_type, date_trunc('hour', ts) AS bucket, CAST(COUNT(*) AS DOUBLE) AS row_count,
+                  CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS value_sum,
+                  CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS active_users
+           FROM events GROUP BY event_type, date_trunc('hour', ts)),
+u AS (UNPIVOT s ON row_count, value_sum, active_users INTO NAME metric_name VALUE value),
+b AS (SELECT event_type, metric_name, CAST(AVG(value) AS DECIMAL(15,4)) AS m,
+             CAST(COALESCE(STDDEV_SAMP(value), 0.0) AS DECIMAL(15,4)) AS sd FROM u GROUP BY 1, 2),
+z AS (SELECT u.metric_name, abs({_Z.format(v='u.value', m='b.m', sd='b.sd')}) > 3.0 AS is_anomaly
+      FROM u JOIN b USING (event_type, metric_name))
+SELECT metric_name, COUNT(*) AS buckets, CAST(SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS BIGINT) AS breaches
+FROM z GROUP BY 1
+"""

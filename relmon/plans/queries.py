@@ -566,3 +566,15 @@ def monitor_scorecard(spark, sf_dir):
     """AL-3 / HS-9: the run's checks turned into alerts and scored."""
     ensure_utc(spark)
     return _report_cols(_monitor(spark, sf_dir)["scorecard"])
+
+
+@query
+def metric_breaches(spark, sf_dir):
+    """DT-13: three hourly metrics per event_type from one scan (rows, value
+    sum, active users), every bucket scored, breaches counted per metric."""
+    ensure_utc(spark)
+    s = P.metric_series(_events(spark, sf_dir), "ts", grain="hour", by=["event_type"], metrics={
+        "row_count": F.count(F.lit(1)),
+        "value_sum": F.sum(F.col("value").cast("decimal(12,2)")),
+        "active_users": F.countDistinct("user_id")})
+    return D.breach_counts(D.score_buckets(s, keys=["event_type", "metric_name"]), ["metric_name"])

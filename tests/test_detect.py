@@ -94,3 +94,11 @@ def test_outlier_rejection(spark):
     r = P.outlier_rejected_baselines(s.withColumnRenamed("b", "bucket"), ["metric_name"]).first()
     assert r.rejected == 1 and r.sample_size == 12 and float(r.mean_value) == pytest.approx(10.5)
     assert r.baseline_status == "ok"
+
+
+def test_fill_gaps(spark):
+    base = dt.datetime(2024, 1, 1)
+    s = spark.createDataFrame([("a", "m", base, 3.0), ("a", "m", base + dt.timedelta(hours=3), 5.0)],
+                              "src string, metric_name string, bucket timestamp_ntz, value double")
+    g = P.fill_gaps(s, ["src"], "hour").orderBy("bucket").collect()
+    assert [r.value for r in g] == [3.0, 0.0, 0.0, 5.0]
