@@ -708,3 +708,5 @@ z AS (SELECT u.metric_name, abs({_Z.format(v='u.value', m='b.m', sd='b.sd')}) >
 SELECT metric_name, COUNT(*) AS buckets, CAST(SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS BIGINT) AS breaches
 FROM z GROUP BY 1
 """
+
+SQL["json_log_contract_summary"] = SQL["contract_summary"]

@@ -578,3 +578,23 @@ def metric_breaches(spark, sf_dir):
         "value_sum": F.sum(F.col("value").cast("decimal(12,2)")),
         "active_users": F.countDistinct("user_id")})
     return D.breach_counts(D.score_buckets(s, keys=["event_type", "metric_name"]), ["metric_name"])
+
+
+@query
+def json_log_contract_summary(spark, sf_dir):
+    """SRC-3 / CT-10: the order payloads written as a JSON-lines log directory
+    (in the shared scratch folder), read back with the log reader and
+    validated; totals of the run."""
+    import uuid
+
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    from relmon.session import scratch_path
+    from relmon.sources.logs import load_json_logs
+    ensure_utc(spark)
+    path = scratch_path(spark, f"json-logs-{uuid.uuid4().hex[:12]}")
+    cdc_payloads(load(spark, sf_dir, "orders")).select("raw").write.text(path)
+    logs = load_json_logs(spark, path, layout="lines", pattern="part-*")
+    val = C.validate_variant(logs.filter(~F.col("parse_error")), cdc_contract(), keys_col="record_keys")
+    return C.summary(val)

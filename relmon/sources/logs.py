@@ -49,14 +49,14 @@ def load_json_logs(spark: SparkSession, path: str, layout: str = "document", fir
     if first_files is not None:
         files = files[:first_files]
     if not files:
-        return spark.createDataFrame([], "source_file string, record_index int, raw string, record variant, "
+        return spark.createDataFrame([], "source_file string, record_index long, raw string, record variant, "
                                          "record_keys array<string>, parse_error boolean")
     if layout == "lines":
         txt = spark.read.text(files).select(F.col("_metadata.file_path").alias("source_file"),
                                             F.col("value").alias("raw"))
         txt = txt.filter(F.length(F.trim("raw")) > 0)
         # a line's position: monotonically increasing id is unique per file split
-        txt = txt.withColumn("record_index", F.monotonically_increasing_id().cast("int"))
+        txt = txt.withColumn("record_index", F.monotonically_increasing_id())
         return _finish(txt)
     doc = spark.read.text(files, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), F.trim(F.col("value")).alias("txt"))
@@ -64,7 +64,7 @@ def load_json_logs(spark: SparkSession, path: str, layout: str = "document", fir
               .otherwise(F.array(F.col("txt"))))
     exploded = doc.select("source_file", F.posexplode_outer(elems).alias("record_index", "raw"))
     # a broken list file parses to NULL: keep one parse_error row for it
-    exploded = exploded.withColumn("record_index", F.coalesce("record_index", F.lit(0)))
+    exploded = exploded.withColumn("record_index", F.coalesce("record_index", F.lit(0)).cast("long"))
     return _finish(exploded)
 
 
