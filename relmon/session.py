@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 # Settings every relmon job wants.  AQE re-plans joins and coalesces the small
 # post-aggregation partitions; the session time zone is pinned to UTC because
-# monitored timestamps are naive and read as UTC.
+# monitored timestamps are naive and read as UTC.  hugeMethodLimit=8000 (the
+# JVM's JIT limit) makes a stage whose fused code would be too long to JIT
+# (a compiled contract) run as per-operator generated code instead, which is
+# JIT-compiled and reused across queries that share the operator.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,6 +21,7 @@ DEFAULT_CONF = {
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
