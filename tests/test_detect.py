@@ -102,3 +102,14 @@ def test_fill_gaps(spark):
                               "src string, metric_name string, bucket timestamp_ntz, value double")
     g = P.fill_gaps(s, ["src"], "hour").orderBy("bucket").collect()
     assert [r.value for r in g] == [3.0, 0.0, 0.0, 5.0]
+
+
+def test_previous_in_sequence_partitions_by_key_and_split(spark):
+    import re
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(0, base + dt.timedelta(minutes=i), i) for i in range(100)],
+                               "k int, ts timestamp_ntz, id int")
+    plan = D.previous_in_sequence(df, ["k"], "ts", ["id"])._jdf.queryExecution().executedPlan().toString()
+    parts = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    # the raw rows are shuffled by (key, split); only the per-split aggregate is partitioned by key alone
+    assert any("_split" in p and "k#" in p for p in parts)
