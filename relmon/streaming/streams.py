@@ -81,7 +81,20 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append", trigger_
         w = w.format("parquet").option("path", out)
     else:
         w = w.foreachBatch(write_batch)
-    q = w.trigger(availableNow=True).start() if trigger_once else w.start()
+    # the state partition count is frozen into the checkpoint at the first
+    # start: never more state partitions than the cluster has cores
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if int(before) > cores:
+            spark.conf.set(key, str(cores))
+    except Exception:  # noqa: BLE001 - keep the configured value
+        pass
+    try:
+        q = w.trigger(availableNow=True).start() if trigger_once else w.start()
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     if output_mode == "complete":
         # the last micro-batch carries the complete result
