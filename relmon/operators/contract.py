@@ -21,6 +21,7 @@ missing required fields first, then the record's own fields in key order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,6 +40,22 @@ CONSTRAINT = "CONSTRAINT_VIOLATION"
 UNEXPECTED = "UNEXPECTED_FIELD"
 CRITICAL_TYPES = (TYPE_MISMATCH, MISSING)
 
+# Validation messages (their text decides the violation label,
+# so it must read exactly like this).  {name}, {expected}, {limit},
+# {pattern} and {allowed} come from the contract; {actual}, {length},
+# {value} and {digits} from the record.
+MSG_NOT_NULLABLE = "Field '{name}' is not nullable but value is null"
+MSG_TYPE_MISMATCH = "Field '{name}' type mismatch: expected {expected}, got {actual}"
+MSG_MIN_LENGTH = "Field '{name}' length {length} below minimum {limit}"
+MSG_MAX_LENGTH = "Field '{name}' length {length} above maximum {limit}"
+MSG_PATTERN = "Field '{name}' value '{value}' does not match pattern '{pattern}'"
+MSG_ALLOWED = "Field '{name}' value '{value}' not in allowed values: {allowed}"
+MSG_MIN_VALUE = "Field '{name}' value {value} below minimum {limit}"
+MSG_MAX_VALUE = "Field '{name}' value {value} above maximum {limit}"
+MSG_PRECISION = "Field '{name}' precision {digits} exceeds maximum {limit}"
+MSG_MISSING = "Required field '{name}' is missing"
+MSG_UNEXPECTED = "Unexpected field '{name}' not defined in contract"
+
 VIOLATION_TYPE = T.StructType([
     T.StructField("key_position", T.IntegerType()),   # sort key: order inside the record
     T.StructField("field_name", T.StringType()),
@@ -85,6 +102,20 @@ def _lit(s: str) -> Column:
     return F.lit(s)
 
 
+def _render(template: str, **parts) -> Column:
+    """A message template as one ``concat``: driver-side parts become
+    literals, per-record parts stay Columns."""
+    cols = []
+    for piece in re.split(r"(\{\w+\})", template):
+        m = re.fullmatch(r"\{(\w+)\}", piece)
+        if m:
+            v = parts[m.group(1)]
+            cols.append(v if isinstance(v, Column) else F.lit(str(v)))
+        elif piece:
+            cols.append(F.lit(piece))
+    return F.concat(*cols)
+
+
 # ------------------------------------------------------------------ field views
 
 def _variant_pytype(kind: Column) -> Column:
@@ -210,11 +241,11 @@ def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Col
             type_ok = type_ok | F.lower(fv.text).isin("true", "false")
 
     if not rule.nullable and contract.check_null_constraints:
-        null_m = F.array(_lit(f"Field '{n}' is not nullable but value is null"))
+        null_m = F.array(_render(MSG_NOT_NULLABLE, name=n))
         null_k = F.array(F.lit("nullability"))
     else:
         null_m = null_k = _empty_s()
-    type_m = F.array(F.concat(_lit(f"Field '{n}' type mismatch: expected {exp}, got "), fv.pytype))
+    type_m = F.array(_render(MSG_TYPE_MISMATCH, name=n, expected=exp, actual=fv.pytype))
     type_k = F.array(F.lit("type"))
 
     cons = rule.constraints or {}
@@ -223,36 +254,36 @@ def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Col
         ln = F.length(fv.text)
         if "min_length" in cons and contract.check_value_constraints:
             m = cons["min_length"]
-            checks.append((ln < F.lit(m), "min_length", F.concat(
-                _lit(f"Field '{n}' length "), ln.cast("string"), _lit(f" below minimum {_num_text(m)}"))))
+            checks.append((ln < F.lit(m), "min_length",
+                           _render(MSG_MIN_LENGTH, name=n, length=ln.cast("string"), limit=_num_text(m))))
         if "max_length" in cons and contract.check_value_constraints:
             m = cons["max_length"]
-            checks.append((ln > F.lit(m), "max_length", F.concat(
-                _lit(f"Field '{n}' length "), ln.cast("string"), _lit(f" above maximum {_num_text(m)}"))))
+            checks.append((ln > F.lit(m), "max_length",
+                           _render(MSG_MAX_LENGTH, name=n, length=ln.cast("string"), limit=_num_text(m))))
         if "pattern" in cons and contract.check_pattern_constraints:
             p = str(cons["pattern"])
-            checks.append((~fv.text.rlike("^(?:" + p + ")"), "pattern", F.concat(
-                _lit(f"Field '{n}' value '"), fv.text, _lit(f"' does not match pattern '{p}'"))))
+            checks.append((~fv.text.rlike("^(?:" + p + ")"), "pattern",
+                           _render(MSG_PATTERN, name=n, value=fv.text, pattern=p)))
         if "allowed_values" in cons and contract.check_value_constraints:
             allowed = list(cons["allowed_values"] or [])
             strs = [a for a in allowed if isinstance(a, str)]
             ok = fv.text.isin(*strs) if strs else F.lit(False)
-            checks.append((~ok, "allowed_values", F.concat(
-                _lit(f"Field '{n}' value '"), fv.text, _lit(f"' not in allowed values: {allowed!r}"))))
+            checks.append((~ok, "allowed_values",
+                           _render(MSG_ALLOWED, name=n, value=fv.text, allowed=repr(allowed))))
     elif t in ("integer", "float") and contract.check_value_constraints:
         if "min_value" in cons:
             m = cons["min_value"]
-            checks.append((fv.number < F.lit(float(m)), "min_value", F.concat(
-                _lit(f"Field '{n}' value "), fv.repr, _lit(f" below minimum {_num_text(m)}"))))
+            checks.append((fv.number < F.lit(float(m)), "min_value",
+                           _render(MSG_MIN_VALUE, name=n, value=fv.repr, limit=_num_text(m))))
         if "max_value" in cons:
             m = cons["max_value"]
-            checks.append((fv.number > F.lit(float(m)), "max_value", F.concat(
-                _lit(f"Field '{n}' value "), fv.repr, _lit(f" above maximum {_num_text(m)}"))))
+            checks.append((fv.number > F.lit(float(m)), "max_value",
+                           _render(MSG_MAX_VALUE, name=n, value=fv.repr, limit=_num_text(m))))
         if "precision" in cons and t == "float":
             p = int(cons["precision"])
             digits = F.length(F.substring_index(fv.repr, ".", -1))
-            checks.append((digits > F.lit(p), "precision", F.concat(
-                _lit(f"Field '{n}' precision "), digits.cast("string"), _lit(f" exceeds maximum {p}"))))
+            checks.append((digits > F.lit(p), "precision",
+                           _render(MSG_PRECISION, name=n, digits=digits.cast("string"), limit=p)))
     cons_m = F.concat(*[_one(c, m) for c, _, m in checks]) if checks else _empty_s()
     cons_k = F.concat(*[_one(c, F.lit(k)) for c, k, _ in checks]) if checks else _empty_s()
     msgs = F.when(fv.is_null, null_m).when(~type_ok, type_m).otherwise(cons_m)
@@ -286,7 +317,7 @@ def _violation(rule: FieldRule, msgs: Column, kinds: Column, fv: FieldView, pos:
 
 
 def _missing(rule: FieldRule, fv: FieldView, idx: int) -> Column:
-    msg = f"Required field '{rule.name}' is missing"
+    msg = MSG_MISSING.format(name=rule.name)
     v = F.struct(F.lit(-100000 + idx).alias("key_position"),
                  F.lit(rule.name).alias("field_name"), F.lit(MISSING).alias("violation_type"),
                  F.lit("missing").alias("constraint_kind"), F.lit("missing").alias("error_kinds"),
@@ -296,7 +327,7 @@ def _missing(rule: FieldRule, fv: FieldView, idx: int) -> Column:
 
 
 def _unexpected(name: Column, pos: Column) -> Column:
-    msg = F.concat(F.lit("Unexpected field '"), name, F.lit("' not defined in contract"))
+    msg = _render(MSG_UNEXPECTED, name=name)
     return F.struct(pos.cast("int").alias("key_position"), name.alias("field_name"),
                     F.lit(UNEXPECTED).alias("violation_type"),
                     F.lit("unexpected").alias("constraint_kind"), F.lit("unexpected").alias("error_kinds"),

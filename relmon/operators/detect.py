@@ -25,11 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relmon.functions import stats as S
+from relmon.operators.contract import _render
 from relmon.operators.profile import _lit_ts, to_datetime
 from relmon.specs import DEFAULT_STALENESS_MINUTES, DEFAULT_Z_THRESHOLD
 
 BASELINE_KEY = ("metric_name", "source_database", "table_name")
 
+# Alert descriptions ({count}/{z}/{minutes} come from the row).
+MSG_VOLUME = "Volume anomaly detected: {count} records (Z-Score: {z})"
+MSG_STALE = "Data flow stale: {minutes} minutes since last record"
+
 
 def latest_baseline(store: DataFrame, keys: Sequence[str] = BASELINE_KEY) -> DataFrame:
     """Latest row per key by ``calculation_timestamp`` for all keys at once
@@ -101,8 +106,7 @@ def volume_check(df: DataFrame, time_col: str, baseline: DataFrame, as_of, metri
     return out.withColumn(
         "description",
         F.when(F.col("status") == "evaluated",
-               F.concat(F.lit("Volume anomaly detected: "), F.col("current_count").cast("string"),
-                        F.lit(" records (Z-Score: "), S.fixed("z_score", 2), F.lit(")"))))
+               _render(MSG_VOLUME, count=F.col("current_count").cast("string"), z=S.fixed("z_score", 2))))
 
 
 def freshness_check(df: DataFrame, time_col: str, as_of, table_name: str, by: Sequence[str] = (),
@@ -129,8 +133,7 @@ def freshness_check(df: DataFrame, time_col: str, as_of, table_name: str, by: Se
     return out.withColumn(
         "description",
         F.when(F.col("status") == "evaluated",
-               F.concat(F.lit("Data flow stale: "), S.fixed("minutes_since_last", 1),
-                        F.lit(" minutes since last record"))))
+               _render(MSG_STALE, minutes=S.fixed("minutes_since_last", 1))))
 
 
 def score_buckets(series: DataFrame, keys: Sequence[str] = ("metric_name",), baseline: DataFrame | None = None,
