@@ -238,16 +238,18 @@ def interarrival_gaps(df: DataFrame, keys: Sequence[str], time_col: str, split_g
 def interarrival_freshness(df: DataFrame, keys: Sequence[str], time_col: str, as_of,
                            threshold: float = DEFAULT_Z_THRESHOLD, split_grain: str = "hour") -> DataFrame:
     """Freshness as a z-score: the current silence (as_of - last record)
-    against the distribution of past inter-arrival gaps of the same key."""
-    gaps = interarrival_gaps(df, keys, time_col, split_grain)
-    stats = gaps.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("long").alias("n_gaps"),
-        S.as_stat(F.avg("gap_minutes")).alias("mean_gap_minutes"),
-        S.as_stat(F.coalesce(F.stddev_samp("gap_minutes"), F.lit(0.0))).alias("std_gap_minutes"),
-        S.as_stat(F.max("gap_minutes")).alias("max_gap_minutes"))
-    last = df.groupBy(*keys).agg(F.max(time_col).alias("latest_timestamp"))
+    against the distribution of past inter-arrival gaps of the same key.
+    One pass over the raw rows: the gaps and the latest time per key come
+    from the same skew-safe sequencing and one aggregation."""
+    p = previous_in_sequence(df.select(*keys, time_col), keys, time_col, split_grain=split_grain)
+    gap = F.when(F.col("prev_ts").isNotNull(), S.minutes_between("prev_ts", time_col))
+    j = p.groupBy(*keys).agg(
+        F.max(time_col).alias("latest_timestamp"),
+        F.count(gap).cast("long").alias("n_gaps"),
+        S.as_stat(F.avg(gap)).alias("mean_gap_minutes"),
+        S.as_stat(F.when(F.count(gap) > 0, F.coalesce(F.stddev_samp(gap), F.lit(0.0)))).alias("std_gap_minutes"),
+        S.as_stat(F.max(gap)).alias("max_gap_minutes"))
     cur = S.minutes_between("latest_timestamp", _lit_ts(as_of))
-    j = last.join(stats, list(keys), "left")
     z = S.signed_z(cur, "mean_gap_minutes", "std_gap_minutes")
     return j.select(*keys, "latest_timestamp", "n_gaps", "mean_gap_minutes", "std_gap_minutes", "max_gap_minutes",
                     S.as_stat(cur).alias("current_gap_minutes"),

@@ -226,7 +226,8 @@ st AS (SELECT event_type, COUNT(*) AS n_gaps, CAST(AVG(gap) AS DECIMAL(15,4)) AS
               CAST(COALESCE(STDDEV_SAMP(gap), 0.0) AS DECIMAL(15,4)) AS std_gap_minutes,
               CAST(MAX(gap) AS DECIMAL(15,4)) AS max_gap_minutes FROM gg GROUP BY 1),
 l AS (SELECT event_type, MAX(ts) AS latest_timestamp FROM events GROUP BY 1),
-j AS (SELECT l.event_type, l.latest_timestamp, st.n_gaps, st.mean_gap_minutes, st.std_gap_minutes, st.max_gap_minutes,
+j AS (SELECT l.event_type, l.latest_timestamp, COALESCE(st.n_gaps, 0) AS n_gaps, st.mean_gap_minutes,
+             st.std_gap_minutes, st.max_gap_minutes,
              CAST(date_diff('microsecond', l.latest_timestamp, {_AS_OF}) AS DOUBLE) / 6.0e7 AS cur
       FROM l LEFT JOIN st USING (event_type)),
 z AS (SELECT *, {_Z.format(v='cur', m='mean_gap_minutes', sd='std_gap_minutes')} AS z FROM j)
