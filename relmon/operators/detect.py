@@ -74,12 +74,12 @@ def volume_check(df: DataFrame, time_col: str, baseline: DataFrame, as_of, metri
     if by:
         j = cur.join(base, list(by), "full")
     else:
-        # table-level check: the global aggregate is exactly one row; reduce
-        # the baseline to its one row too, then an equi-join on a constant key
+        # table-level check: the global aggregate is exactly one row; the
+        # baseline, reduced to one row, is attached as a scalar subquery
+        # (no join of any kind)
         one = base.agg(F.max_by(F.struct("baseline_mean", "baseline_std", "sample_size"),
                                 F.col("sample_size")).alias("_b"))
-        one = one.select(F.lit(1).alias("_k"), "_b.*")
-        j = cur.withColumn("_k", F.lit(1)).join(one, "_k", "left").drop("_k")
+        j = cur.withColumn("_b", one.scalar()).select("*", "_b.*").drop("_b")
     cnt = F.coalesce(F.col("current_count"), F.lit(0))
     z = S.signed_z(cnt, "baseline_mean", "baseline_std")
     has_base = F.col("baseline_mean").isNotNull()

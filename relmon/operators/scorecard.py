@@ -3,7 +3,7 @@
 All scores are column arithmetic over small aggregates: the alert store is
 reduced with conditional aggregates in ONE pass (per period for the
 history), the baseline store with one global aggregate, and the two are
-joined on a constant key (both sides are exactly one row per period).
+attached to the per-period rows as a scalar subquery (no join).
 """
 
 from __future__ import annotations
@@ -129,19 +129,22 @@ def scores(df: DataFrame) -> DataFrame:
 def scorecard(alerts: DataFrame, baselines: DataFrame, as_of, hours: float = 24.0) -> DataFrame:
     """The portfolio health report as one row."""
     a = _alert_counts(recent(alerts, as_of, hours))
-    t = alerts.agg(F.count(F.lit(1)).alias("total_alerts"), F.max("alert_timestamp").alias("latest_alert"))
-    b = baseline_inventory(baselines)
-    j = (a.withColumn("_k", F.lit(1)).join(t.withColumn("_k", F.lit(1)), "_k")
-          .join(b.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    t = alerts.agg(F.struct(F.count(F.lit(1)).alias("total_alerts"),
+                            F.max("alert_timestamp").alias("latest_alert")).alias("_t"))
+    b = baselines.agg(F.struct(F.count(F.lit(1)).alias("total_baselines"),
+                               F.max("calculation_timestamp").alias("last_updated")).alias("_b"))
+    # one-row aggregates attached as scalar subqueries: no join
+    j = (a.withColumn("_t", t.scalar()).withColumn("_b", b.scalar())
+          .select("*", "_t.*", "_b.*").drop("_t", "_b"))
     return scores(j.withColumn("generated_at", _lit_ts(as_of)))
 
 
 def scorecard_history(alerts: DataFrame, baselines: DataFrame, period: str = "day") -> DataFrame:
     """Scores per calendar day of the alert store (days without alerts have
-    no row).  The baseline count is one row, joined on a constant key."""
+    no row).  The baseline count is a scalar subquery."""
     a = _alert_counts(alerts, [F.to_date("alert_timestamp").alias("score_date")])
     b = baselines.agg(F.count(F.lit(1)).alias("total_baselines"))
-    j = a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    j = a.withColumn("total_baselines", b.scalar())
     return scores(j)
 
 

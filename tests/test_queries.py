@@ -22,12 +22,13 @@ def test_entry_smoke(spark):
 
 
 @needs_data
-def test_no_python_udfs_and_pushdown(spark):
+def test_no_python_udfs_no_cross_joins_and_pushdown(spark):
     for name, fn in E.queries().items():
         if name.startswith("stream_"):
             continue
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = E.queries()["hourly_ingestion"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
 
