@@ -41,13 +41,34 @@ def load(path: str) -> dict:
             "suffix": j["model"].get("end_of_word_suffix") or ""}
 
 
+NEVER = 1 << 60
+SHORT = 64
+
+
 def merge(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Byte-pair merges: the lowest rank first, the leftmost of equal ranks.
-    A heap over a linked list, n log n for a piece of any length."""
+    ``parts`` is used up."""
+    if len(parts) > SHORT:
+        return _merge_long(parts, ranks)
+    get = ranks.get
+    rank = [get(p, NEVER) for p in zip(parts, parts[1:])]
+    while rank:
+        low = min(rank)
+        if low == NEVER:
+            break
+        i = rank.index(low)
+        parts[i] += parts.pop(i + 1)
+        del rank[i]
+        if i < len(rank):
+            rank[i] = get((parts[i], parts[i + 1]), NEVER)
+        if i:
+            rank[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+    return parts
+
+
+def _merge_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The same with a heap over a linked list: n log n for a piece of any length."""
     n = len(parts)
-    if n < 2:
-        return parts
-    parts = list(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:]))
             if (r := ranks.get((a, b))) is not None]

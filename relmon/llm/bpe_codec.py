@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from relmon.llm import bpe
 from relmon.llm.common import whole_text
 
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 19      # words a task remembers: some 150 MB
 # Fixed value: the pre-tokenizer's expression, with its own white space spelt out.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|" + rf"[^{bpe.SPACE}\p{{L}}\p{{N}}]+")
 
@@ -57,6 +57,7 @@ class Codec:
                 self.text[i] = s
                 self.automaton.add_word(s, i)
         self.automaton.make_automaton()
+        self.sizes = [len(s) for s in self.text]
         # the longest shorter token that begins a token, or -1
         self.shorter = [-1] * len(self.text)
         for i, s in enumerate(self.text):
@@ -79,7 +80,7 @@ class Codec:
         if ok is None:
             a, b = self.text[left], self.text[right]
             ok = bpe.merge(list(a + b), self.ranks) == [a, b]
-            if len(self.pairs) >= 8 * REMEMBERED:
+            if len(self.pairs) >= 2 * REMEMBERED:
                 self.pairs.clear()
             self.pairs[key] = ok
         return ok
@@ -87,15 +88,18 @@ class Codec:
     def encode_symbols(self, word: str) -> list[int]:
         """Ids of a word over the 512 symbols."""
         n = len(word)
-        longest = [-1] * n
+        if (i := self.automaton.get(word, -1)) >= 0:
+            return [i]
+        longest, sizes = [-1] * n, self.sizes
         for end, i in self.automaton.iter(word):
-            longest[end - len(self.text[i]) + 1] = i     # a later end is a longer token
+            longest[end - sizes[i] + 1] = i     # a later end is a longer token
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at, token, size, pairs, base = 0, longest[0], sizes, self.pairs, len(self.text)
         while at < n:
-            end = at + len(self.text[token])
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
+            end = at + size[token]
+            if not dead[end] and (not out or pairs.get(out[-1] * base + token)
+                                  or self.compatible(out[-1], token)):
                 out.append(token)
                 at = end
                 token = longest[at] if at < n else -1
@@ -104,7 +108,7 @@ class Codec:
             else:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.text[token])
+                at -= size[token]
         return out
 
     def encode_word(self, word: str) -> tuple[int, ...]:

@@ -21,7 +21,7 @@ from relmon.llm import bpe
 from relmon.llm.common import whole_text
 
 LIMIT = 1024
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19      # merged pre-tokens a task remembers: some 90 MB
 # Fixed value: the pre-tokenizer's expression, with its own white space spelt out.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+|" + rf" ?[^{bpe.SPACE}\p{{L}}\p{{N}}]+|"
            + rf"[{bpe.SPACE}]+(?![^{bpe.SPACE}])|[{bpe.SPACE}]+")
