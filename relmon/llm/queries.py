@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relmon.llm import bpe_codec, exact_dedup, simhash_dedup, token_count
+from relmon.llm import bpe_codec, exact_dedup, mixing, quality_rules, simhash_dedup, token_count
 from relmon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,15 @@ def op6_exact_dedup(spark, sf_dir):
 def op7_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document."""
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_temperature_mixing(spark, sf_dir):
+    """How often each document of each source is in the mixture."""
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    """Base counts, log-likelihood ratio and verdict of every document."""
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
