@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relmon.llm import bpe_codec, exact_dedup, mixing, quality_rules, simhash_dedup, token_count
+from relmon.llm import bpe_codec, exact_dedup, line_dedup, mixing, quality_rules, simhash_dedup, token_count
 from relmon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op3_temperature_mixing(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     """Base counts, log-likelihood ratio and verdict of every document."""
     return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Every document without the lines of recurring templates."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
