@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relmon.llm import bpe_codec, exact_dedup, line_dedup, mixing, quality_rules, simhash_dedup, token_count
+from relmon.llm import bpe_codec, compression_quality, exact_dedup, html_extract, line_dedup, mixing, quality_rules, simhash_dedup, token_count
 from relmon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,15 @@ def op10_quality_rules(spark, sf_dir):
 def op4_line_dedup(spark, sf_dir):
     """Every document without the lines of recurring templates."""
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_compression_quality(spark, sf_dir):
+    """Calibrated quality score of every document."""
+    return compression_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
