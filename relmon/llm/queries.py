@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relmon.llm import bpe_codec, compression_quality, exact_dedup, html_extract, line_dedup, mixing, quality_rules, simhash_dedup, token_count
+from relmon.llm import bpe_codec, compression_quality, exact_dedup, html_extract, line_dedup, mixing, pii, quality_rules, simhash_dedup, token_count
 from relmon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op8_html_extraction(spark, sf_dir):
 def op9_compression_quality(spark, sf_dir):
     """Calibrated quality score of every document."""
     return compression_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_pii_spans(spark, sf_dir):
+    """Personal data of every document: base counts and digest, all spans."""
+    return pii.find(table(spark, sf_dir, "documents"))
