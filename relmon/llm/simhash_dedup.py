@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmon.llm.common import stage, whole_text
+from relmon.llm.exact_dedup import keep_rows
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -63,17 +64,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprint_batches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))],
+                                             names=["doc_id", "th", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+    """doc_id, th (hash of the text) and fp (the fingerprint's 64 bits as a
+    signed long) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    raw = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("t"))
-    return raw.mapInArrow(_fingerprint_batches(shingle), f"doc_id {kind}, fp long")
+    text = whole_text(text_col)
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
+    return raw.mapInArrow(_fingerprint_batches(shingle), f"doc_id {kind}, th long, fp long")
 
 
 # ---------------------------------------------------------------- anchors
@@ -273,6 +277,16 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(roots)
 
 
+def _of_fingerprints(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint."""
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    roots = stage(components(links(classes.select("fp"), max_bits)), "roots")
+    smallest = roots.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("cid"))
+    linked = roots.join(smallest, "root").select("fp", "root", "cid")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"),
+                                                     F.coalesce("cid", "rep").alias("component_id"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
@@ -283,10 +297,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives no rows; other columns are not read.
     """
     fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = stage(components(links(classes.select("fp"), max_bits)), "roots")
-    smallest = roots.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("cid"))
-    linked = roots.join(smallest, "root").select("fp", "cid")
-    of = classes.join(linked, "fp", "left").select("fp", F.coalesce("cid", "rep").alias("component_id"))
-    return fps.join(of, "fp").select(
+    return fps.join(_of_fingerprints(fps, max_bits), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id (a
+    null id last), all columns."""
+    fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("th").alias("th")))
+    one = fps.join(_of_fingerprints(fps, max_bits), "fp").groupBy("root").agg(first.alias("k"))
+    one = stage(one.select(F.col("k.id").alias("doc_id"), F.col("k.th").alias("th")), "survivors")
+    # rows that repeat the survivor's id and text are counted, so that one of them stays
+    n = fps.join(one, fps["doc_id"].eqNullSafe(one["doc_id"]) & (fps["th"] == one["th"]), "left_semi")
+    return keep_rows(docs, n.select("doc_id", "th"), id_col, text_col)
