@@ -17,13 +17,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _k(k) -> Column:
+    return k if isinstance(k, Column) else F.lit(float(k))
+
+
 def as_stat(x) -> Column:
-    """Cast to the DECIMAL(15,4) storage type of means, deviations and values."""
-    return _c(x).cast(STAT_TYPE)
+    """The DECIMAL(15,4) storage type of means, deviations and values; a value
+    too large for it is stored as NULL (it never ends the job)."""
+    return _c(x).try_cast(STAT_TYPE)
 
 
 def as_z(x) -> Column:
-    return _c(x).cast(Z_TYPE)
+    """The DECIMAL(10,4) storage type of z-scores, NULL beyond it; flags are
+    computed from the double before this."""
+    return _c(x).try_cast(Z_TYPE)
 
 
 def signed_z(value, mean, std) -> Column:
@@ -53,11 +60,11 @@ def severity_band(z) -> Column:
 
 def threshold_value(mean, std, k=DEFAULT_Z_THRESHOLD) -> Column:
     """Upper alert bound mean + k*std (reported even for drops)."""
-    return _c(mean).cast("double") + F.lit(float(k)) * _c(std).cast("double")
+    return _c(mean).cast("double") + _k(k) * _c(std).cast("double")
 
 
 def expected_low(mean, std, k=DEFAULT_Z_THRESHOLD) -> Column:
-    return _c(mean).cast("double") - F.lit(float(k)) * _c(std).cast("double")
+    return _c(mean).cast("double") - _k(k) * _c(std).cast("double")
 
 
 def drop_pct(value, mean) -> Column:
@@ -109,4 +116,4 @@ def bucket(ts, grain: str) -> Column:
 def fixed(x, digits: int) -> Column:
     """Decimal text with ``digits`` places (HALF_UP on the stored decimal), for
     alert descriptions such as ``Z-Score: 3.60``."""
-    return F.round(_c(x).cast("decimal(38,10)"), digits).cast(f"decimal(28,{digits})").cast("string")
+    return F.round(_c(x).try_cast("decimal(38,10)"), digits).try_cast(f"decimal(28,{digits})").cast("string")

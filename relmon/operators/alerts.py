@@ -130,11 +130,12 @@ def new_alerts(batch: DataFrame, store: DataFrame, key: Sequence[str] = ALERT_KE
 
 
 def cooldown(alerts: DataFrame, minutes: float, key: Sequence[str] = ("alert_type", "source_table"),
-             ts_col: str = "alert_timestamp", order_cols: Sequence[str] = (), split_grain: str = "day") -> DataFrame:
+             ts_col: str = "alert_timestamp", order_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Drop an alert when the previous alert of the same key (kept or not:
     the rule is not chained) is less than ``minutes`` earlier.  Uses the
-    skew-safe ``previous_in_sequence`` so a noisy key is not sorted in one task."""
-    p = previous_in_sequence(alerts, list(key), ts_col, list(order_cols), split_grain=split_grain)
+    skew-safe ``previous_in_sequence``, so a noisy key is not sorted in one
+    task, also when all of its alerts carry one timestamp."""
+    p = previous_in_sequence(alerts, list(key), ts_col, list(order_cols), partitions=partitions)
     gap = S.minutes_between("prev_ts", ts_col)
     return (p.withColumn("gap_minutes", S.as_stat(gap))
              .filter(F.col("prev_ts").isNull() | (gap >= float(minutes))))

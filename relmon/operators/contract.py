@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relmon.session import spread_if_narrow
+from relmon.session import spread
+from relmon.sources.logs import iso_text
 from relmon.specs import Contract, FieldRule
 
 # Violation labels.
@@ -123,6 +124,8 @@ def _variant_pytype(kind: Column) -> Column:
             .when(kind == "STRING", F.lit("str"))
             .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
             .when(kind == "BOOLEAN", F.lit("bool"))
+            # a JSON integer of more than 18 digits is parsed to a DECIMAL without scale
+            .when(kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), F.lit("int"))
             .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), F.lit("float"))
             .when(kind.startswith("ARRAY"), F.lit("list"))
             .when(kind.startswith("OBJECT"), F.lit("dict"))
@@ -183,7 +186,7 @@ def _static_pytype(dt: T.DataType) -> str:
 def _plain_double(c: Column) -> Column:
     """A double printed like Python's repr for ordinary magnitudes: shortest
     round-trip digits, no exponent, at least one decimal place."""
-    s = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"0+$", "")
+    s = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
     s = F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)
     return F.coalesce(s, c.cast("string"))
 
@@ -197,7 +200,7 @@ def typed_field(df: DataFrame, name: str) -> tuple[FieldView, str]:
     elif pt == "bool":
         repr_ = F.when(c, F.lit("True")).otherwise(F.lit("False"))
     elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        repr_ = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        repr_ = iso_text(c)
     else:
         repr_ = c.cast("string")
     text = repr_ if isinstance(dt, (T.TimestampType, T.TimestampNTZType)) else c.cast("string")
@@ -221,8 +224,8 @@ def _one(cond: Column, val: Column) -> Column:
     return F.when(cond, F.array(val)).otherwise(_empty_s())
 
 
-def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Column, Column]:
-    """(messages, kinds) of one present field, in the order the rules are
+def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Column, Column, Column]:
+    """(fails, messages, kinds) of one present field, in the order the rules are
     checked; both empty when the field is fine.  Built from ``concat`` of
     conditional one-element arrays so the whole rule set stays in generated
     code (no higher-order function)."""
@@ -234,7 +237,7 @@ def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Col
     if contract.coerce_types:
         # lenient mode: a value that converts to the declared type passes
         if rule.python_type in ("int", "float"):
-            type_ok = type_ok | fv.number.isNotNull() | fv.text.cast("double").isNotNull()
+            type_ok = type_ok | fv.number.isNotNull() | fv.text.try_cast("double").isNotNull()
         elif rule.python_type == "str":
             type_ok = type_ok | fv.pytype.isin("int", "float", "bool")
         elif rule.python_type == "bool":
@@ -277,7 +280,8 @@ def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Col
                            _render(MSG_MIN_VALUE, name=n, value=fv.repr, limit=_num_text(m))))
         if "max_value" in cons:
             m = cons["max_value"]
-            checks.append((fv.number > F.lit(float(m)), "max_value",
+            # Spark orders NaN above every number; it is neither too large nor too small
+            checks.append(((fv.number > F.lit(float(m))) & ~F.isnan(fv.number), "max_value",
                            _render(MSG_MAX_VALUE, name=n, value=fv.repr, limit=_num_text(m))))
         if "precision" in cons and t == "float":
             p = int(cons["precision"])
@@ -286,9 +290,15 @@ def _errors_for(rule: FieldRule, fv: FieldView, contract: Contract) -> tuple[Col
                            _render(MSG_PRECISION, name=n, digits=digits.cast("string"), limit=p)))
     cons_m = F.concat(*[_one(c, m) for c, _, m in checks]) if checks else _empty_s()
     cons_k = F.concat(*[_one(c, F.lit(k)) for c, k, _ in checks]) if checks else _empty_s()
+    # one boolean first; messages are built for failing fields only
+    broken = F.lit(False)
+    for c, _, _ in checks:
+        broken = broken | F.coalesce(c, F.lit(False))
+    null_bad = F.lit(not rule.nullable and contract.check_null_constraints)
+    bad = fv.present & F.when(fv.is_null, null_bad).when(~type_ok, F.lit(True)).otherwise(broken)
     msgs = F.when(fv.is_null, null_m).when(~type_ok, type_m).otherwise(cons_m)
     kinds = F.when(fv.is_null, null_k).when(~type_ok, type_k).otherwise(cons_k)
-    return msgs, kinds
+    return bad, msgs, kinds
 
 
 def _empty_v() -> Column:
@@ -313,7 +323,7 @@ def _violation(rule: FieldRule, msgs: Column, kinds: Column, fv: FieldView, pos:
         F.lit(rule.type).alias("expected_type"),
         fv.pytype.alias("actual_type"),
         msgs.alias("errors"))
-    return F.when(fv.present & (F.size(msgs) > 0), F.array(v)).otherwise(_empty_v())
+    return F.when(msgs.isNotNull(), F.array(v)).otherwise(_empty_v())
 
 
 def _missing(rule: FieldRule, fv: FieldView, idx: int) -> Column:
@@ -367,11 +377,12 @@ def _violation_columns(df: DataFrame, contract: Contract, views: dict[str, Field
                        keys: Column | None):
     """Adds message/kind arrays and then a [violation]-or-[] column per field."""
     fields = list(contract.fields)
+    rules = [_errors_for(f, views[f.name], contract) for f in fields]
+    df = df.select("*", *[bad.alias(f"_{tag}b{i}") for i, (bad, _, _) in enumerate(rules)])
     errs = {}
-    for i, f in enumerate(fields):
-        m, k = _errors_for(f, views[f.name], contract)
-        errs[f"_{tag}m{i}"] = m
-        errs[f"_{tag}g{i}"] = k
+    for i, (_, m, k) in enumerate(rules):
+        errs[f"_{tag}m{i}"] = F.when(F.col(f"_{tag}b{i}"), m)
+        errs[f"_{tag}g{i}"] = F.when(F.col(f"_{tag}b{i}"), k)
     df = df.select("*", *[c.alias(k) for k, c in errs.items()])
     viols = {}
     for i, f in enumerate(fields):
@@ -406,12 +417,12 @@ def _drop_work(df: DataFrame, tag: str) -> DataFrame:
     pushed through every projection above and re-inline the whole compiled
     contract into the filter.  Filters cannot move below a generator on the
     columns it produces, so the result passes through a one-row
-    ``inline(array(struct(*)))``; that costs a row copy, not a shuffle.
+    ``inline(array(struct(violations, is_valid)))``; the record's own columns
+    stay outside of it, so filters on them still reach the scan.
     """
-    keep = [c for c in df.columns if not c.startswith(f"_{tag}")]
-    out = df.select(*keep).withColumn("is_valid", F.size("violations") == 0)
-    cols = out.columns
-    return out.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in cols]))))
+    keep = [c for c in df.columns if not c.startswith(f"_{tag}") and c != "violations"]
+    verdict = F.struct(F.col("violations"), (F.size("violations") == 0).alias("is_valid"))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(verdict)))
 
 
 def _trim_view(rule: FieldRule, fv: FieldView, coerce: bool = False) -> FieldView:
@@ -428,15 +439,16 @@ def _trim_view(rule: FieldRule, fv: FieldView, coerce: bool = False) -> FieldVie
 
 
 def validate_variant(df: DataFrame, contract: Contract, record_col: str = "record",
-                     keys_col: str | None = None) -> DataFrame:
-    """Validate one VARIANT record per row.
+                     keys_col: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Validate one VARIANT record per row (round-robin over ``partitions``
+    tasks first, if given).
 
     ``keys_col`` may name an ARRAY<STRING> of the record's keys in source
     order (e.g. ``json_object_keys(raw_text)``); without it the keys are
     taken from the variant (sorted order).
     """
     tag = "cv"
-    df = spread_if_narrow(df)
+    df = spread(df, partitions)
     rec = F.col(record_col)
     fields = contract.fields
     stage = df.select("*", *[F.variant_get(rec, _path(f.name), "variant").alias(f"_{tag}x{i}")
@@ -455,7 +467,8 @@ def validate_variant(df: DataFrame, contract: Contract, record_col: str = "recor
     return _drop_work(out, tag)
 
 
-def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "table") -> DataFrame:
+def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "table",
+                   partitions: int | None = None) -> DataFrame:
     """Validate a typed table row by row.
 
     Fields whose *column type* already contradicts the contract (and
@@ -465,7 +478,7 @@ def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "ta
     fields.  ``"row"`` reproduces one violation per row for them as well.
     """
     tag = "ct"
-    df = spread_if_narrow(df)
+    df = spread(df, partitions)
     views: dict[str, FieldView] = {}
     rules = []
     for f in contract.fields:

@@ -68,17 +68,20 @@ def volume_check(df: DataFrame, time_col: str, baseline: DataFrame, as_of, metri
     skipped, not as a volume anomaly, unless ``zero_is_anomaly``).
     """
     cur = current_volume(df, time_col, as_of, window_hours, by)
-    base = (baseline.filter((F.col("metric_name") == metric_name) & (F.col("table_name") == table_name))
-                    .select(*by, F.col("mean_value").alias("baseline_mean"),
-                            F.col("std_deviation").alias("baseline_std"), "sample_size"))
+    base = baseline.filter((F.col("metric_name") == metric_name) & (F.col("table_name") == table_name))
+    if by and "calculation_timestamp" in base.columns:
+        # several generations may be stored: the latest of each key
+        base = latest_baseline(base, ["metric_name", "table_name", *by])
+    base = base.select(*by, F.col("mean_value").alias("baseline_mean"), F.col("std_deviation").alias("baseline_std"),
+                       "sample_size", *[c for c in ("calculation_timestamp",) if c in base.columns and not by])
     if by:
         j = cur.join(base, list(by), "full")
     else:
         # table-level check: the global aggregate is exactly one row; the
         # baseline, reduced to one row, is attached as a scalar subquery
         # (no join of any kind)
-        one = base.agg(F.max_by(F.struct("baseline_mean", "baseline_std", "sample_size"),
-                                F.col("sample_size")).alias("_b"))
+        newest = F.col("calculation_timestamp") if "calculation_timestamp" in base.columns else F.col("sample_size")
+        one = base.agg(F.max_by(F.struct("baseline_mean", "baseline_std", "sample_size"), newest).alias("_b"))
         j = cur.withColumn("_b", one.scalar()).select("*", "_b.*").drop("_b")
     cnt = F.coalesce(F.col("current_count"), F.lit(0))
     z = S.signed_z(cnt, "baseline_mean", "baseline_std")
@@ -142,18 +145,28 @@ def score_buckets(series: DataFrame, keys: Sequence[str] = ("metric_name",), bas
 
     Without ``baseline`` each key is scored against the mean / sample sd of
     its own series (window over the aggregated series, one shuffle, no join).
-    With ``baseline`` (one row per key) the series is joined to it."""
+    With ``baseline`` (one row per key, e.g. a seasonal baseline whose keys
+    the series carries) the series is left-joined to it.  ``status`` is
+    ``evaluated``, ``skipped_no_baseline`` for a key without one, or
+    ``skipped_few_samples`` when the baseline is marked insufficient; skipped
+    buckets have no z and are no anomalies."""
     if baseline is None:
         w = Window.partitionBy(*keys)
         s = (series.withColumn("mean_value", S.as_stat(F.avg("value").over(w)))
                    .withColumn("std_deviation", S.as_stat(F.coalesce(F.stddev_samp("value").over(w), F.lit(0.0))))
                    .withColumn("sample_size", F.count(F.lit(1)).over(w).cast("int")))
     else:
-        s = series.join(baseline.select(*keys, "mean_value", "std_deviation", "sample_size"), list(keys))
-    z = S.signed_z("value", "mean_value", "std_deviation")
+        marked = "baseline_status" in baseline.columns
+        s = series.join(baseline.select(*keys, "mean_value", "std_deviation", "sample_size",
+                                        *(["baseline_status"] if marked else [])), list(keys), "left")
+    few = F.coalesce(F.col("baseline_status") == "insufficient", F.lit(False)) if "baseline_status" in s.columns \
+        else F.lit(False)
+    s = s.withColumn("status", F.when(F.col("mean_value").isNull(), "skipped_no_baseline")
+                     .when(few, "skipped_few_samples").otherwise("evaluated"))
+    z = F.when(F.col("status") == "evaluated", S.signed_z("value", "mean_value", "std_deviation"))
     return (s.withColumn("signed_z", S.as_z(z))
              .withColumn("z_score", S.as_z(F.abs(z)))
-             .withColumn("is_anomaly", S.is_anomaly(z, threshold, inclusive))
+             .withColumn("is_anomaly", F.coalesce(S.is_anomaly(z, threshold, inclusive), F.lit(False)))
              .withColumn("severity_band", S.severity_band(z)))
 
 
@@ -163,20 +176,46 @@ def breach_counts(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                                      F.sum(F.col("is_anomaly").cast("int")).cast("long").alias("breaches"))
 
 
+def expected_bucket(as_of, grain: str) -> _dt.datetime:
+    """Start of the last complete bucket before ``as_of``."""
+    t = to_datetime(as_of)
+    if grain == "hour":
+        return t.replace(minute=0, second=0, microsecond=0) - _dt.timedelta(hours=1)
+    return _dt.datetime(t.year, t.month, t.day) - _dt.timedelta(days=1)
+
+
 def deviation_table(series: DataFrame, keys: Sequence[str] = ("metric_name",),
-                    threshold: float = DEFAULT_Z_THRESHOLD) -> DataFrame:
-    """Per metric: the latest bucket's value against the baseline of all
-    earlier buckets (mean +- k sd, z).  One window to find the latest bucket,
-    then conditional aggregates on the same partitioning."""
-    w = Window.partitionBy(*keys)
-    s = series.withColumn("_cur", F.col("bucket") == F.max("bucket").over(w))
+                    threshold: float | Column = DEFAULT_Z_THRESHOLD, as_of=None, grain: str = "day",
+                    missing_is_zero: bool = False) -> DataFrame:
+    """Per metric: the current bucket's value against the baseline of all
+    earlier buckets (mean +- k sd, z), in one aggregation.
+
+    With ``as_of`` the current bucket is the last complete one before it: a
+    feed that delivered nothing then has status ``skipped_no_data`` (or counts
+    as zero with ``missing_is_zero``), it isn't scored on an old bucket.
+    Without ``as_of`` the newest bucket of each key is meant, whenever it was.
+    ``status`` is also ``skipped_no_baseline`` where no earlier bucket exists."""
+    if as_of is None:
+        w = Window.partitionBy(*keys)
+        s = series.withColumn("_cur", F.col("bucket") == F.max("bucket").over(w))
+        current = F.max("bucket")
+    else:
+        at = F.lit(expected_bucket(as_of, grain)).cast("timestamp_ntz")
+        at = at.cast("date") if grain == "day" else at
+        s = series.filter(F.col("bucket") <= at).withColumn("_cur", F.col("bucket") == at)
+        current = at
     hist = F.when(~F.col("_cur"), F.col("value"))
+    found = F.max(F.when(F.col("_cur"), F.col("value")))
+    if missing_is_zero:
+        found = F.coalesce(found, F.lit(0.0))
     agg = s.groupBy(*keys).agg(
-        F.max("bucket").alias("current_bucket"),
-        F.max(F.when(F.col("_cur"), F.col("value"))).alias("current_value"),
+        current.alias("current_bucket"),
+        found.alias("current_value"),
         S.as_stat(F.avg(hist)).alias("mean_value"),
         S.as_stat(F.coalesce(F.stddev_samp(hist), F.when(F.count(hist) > 0, F.lit(0.0)))).alias("std_deviation"),
         F.count(hist).cast("int").alias("sample_size"))
+    status = (F.when(F.col("current_value").isNull(), "skipped_no_data")
+              .when(F.col("sample_size") == 0, "skipped_no_baseline").otherwise("evaluated"))
     z = S.signed_z("current_value", "mean_value", "std_deviation")
     return agg.select(
         *keys, "current_bucket", S.as_stat("current_value").alias("current_value"),
@@ -185,7 +224,7 @@ def deviation_table(series: DataFrame, keys: Sequence[str] = ("metric_name",),
         S.as_stat(S.threshold_value("mean_value", "std_deviation", threshold)).alias("expected_high"),
         S.as_z(z).alias("signed_z"),
         F.coalesce(S.is_anomaly(z, threshold), F.lit(False)).alias("is_anomaly"),
-        S.severity_band(z).alias("severity_band"))
+        S.severity_band(z).alias("severity_band"), status.alias("status"))
 
 
 def z_trajectory(series: DataFrame, ref_start, ref_end, keys: Sequence[str] = ("metric_name",),
@@ -205,50 +244,95 @@ def z_trajectory(series: DataFrame, ref_start, ref_end, keys: Sequence[str] = ("
              .withColumn("severity_band", S.severity_band(z)))
 
 
+def _in_time_ranges(df: DataFrame, keys: Sequence[str], time_col: str, order_cols: Sequence[str],
+                    partitions: int | None) -> DataFrame:
+    """Rows range-partitioned and sorted by (keys, time, order_cols), with the
+    partition's number.  The ranges come from a sample of the data, so a key
+    that holds most rows is cut into as many ranges as it needs, also where
+    many of its rows have one time: a hash of the row is the last sort key."""
+    order = [F.col(c) for c in (*keys, time_col, *order_cols)]
+    d = df.withColumn("_tie", F.xxhash64(*df.columns))
+    order = [*order, F.col("_tie")]
+    d = d.repartitionByRange(partitions, *order) if partitions else d.repartitionByRange(*order)
+    return d.withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)
+
+
 def previous_in_sequence(df: DataFrame, keys: Sequence[str], time_col: str, order_cols: Sequence[str] = (),
-                         split_grain: str = "hour") -> DataFrame:
+                         partitions: int | None = None) -> DataFrame:
     """Adds ``prev_ts``: the time of the previous row of the same key in
     (time, order_cols) order.
 
-    Skew-safe: a plain ``lag`` over ``partitionBy(key)`` would sort a hot
-    key (say a third of the table) in one task.  Rows are instead windowed per
-    (key, time split) and the first row of each split takes the maximum time
-    of the key's latest earlier non-empty split, computed from a per-split
-    aggregate (#keys x #splits rows).  The raw rows are shuffled once, on
-    (key, split); the join back reuses that partitioning.
+    Skew-safe: a plain ``lag`` over ``partitionBy(key)`` would sort a hot key
+    in one task.  Rows are range-partitioned by (key, time) - one shuffle whose
+    splits follow the data - and looked at in windows of (partition, key),
+    where nothing more is moved.  The first row of a (partition, key) takes the
+    last time of the key's partition before it, from a table with one row for
+    each; partitions are numbered in time order within a key.
     """
-    d = df.withColumn("_split", S.bucket(time_col, split_grain))
-    w_in = Window.partitionBy(*keys, "_split").orderBy(F.col(time_col), *[F.col(c) for c in order_cols])
+    d = _stage(_in_time_ranges(df, keys, time_col, order_cols, partitions))
+    w_in = Window.partitionBy("_part", *keys).orderBy(time_col, *order_cols, "_tie")
     d = d.withColumn("_prev_in", F.lag(time_col).over(w_in))
-    edges = d.groupBy(*keys, "_split").agg(F.max(time_col).alias("_split_max"))
-    w_s = Window.partitionBy(*keys).orderBy("_split")
-    edges = edges.select(*keys, "_split", F.lag("_split_max").over(w_s).alias("_prev_split_max"))
-    out = d.join(edges, [*keys, "_split"], "left")
-    return (out.withColumn("prev_ts", F.coalesce(F.col("_prev_in"), F.col("_prev_split_max")))
-               .drop("_prev_in", "_prev_split_max", "_split"))
-
-
-def interarrival_gaps(df: DataFrame, keys: Sequence[str], time_col: str, split_grain: str = "hour") -> DataFrame:
+    edges = d.groupBy("_part", *keys).agg(F.max(time_col).alias("_last"))
+    w_s = Window.partitionBy(*keys).orderBy("_part")
+    edges = edges.select(F.col("_part").alias("_e_part"), *[F.col(k).alias(f"_e_{k}") for k in keys],
+                         F.lag("_last").over(w_s).alias("_prev_part"))
+    same = F.col("_part") == F.col("_e_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    out = d.join(edges, same, "left")
+    return (out.withColumn("prev_ts", F.coalesce(F.col("_prev_in"), F.col("_prev_part")))
+               .select(*df.columns, "prev_ts"))
+
+
+def _stage(df: DataFrame) -> DataFrame:
+    """The ranges are drawn from a sample, so the numbered partitions are
+    written once (in the shared folder) for all that is computed on them."""
+    import uuid
+
+    from relmon.session import scratch_path
+    path = scratch_path(df.sparkSession, f"sequence-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def interarrival_gaps(df: DataFrame, keys: Sequence[str], time_col: str, partitions: int | None = None) -> DataFrame:
     """Inter-arrival gap (minutes) of every row after the first of its key."""
-    p = previous_in_sequence(df.select(*keys, time_col), keys, time_col, split_grain=split_grain)
+    p = previous_in_sequence(df.select(*keys, time_col), keys, time_col, partitions=partitions)
     return (p.filter(F.col("prev_ts").isNotNull())
              .withColumn("gap_minutes", S.minutes_between("prev_ts", time_col)))
 
 
 def interarrival_freshness(df: DataFrame, keys: Sequence[str], time_col: str, as_of,
-                           threshold: float = DEFAULT_Z_THRESHOLD, split_grain: str = "hour") -> DataFrame:
+                           threshold: float = DEFAULT_Z_THRESHOLD, partitions: int | None = None) -> DataFrame:
     """Freshness as a z-score: the current silence (as_of - last record)
     against the distribution of past inter-arrival gaps of the same key.
-    One pass over the raw rows: the gaps and the latest time per key come
-    from the same skew-safe sequencing and one aggregation."""
-    p = previous_in_sequence(df.select(*keys, time_col), keys, time_col, split_grain=split_grain)
-    gap = F.when(F.col("prev_ts").isNotNull(), S.minutes_between("prev_ts", time_col))
-    j = p.groupBy(*keys).agg(
-        F.max(time_col).alias("latest_timestamp"),
-        F.count(gap).cast("long").alias("n_gaps"),
-        S.as_stat(F.avg(gap)).alias("mean_gap_minutes"),
-        S.as_stat(F.when(F.count(gap) > 0, F.coalesce(F.stddev_samp(gap), F.lit(0.0)))).alias("std_gap_minutes"),
-        S.as_stat(F.max(gap)).alias("max_gap_minutes"))
+
+    One read of the (key, time) columns and no join: rows are range-partitioned
+    by (key, time); each (partition, key) is reduced to its first and last time
+    and the count, sum, sum of squares and maximum of its gaps; a ``lag`` over
+    that small table adds the gaps between partitions."""
+    d = _in_time_ranges(df.select(*keys, time_col).filter(F.col(time_col).isNotNull()), keys, time_col, (), partitions)
+    w_in = Window.partitionBy("_part", *keys).orderBy(time_col)
+    gap = S.minutes_between(F.lag(time_col).over(w_in), time_col)
+    d = d.withColumn("_gap", gap)
+    part = d.groupBy("_part", *keys).agg(
+        F.min(time_col).alias("first"), F.max(time_col).alias("last"), F.count("_gap").alias("n"),
+        F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("q"),
+        F.max("_gap").alias("m"))
+    # ranges of a key follow each other in time
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("first", "last"))
+    part = part.withColumn("_edge", S.minutes_between(before, "first"))
+    edge = F.coalesce(F.col("_edge"), F.lit(0.0))
+    one = F.col("_edge").isNotNull().cast("long")
+    g = part.groupBy(*keys).agg(F.max("last").alias("latest_timestamp"), F.sum(F.col("n") + one).alias("n_gaps"),
+                                F.sum(F.col("s") + edge).alias("s"), F.sum(F.col("q") + edge * edge).alias("q"),
+                                F.max(F.greatest(F.col("m"), F.col("_edge"))).alias("m"))
+    n = F.col("n_gaps")
+    mean = F.when(n > 0, F.col("s") / n)
+    var = F.greatest((F.col("q") - F.col("s") * F.col("s") / n) / (n - 1), F.lit(0.0))
+    j = g.select(*keys, "latest_timestamp", n.cast("long").alias("n_gaps"), S.as_stat(mean).alias("mean_gap_minutes"),
+                 S.as_stat(F.when(n > 1, F.sqrt(var)).when(n == 1, F.lit(0.0))).alias("std_gap_minutes"),
+                 S.as_stat("m").alias("max_gap_minutes"))
     cur = S.minutes_between("latest_timestamp", _lit_ts(as_of))
     z = S.signed_z(cur, "mean_gap_minutes", "std_gap_minutes")
     return j.select(*keys, "latest_timestamp", "n_gaps", "mean_gap_minutes", "std_gap_minutes", "max_gap_minutes",

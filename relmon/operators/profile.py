@@ -220,3 +220,22 @@ def smoothed_baselines(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("m
     sm = F.when(F.col("old_mean").isNull(), F.col("new_mean").cast("double")).otherwise(
         F.lit(alpha) * F.col("new_mean").cast("double") + F.lit(1.0 - alpha) * F.col("old_mean").cast("double"))
     return j.withColumn("smoothed_mean", S.as_stat(sm))
+
+
+def smoothed_split(series: DataFrame, cut, keys: Sequence[str] = ("metric_name",), alpha: float = 0.1) -> DataFrame:
+    """:func:`smoothed_baselines` of the buckets before ``cut`` (old) and from
+    ``cut`` on (new), by conditional aggregates over one read of the series.
+    Keys without a new bucket have no row."""
+    at = F.lit(to_datetime(cut)).cast("timestamp_ntz")
+    is_new = F.col("bucket").cast("timestamp_ntz") >= at
+
+    def stats(tag: str, cond: Column) -> list[Column]:
+        v = F.when(cond, F.col("value"))
+        return [S.as_stat(F.avg(v)).alias(f"{tag}_mean"),
+                S.as_stat(F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0)))).alias(f"{tag}_std")]
+    g = series.groupBy(*keys).agg(*stats("new", is_new), *stats("old", ~is_new),
+                                  F.count(F.when(is_new, 1)).cast("int").alias("sample_size"))
+    sm = F.when(F.col("old_mean").isNull(), F.col("new_mean").cast("double")).otherwise(
+        F.lit(alpha) * F.col("new_mean").cast("double") + F.lit(1.0 - alpha) * F.col("old_mean").cast("double"))
+    return g.filter(F.col("sample_size") > 0).select(*keys, "new_mean", "new_std", "sample_size", "old_mean", "old_std",
+                                                     S.as_stat(sm).alias("smoothed_mean"))

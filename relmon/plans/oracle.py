@@ -147,21 +147,22 @@ WITH d AS (SELECT CAST(o_orderdate AS DATE) AS bucket, CAST(COUNT(*) AS DOUBLE)
                   CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*) AS avg_order_value
            FROM orders WHERE {_ORDERS_30D} GROUP BY 1),
 s AS (UNPIVOT d ON daily_orders, daily_revenue, avg_order_value INTO NAME metric_name VALUE value),
-mx AS (SELECT metric_name, MAX(bucket) AS current_bucket FROM s GROUP BY 1),
-a AS (SELECT s.metric_name, mx.current_bucket,
-             MAX(CASE WHEN s.bucket = mx.current_bucket THEN value END) AS cv,
-             CAST(AVG(CASE WHEN s.bucket <> mx.current_bucket THEN value END) AS DECIMAL(15,4)) AS mean_value,
-             CAST(COALESCE(STDDEV_SAMP(CASE WHEN s.bucket <> mx.current_bucket THEN value END),
-                           CASE WHEN COUNT(CASE WHEN s.bucket <> mx.current_bucket THEN value END) > 0 THEN 0.0 END)
+a AS (SELECT metric_name, DATE '2001-08-01' AS current_bucket,
+             MAX(CASE WHEN bucket = DATE '2001-08-01' THEN value END) AS cv,
+             CAST(AVG(CASE WHEN bucket < DATE '2001-08-01' THEN value END) AS DECIMAL(15,4)) AS mean_value,
+             CAST(COALESCE(STDDEV_SAMP(CASE WHEN bucket < DATE '2001-08-01' THEN value END),
+                           CASE WHEN COUNT(CASE WHEN bucket < DATE '2001-08-01' THEN value END) > 0 THEN 0.0 END)
                   AS DECIMAL(15,4)) AS std_deviation,
-             CAST(COUNT(CASE WHEN s.bucket <> mx.current_bucket THEN value END) AS INTEGER) AS sample_size
-      FROM s JOIN mx USING (metric_name) GROUP BY 1, 2),
+             CAST(COUNT(CASE WHEN bucket < DATE '2001-08-01' THEN value END) AS INTEGER) AS sample_size
+      FROM s WHERE bucket <= DATE '2001-08-01' GROUP BY 1),
 z AS (SELECT *, {_Z.format(v='cv', m='mean_value', sd='std_deviation')} AS z FROM a)
 SELECT metric_name, current_bucket, CAST(cv AS DECIMAL(15,4)) AS current_value, mean_value, std_deviation, sample_size,
        CAST(CAST(mean_value AS DOUBLE) - 3.0 * CAST(std_deviation AS DOUBLE) AS DECIMAL(15,4)) AS expected_low,
        CAST(CAST(mean_value AS DOUBLE) + 3.0 * CAST(std_deviation AS DOUBLE) AS DECIMAL(15,4)) AS expected_high,
        CAST(z AS DECIMAL(10,4)) AS signed_z, COALESCE(abs(z) > 3.0, false) AS is_anomaly,
-       {_BAND.format(z='z')} AS severity_band
+       {_BAND.format(z='z')} AS severity_band,
+       CASE WHEN cv IS NULL THEN 'skipped_no_data' WHEN sample_size = 0 THEN 'skipped_no_baseline'
+            ELSE 'evaluated' END AS status
 FROM z
 """
 
@@ -621,27 +622,26 @@ FROM al
 SQL["stream_freshness"] = SQL["freshness_check"]
 
 
-def _dev_sql(series: str, thresholds: dict[str, float], table: str) -> str:
-    """Deviation checks (latest bucket vs the others) over a long series CTE."""
+def _dev_sql(series: str, thresholds: dict[str, float], table: str, at: str) -> str:
+    """Deviation checks (bucket ``at`` vs the earlier ones) over a long series CTE."""
     case = " ".join(f"WHEN '{k}' THEN {v}" for k, v in thresholds.items())
     return f"""
 SELECT 'volume' AS check_type, '{table}' AS source_table, metric_name AS check_key,
        CAST(CAST(cv AS DECIMAL(15,4)) AS DOUBLE) AS metric_value,
        CAST(mean_value AS DOUBLE) + thr * CAST(std_deviation AS DOUBLE) AS threshold_value,
        abs(CAST(CAST(z AS DECIMAL(10,4)) AS DOUBLE)) AS z_score,
-       COALESCE(abs(CAST(CAST(z AS DECIMAL(10,4)) AS DOUBLE)) > thr, false) AS is_anomaly,
-       CASE WHEN sample_size > 0 THEN 'evaluated' ELSE 'skipped_no_baseline' END AS status
+       COALESCE(abs(z) > thr, false) AS is_anomaly,
+       CASE WHEN cv IS NULL THEN 'skipped_no_data' WHEN sample_size > 0 THEN 'evaluated'
+            ELSE 'skipped_no_baseline' END AS status
 FROM (SELECT *, {_Z.format(v='cv', m='mean_value', sd='std_deviation')} AS z,
              CASE metric_name {case} ELSE 3.0 END AS thr
-      FROM (SELECT s.metric_name, MAX(CASE WHEN s.bucket = mx.cb THEN value END) AS cv,
-                   CAST(AVG(CASE WHEN s.bucket <> mx.cb THEN value END) AS DECIMAL(15,4)) AS mean_value,
-                   CAST(COALESCE(STDDEV_SAMP(CASE WHEN s.bucket <> mx.cb THEN value END),
-                        CASE WHEN COUNT(CASE WHEN s.bucket <> mx.cb THEN value END) > 0 THEN 0.0 END)
+      FROM (SELECT metric_name, MAX(CASE WHEN bucket = {at} THEN value END) AS cv,
+                   CAST(AVG(CASE WHEN bucket < {at} THEN value END) AS DECIMAL(15,4)) AS mean_value,
+                   CAST(COALESCE(STDDEV_SAMP(CASE WHEN bucket < {at} THEN value END),
+                        CASE WHEN COUNT(CASE WHEN bucket < {at} THEN value END) > 0 THEN 0.0 END)
                         AS DECIMAL(15,4)) AS std_deviation,
-                   COUNT(CASE WHEN s.bucket <> mx.cb THEN value END) AS sample_size
-            FROM {series} s JOIN (SELECT metric_name, MAX(bucket) AS cb FROM {series} GROUP BY 1) mx
-                 USING (metric_name)
-            GROUP BY 1))
+                   COUNT(CASE WHEN bucket < {at} THEN value END) AS sample_size
+            FROM {series} WHERE bucket <= {at} GROUP BY 1))
 """
 
 
@@ -662,11 +662,11 @@ WITH od AS (SELECT CAST(o_orderdate AS DATE) AS bucket, CAST(COUNT(*) AS DOUBLE)
 os AS (UNPIVOT od ON daily_row_count, daily_revenue INTO NAME metric_name VALUE value),
 es AS (SELECT 'hourly_ingestion_rate' AS metric_name, date_trunc('hour', ts) AS bucket,
               CAST(COUNT(*) AS DOUBLE) AS value FROM events WHERE {_EVENTS_24H} GROUP BY 2)
-{_dev_sql('os', {'daily_row_count': 3.0, 'daily_revenue': 2.5}, 'orders')}
+{_dev_sql('os', {'daily_row_count': 3.0, 'daily_revenue': 2.5}, 'orders', "DATE '2001-08-01'")}
 UNION ALL
 {_fresh_sql('orders', 'o_orderdate', '2001-08-02 00:00:00')}
 UNION ALL
-{_dev_sql('es', {'hourly_ingestion_rate': 3.0}, 'events')}
+{_dev_sql('es', {'hourly_ingestion_rate': 3.0}, 'events', "TIMESTAMP '2024-01-30 23:00:00'")}
 UNION ALL
 {_fresh_sql('events', 'ts', '2024-01-31 00:00:00')}
 """
@@ -675,8 +675,7 @@ SQL["monitor_scorecard"] = f"""
 WITH chk AS ({SQL["monitor_checks"]}),
 al AS (SELECT CASE check_type WHEN 'volume' THEN 'VOLUME_ANOMALY' ELSE 'STALE_DATA_FLOW' END AS alert_type,
               'CRITICAL' AS alert_severity,
-              CASE source_table WHEN 'orders' THEN TIMESTAMP '2001-08-02 00:00:00'
-                   ELSE TIMESTAMP '2024-01-31 00:00:00' END AS alert_timestamp
+              TIMESTAMP '2024-01-31 00:00:00' AS alert_timestamp
        FROM chk WHERE is_anomaly),
 {_RECENT},
 a AS (SELECT {_COUNTS} FROM r),
@@ -711,3 +710,51 @@ FROM z GROUP BY 1
 """
 
 SQL["json_log_contract_summary"] = SQL["contract_summary"]
+
+# ---------------------------------------------------------------- stores, generations, outages, lenient mode
+
+SQL["volume_check_generations"] = SQL["volume_check"]
+
+SQL["outage_check"] = f"""
+WITH s AS (SELECT event_type, date_trunc('hour', ts) AS bucket, CAST(COUNT(*) AS DOUBLE) AS value
+           FROM events WHERE ts < TIMESTAMP '2024-01-31 00:00:00'
+             AND NOT (event_type = 'click' AND ts >= TIMESTAMP '2024-01-30 20:00:00') GROUP BY 1, 2)
+SELECT event_type, MAX(CASE WHEN bucket = TIMESTAMP '2024-01-30 23:00:00' THEN CAST(value AS DECIMAL(15,4)) END) AS current_value,
+       CAST(COUNT(CASE WHEN bucket < TIMESTAMP '2024-01-30 23:00:00' THEN 1 END) AS INTEGER) AS sample_size,
+       CASE WHEN MAX(CASE WHEN bucket = TIMESTAMP '2024-01-30 23:00:00' THEN 1 END) IS NULL THEN 'skipped_no_data'
+            ELSE 'evaluated' END AS status
+FROM s GROUP BY 1
+"""
+
+SQL["contract_lenient_types"] = """
+SELECT 'customer_id' AS field_name, COUNT(*) AS violation_count FROM orders WHERE o_orderkey % 73 = 0 HAVING COUNT(*) > 0
+"""
+
+SQL["contract_sample"] = """
+SELECT o_orderkey AS record_id FROM orders ORDER BY o_orderkey LIMIT 100
+"""
+
+SQL["baseline_store"] = SQL["latest_baseline"]
+
+SQL["alert_store_replay"] = f"""
+WITH {_AL}
+SELECT CAST(alert_timestamp AS DATE) AS alert_day, COUNT(DISTINCT (alert_type, source_table, alert_timestamp)) AS alerts
+FROM al GROUP BY 1
+"""
+
+SQL["metric_csv_series"] = """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS bucket, COUNT(*) AS n, SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS r
+           FROM orders GROUP BY 1)
+SELECT 'daily_orders' AS metric_name, bucket, CAST(n AS DOUBLE) AS value FROM d
+UNION ALL SELECT 'daily_revenue', bucket, CAST(r AS DOUBLE) FROM d
+UNION ALL SELECT 'avg_order_value', bucket, CAST(CAST(n AS DECIMAL(10,2)) AS DOUBLE) FROM d
+"""
+
+SQL["open_alerts"] = f"""
+WITH {_AL} SELECT alert_type, COUNT(*) AS alerts FROM al GROUP BY 1
+"""
+
+SQL["monitor_contract_alerts"] = f"""
+WITH v AS ({SQL["contract_violations_json"]})
+SELECT field_name, COUNT(DISTINCT 1) AS alerts, TIMESTAMP '2024-01-31 00:00:00' AS alert_timestamp FROM v GROUP BY 1
+"""

@@ -145,9 +145,9 @@ def _daily_business_series(spark, sf_dir):
 
 @query
 def deviation_table(spark, sf_dir):
-    """J-5 / DT-7: latest day of each business metric vs its earlier days."""
+    """J-5 / DT-7: the last complete day before as-of vs the earlier days."""
     ensure_utc(spark)
-    return D.deviation_table(_daily_business_series(spark, sf_dir), keys=["metric_name"])
+    return D.deviation_table(_daily_business_series(spark, sf_dir), keys=["metric_name"], as_of=ORDERS_AS_OF)
 
 
 def _hourly_by_type(spark, sf_dir):
@@ -185,11 +185,8 @@ def outlier_rejected_baseline(spark, sf_dir):
 def smoothed_baseline(spark, sf_dir):
     """DT-9: alpha=0.1 smoothing of the first-half baseline by the second half."""
     ensure_utc(spark)
-    s = _hourly_by_type(spark, sf_dir)
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    old = P.baselines(s.filter(F.col("bucket") < cut), keys=["event_type", "metric_name"])
-    new = P.baselines(s.filter(F.col("bucket") >= cut), keys=["event_type", "metric_name"])
-    return P.smoothed_baselines(old, new, keys=["event_type", "metric_name"], alpha=0.1)
+    return P.smoothed_split(_hourly_by_type(spark, sf_dir), "2024-01-16 00:00:00",
+                            keys=["event_type", "metric_name"], alpha=0.1)
 
 
 @query
@@ -208,11 +205,8 @@ def z_trajectory(spark, sf_dir):
     return D.z_trajectory(s, "2024-01-01", "2024-01-08", keys=["event_type", "metric_name"])
 
 
-@query
-def latest_baseline(spark, sf_dir):
-    """T-2 / SNK-1: two profiling generations in one store; the newer run
-    profiled only the events source, so the latest row per key mixes both."""
-    ensure_utc(spark)
+def _generations(spark, sf_dir):
+    """Two profiling runs; the newer one profiled only the events source."""
     gen1_daily = P.baselines(
         P.metric_series(load(spark, sf_dir, "orders"), "o_orderdate", grain="day",
                         metrics={"daily_row_count": F.count(F.lit(1))},
@@ -225,8 +219,16 @@ def latest_baseline(spark, sf_dir):
         as_of="2024-01-24 00:00:00", source_database=CDC_DB, table_name="events")
     gen2_hourly = P.baselines(_hourly_events_series(spark, sf_dir), as_of=EVENTS_AS_OF,
                               source_database=CDC_DB, table_name="events")
-    store = gen1_daily.unionByName(gen1_hourly).unionByName(gen2_hourly)
-    return D.latest_baseline(store)
+    return gen1_daily.unionByName(gen1_hourly), gen2_hourly
+
+
+@query
+def latest_baseline(spark, sf_dir):
+    """T-2 / SNK-1: two profiling generations in one store; the latest row per
+    key mixes both."""
+    ensure_utc(spark)
+    gen1, gen2 = _generations(spark, sf_dir)
+    return D.latest_baseline(gen1.unionByName(gen2))
 
 
 # ---------------------------------------------------------------- contracts
@@ -478,9 +480,9 @@ def health_trend(spark, sf_dir):
 # ---------------------------------------------------------------- streaming (ST-1..ST-5)
 
 def _stream_of(spark, sf_dir, table):
+    from relmon.plans.tables import table_path
     from relmon.streaming.streams import file_stream
-    schema = load(spark, sf_dir, table).schema
-    return file_stream(spark, sf_dir, f"{table}.parquet", schema)
+    return file_stream(spark, table_path(sf_dir, table), load(spark, sf_dir, table).schema)
 
 
 @query
@@ -501,10 +503,7 @@ def stream_contract_quarantine(spark, sf_dir):
     from relmon.plans.contracts import cdc_contract
     from relmon.plans.tables import cdc_payloads
     from relmon.streaming.streams import run_to_table
-    # micro-batches of a file or few-partition stream arrive in few tasks; the
-    # validation is CPU-bound, so each micro-batch is round-robin spread
-    # over the cluster's cores before it (one small shuffle per batch)
-    stream = _stream_of(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)
+    stream = _stream_of(spark, sf_dir, "orders")
     val = C.validate_variant(cdc_payloads(stream), cdc_contract(), record_col="record", keys_col="record_keys")
     bad = val.filter(~F.col("is_valid")).select(
         "record_id", F.size("violations").alias("violation_count"),
@@ -539,7 +538,7 @@ def stream_freshness(spark, sf_dir):
 
 # ---------------------------------------------------------------- a whole monitoring run
 
-def _monitor(spark, sf_dir):
+def _monitor(spark, sf_dir, **more):
     from relmon.plans.monitor import MonitoredSource, run
     from relmon.plans.tables import events_spec, orders_spec
     from relmon.specs import MetricSpec
@@ -553,7 +552,7 @@ def _monitor(spark, sf_dir):
             MetricSpec("hourly_ingestion_rate", "volume", "hour", 3.0, window_hours=24)],
             df=_events(spark, sf_dir), as_of=EVENTS_AS_OF),
     ]
-    return run(spark, srcs, EVENTS_AS_OF)
+    return run(spark, srcs, EVENTS_AS_OF, **more)
 
 
 @query
@@ -601,3 +600,123 @@ def json_log_contract_summary(spark, sf_dir):
     logs = load_json_logs(spark, path, layout="lines", pattern="part-*")
     val = C.validate_variant(logs.filter(~F.col("parse_error")), cdc_contract(), keys_col="record_keys")
     return C.summary(val)
+
+
+# ---------------------------------------------------------------- stores, generations, outages, lenient mode
+
+@query
+def volume_check_generations(spark, sf_dir):
+    """J-1 / T-2 / DT-1: two baseline generations are stored, and the older one
+    has the larger sample and another mean; the latest counts."""
+    ensure_utc(spark)
+    older = _baselines(spark, sf_dir).filter(F.col("table_name") == "events").select(
+        "metric_name", "source_database", "table_name", F.lit(1000).cast("decimal(15,4)").alias("mean_value"),
+        F.lit(1).cast("decimal(15,4)").alias("std_deviation"), F.lit(100000).alias("sample_size"),
+        (F.col("calculation_timestamp") - F.expr("INTERVAL 9 DAYS")).alias("calculation_timestamp"))
+    return D.volume_check(_events(spark, sf_dir), "ts", _baselines(spark, sf_dir).select(*older.columns).unionByName(older),
+                          EVENTS_AS_OF, metric_name="hourly_ingestion_rate", table_name="events")
+
+
+@query
+def outage_check(spark, sf_dir):
+    """PF-9 / J-5: one event type delivered nothing in the last hours; its
+    current bucket is skipped, not replaced by an old one."""
+    ensure_utc(spark)
+    dead = (F.col("event_type") == "click") & (F.col("ts") >= F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"))
+    s = P.metric_series(_events(spark, sf_dir).filter(~dead), "ts", grain="hour", by=["event_type"], as_of=EVENTS_AS_OF,
+                        metrics={"hourly_ingestion_rate": F.count(F.lit(1))})
+    return D.deviation_table(s, keys=["event_type"], as_of=EVENTS_AS_OF, grain="hour").select(
+        "event_type", "current_value", "sample_size", "status")
+
+
+@query
+def contract_lenient_types(spark, sf_dir):
+    """CT-15: lenient typing; numbers in text pass, "CUST-n" still fails."""
+    from dataclasses import replace
+
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    recs = cdc_payloads(load(spark, sf_dir, "orders")).select("record_id", "record", "record_keys")
+    val = C.validate_variant(recs, replace(cdc_contract(), coerce_types=True), keys_col="record_keys")
+    rows = C.violation_rows(val, ["record_id"]).filter(F.col("constraint_kind") == "type")
+    return rows.groupBy("field_name").agg(F.count(F.lit(1)).alias("violation_count"))
+
+
+@query
+def contract_sample(spark, sf_dir):
+    """CT-14: sequential sampling of a contract run (first 100 by key)."""
+    from relmon.sources.logs import sample_records
+    return sample_records(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id")),
+                          "sequential", 100, order_cols=["record_id"])
+
+
+@query
+def baseline_store(spark, sf_dir):
+    """SNK-1: two profiling generations upserted into a store; what it holds."""
+    import uuid
+
+    from relmon.session import scratch_path
+    from relmon.sinks.store import read_latest, upsert_baselines
+    ensure_utc(spark)
+    path = scratch_path(spark, f"baselines-{uuid.uuid4().hex[:12]}")
+    gen1, gen2 = _generations(spark, sf_dir)
+    upsert_baselines(spark, gen1, path)
+    upsert_baselines(spark, gen2, path)
+    return read_latest(spark, path)
+
+
+@query
+def alert_store_replay(spark, sf_dir):
+    """SNK-2 / SNK-3: alerts appended in two overlapping batches, the second
+    twice; alerts in the store per day."""
+    import uuid
+
+    from relmon.session import scratch_path
+    from relmon.sinks.store import append_alerts
+    ensure_utc(spark)
+    path = scratch_path(spark, f"alerts-{uuid.uuid4().hex[:12]}")
+    a = _alerts(spark, sf_dir)
+    late = a.filter(F.col("alert_timestamp") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    append_alerts(spark, a.filter(F.col("alert_timestamp") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")), path)
+    append_alerts(spark, late, path)
+    append_alerts(spark, late, path)
+    return spark.read.parquet(path).groupBy(F.to_date("alert_timestamp").alias("alert_day")).agg(
+        F.count(F.lit(1)).alias("alerts"))
+
+
+@query
+def metric_csv_series(spark, sf_dir):
+    """SRC-4: daily metrics written as CSV and read back as a long series."""
+    import uuid
+
+    from relmon.session import scratch_path
+    from relmon.sources.logs import load_metric_csv
+    ensure_utc(spark)
+    path = scratch_path(spark, f"metrics-{uuid.uuid4().hex[:12]}")
+    amt = F.col("o_totalprice").cast("decimal(12,2)")
+    daily = load(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("order_date")).agg(
+        F.count(F.lit(1)).alias("daily_orders"), F.sum(amt).alias("daily_revenue"),
+        F.count(F.lit(1)).cast("decimal(10,2)").alias("avg_order_value"))
+    daily.write.option("header", True).csv(path)
+    return load_metric_csv(spark, path)
+
+
+@query
+def open_alerts(spark, sf_dir):
+    """AL-4: unresolved alerts per type."""
+    from relmon.operators import alerts as A
+    return A.open_alerts(_alerts(spark, sf_dir)).groupBy("alert_type").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+@query
+def monitor_contract_alerts(spark, sf_dir):
+    """CT-10 / AL-1 / AL-3: a run with the contract; its contract alerts, one
+    for each store key (field), stamped with the run's time."""
+    ensure_utc(spark)
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    recs = cdc_payloads(load(spark, sf_dir, "orders")).select("record_id", "record", "record_keys")
+    out = _monitor(spark, sf_dir, contract=cdc_contract(), records=recs)
+    return out["alerts"].filter(F.col("alert_type") == "CONTRACT_VIOLATION").groupBy("field_name", "alert_timestamp").agg(
+        F.count(F.lit(1)).alias("alerts"))

@@ -39,7 +39,7 @@ def orders_spec(sf_dir: str) -> SourceSpec:
                       database=BATCH_DB)
 
 
-def cdc_payloads(orders: DataFrame) -> DataFrame:
+def cdc_payloads(orders: DataFrame, partitions: int | None = None) -> DataFrame:
     """CDC JSON payloads derived from every order, with faults planted by key
     arithmetic so that each violation kind occurs at every scale:
 
@@ -59,8 +59,8 @@ def cdc_payloads(orders: DataFrame) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    from relmon.session import spread_if_narrow
-    orders = spread_if_narrow(orders)
+    from relmon.session import spread
+    orders = spread(orders, partitions)
     k = F.col("o_orderkey")
 
     def s(x):

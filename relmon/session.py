@@ -61,17 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint dir; only when none is configured (local
-    tests) fall back to a fresh scratch folder."""
+    """The cluster's checkpoint dir, made known to the context.  Where none is
+    configured, a local master gets a fresh scratch folder (tests); on a
+    cluster that would be a folder on one machine only, so it is an error."""
     d = checkpoint_dir(spark)
     if not d:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="relmon-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return spark.sparkContext.getCheckpointDir() or d
-    except Exception:  # noqa: BLE001
+    except Exception:  # noqa: BLE001 - no local SparkContext (e.g. a remote session)
         return d
 
 
@@ -81,17 +84,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
 
 
-def spread_if_narrow(df):
-    """Row-local but CPU-heavy work (contract validation) runs where the scan
-    put the rows.  A large input has many splits and this is a no-op; a
-    small input read from a single row group arrives as ONE partition and
-    would run on one core, so it is round-robin spread over the cluster's
-    default parallelism first (a shuffle of a small input only)."""
-    if df.isStreaming:
-        return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. no RDD access; leave the plan alone
-        return df
-    return df.repartition(target) if n < max(2, target // 2) else df
+def spread(df, partitions: int | None):
+    """Round-robin over ``partitions`` tasks when the caller asks for it (an
+    input that arrives in too few splits for CPU-heavy row-local work);
+    ``None`` leaves the input as it is.  The plan is not looked at."""
+    return df.repartition(partitions) if partitions else df

@@ -4,7 +4,8 @@
   merged table into a NEW directory ``<path>/v=<n>``; Spark's job commit
   writes ``_SUCCESS`` last, and readers only ever open the highest version
   that has it.  A half-written version is invisible, a failed job can simply
-  be re-run, and old versions stay readable until pruned.
+  be re-run (its folder's number is not used again), and old versions stay
+  readable until pruned.
 * **Alerts** (insert-if-absent): append-only, partitioned by ``alert_date``;
   an appended batch is first anti-joined (null-safe) against the stored keys
   of the dates it touches, so replaying a batch adds nothing.  Retention drops
@@ -17,6 +18,7 @@ API is used only to list versions and drop expired partitions.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,16 @@ from pyspark.sql import functions as F
 from relmon.operators.alerts import ALERT_COLUMNS, ALERT_KEY, new_alerts
 from relmon.operators.detect import BASELINE_KEY, latest_baseline
 from relmon.operators.profile import to_datetime
+from relmon.session import scratch_path
 
 BASELINE_SCHEMA = ("metric_name string, source_database string, table_name string, mean_value decimal(15,4), "
                    "std_deviation decimal(15,4), sample_size int, calculation_timestamp timestamp_ntz")
 
 
+# Fixed value: the folder name of a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,11 +63,21 @@ def read_latest(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return spark.read.parquet(f"{path.rstrip('/')}/v={v[-1]:08d}")
 
 
+def _attempts(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all version folders, also those a failed job left behind."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+    return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+
 def write_version(df: DataFrame, path: str) -> str:
-    """Write ``df`` as the next version; returns its directory."""
-    spark = df.sparkSession
-    v = _versions(spark, path)
-    n = (v[-1] + 1) if v else 1
+    """Write ``df`` as the next version; returns its directory.  The number
+    follows every folder present, so what a failed job left behind is in nobody's
+    way.  Two writers that pick one number: the second fails on the folder of
+    the first and can be run again."""
+    n = max(_attempts(df.sparkSession, path), default=0) + 1
     out = f"{path.rstrip('/')}/v={n:08d}"
     df.write.mode("errorifexists").parquet(out)
     return out
@@ -77,26 +94,44 @@ def prune_versions(spark: SparkSession, path: str, keep: int = 3) -> int:
     return dropped
 
 
-def upsert_baselines(spark: SparkSession, new: DataFrame, path: str, keys=BASELINE_KEY) -> str:
+def upsert_baselines(spark: SparkSession, new: DataFrame, path: str, keys=BASELINE_KEY,
+                     batch_id: int | None = None) -> str:
     """Upsert baselines by key: old and new rows are unioned and the latest
     per key (by calculation_timestamp) is written as a new version.  The
-    merge is one aggregate over (#keys) rows, small at any data scale."""
+    merge is one aggregate over (#keys) rows, small at any data scale.
+
+    With a ``batch_id`` (of a streaming micro-batch) a marker is left beside
+    the versions; a batch that has one was merged before and is not again."""
+    fs, p = _fs(spark, path)
+    marker = p.suffix(f"/_batch_{batch_id}")
+    if batch_id is not None and fs.exists(marker):
+        v = _versions(spark, path)
+        return f"{path.rstrip('/')}/v={v[-1]:08d}"
     old = read_latest(spark, path)
     cols = [c.split(" ")[0] for c in BASELINE_SCHEMA.split(", ")]
     merged = new.select(*cols) if old is None else old.select(*cols).unionByName(new.select(*cols))
-    return write_version(latest_baseline(merged, keys).select(*cols), path)
+    out = write_version(latest_baseline(merged, keys).select(*cols), path)
+    if batch_id is not None:
+        fs.create(marker, True).close()
+    return out
 
 
 def append_alerts(spark: SparkSession, batch: DataFrame, path: str, key=ALERT_KEY) -> None:
     """Insert the alerts of ``batch`` that are not stored yet (null-safe key).
     Only the date partitions the batch touches
     are read for the anti-join (dynamic partition pruning on ``alert_date``)."""
-    b = batch.select(*ALERT_COLUMNS).withColumn("alert_date", F.to_date("alert_timestamp"))
+    # the batch is used several times: written once to the shared folder, so
+    # whatever stands behind it (a validation run) isn't repeated
+    staged = scratch_path(spark, f"alert-batch-{uuid.uuid4().hex[:12]}")
+    batch.select(*ALERT_COLUMNS).withColumn("alert_date", F.to_date("alert_timestamp")).write.parquet(staged)
+    b = spark.read.parquet(staged)
     fs, p = _fs(spark, path)
     if fs.exists(p):
         # semi-join on the partition column: dynamic partition pruning reads
-        # only the dates present in the batch
-        store = spark.read.parquet(path).join(b.select("alert_date").distinct(), "alert_date", "left_semi")
+        # only the dates present in the batch; null-safe, as an alert may have no time
+        dates = b.select(F.col("alert_date").alias("b_date")).distinct()
+        store = spark.read.parquet(path)
+        store = store.join(dates, F.col("alert_date").eqNullSafe(F.col("b_date")), "left_semi")
         fresh = new_alerts(b.drop("alert_date"), store.select(*ALERT_COLUMNS), key)
     else:
         fresh = new_alerts(b.drop("alert_date"), b.drop("alert_date").limit(0), key)
@@ -114,8 +149,10 @@ def drop_expired_alerts(spark: SparkSession, path: str, as_of, days: int = 90) -
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("alert_date="):
-            d = _dt.date.fromisoformat(name.split("=", 1)[1])
-            if d < cutoff:
+            value = name.split("=", 1)[1]
+            if value == NULL_PARTITION:         # alerts without a time don't expire
+                continue
+            if _dt.date.fromisoformat(value) < cutoff:
                 fs.delete(st.getPath(), True)
                 dropped.append(name)
     return dropped

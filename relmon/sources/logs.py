@@ -16,7 +16,7 @@ with ``parse_error = true`` and a NULL record: it is counted, not dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD_COLS = ("source_file", "record_index", "raw", "record", "record_keys", "parse_error")
@@ -33,11 +33,16 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.json") -> list[str]:
-    """File names of a directory (metadata only, sorted)."""
-    try:
-        return sorted(spark.read.format("text").option("pathGlobFilter", pattern).load(path).inputFiles())
-    except Exception:  # noqa: BLE001 - a missing directory is an empty source
+    """File names of a directory (metadata only, sorted).  A path that does
+    not exist is an empty source; any other error is raised."""
+    if not path_exists(spark, path):
         return []
+    return sorted(spark.read.format("text").option("pathGlobFilter", pattern).load(path).inputFiles())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def load_json_logs(spark: SparkSession, path: str, layout: str = "document", first_files: int | None = None,
@@ -45,20 +50,23 @@ def load_json_logs(spark: SparkSession, path: str, layout: str = "document", fir
     """JSON records of a directory as (source_file, record_index, raw, record,
     record_keys, parse_error).  ``first_files`` keeps the first n files in
     file-name order (a deterministic form of "the first n files")."""
-    files = list_files(spark, path, pattern)
     if first_files is not None:
-        files = files[:first_files]
+        files = list_files(spark, path, pattern)[:first_files]
+    else:
+        # no listing into Python: the reader gets the directory itself
+        files = [path] if path_exists(spark, path) else []
+    reader = spark.read.option("pathGlobFilter", pattern)
     if not files:
         return spark.createDataFrame([], "source_file string, record_index long, raw string, record variant, "
                                          "record_keys array<string>, parse_error boolean")
     if layout == "lines":
-        txt = spark.read.text(files).select(F.col("_metadata.file_path").alias("source_file"),
+        txt = reader.text(files).select(F.col("_metadata.file_path").alias("source_file"),
                                             F.col("value").alias("raw"))
         txt = txt.filter(F.length(F.trim("raw")) > 0)
         # a line's position: monotonically increasing id is unique per file split
         txt = txt.withColumn("record_index", F.monotonically_increasing_id())
         return _finish(txt)
-    doc = spark.read.text(files, wholetext=True).select(
+    doc = reader.text(files, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), F.trim(F.col("value")).alias("txt"))
     elems = (F.when(F.col("txt").startswith("["), F.from_json(F.col("txt"), "array<string>"))
               .otherwise(F.array(F.col("txt"))))
@@ -78,6 +86,14 @@ def load_metric_csv(spark: SparkSession, path: str, date_col: str = "order_date"
     return wide.unpivot(["bucket"], metrics, "metric_name", "value").select("metric_name", "bucket", "value")
 
 
+def iso_text(ts) -> Column:
+    """ISO text as a DB client's ``isoformat`` gives it: six digits of
+    fraction where there is one, none where there isn't."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def table_records(df: DataFrame, columns: list[str], id_cols: list[str] | None = None) -> DataFrame:
     """Typed rows -> variant records (the DB path of contract validation):
     timestamps become ISO strings first, as a DB client would hand them over;
@@ -87,7 +103,7 @@ def table_records(df: DataFrame, columns: list[str], id_cols: list[str] | None =
     for c in columns:
         dt = df.schema[c].dataType
         if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            conv.append(F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss").alias(c))
+            conv.append(iso_text(F.col(c)).alias(c))
         elif isinstance(dt, T.DateType):
             conv.append(F.date_format(F.col(c), "yyyy-MM-dd").alias(c))
         else:

@@ -96,6 +96,8 @@ class Contract:
     check_value_constraints: bool = True
     check_pattern_constraints: bool = True
     coerce_types: bool = False
+    # set to sample in a monitoring run; None validates every record there
+    sample_size_for_run: int | None = None
 
     @property
     def required(self) -> tuple[FieldRule, ...]:
@@ -184,12 +186,51 @@ def metrics_from_dict(d: dict[str, Any]) -> dict[str, list[MetricSpec]]:
         for t in cfg.get("tables") or []:
             if not isinstance(t, dict):
                 continue
-            specs = []
-            for m in t.get("metrics") or []:
-                wd = m.get("window_days")
-                specs.append(MetricSpec(name=m["name"], kind=m.get("type", "volume"),
-                                        grain="day" if wd else "hour",
-                                        threshold=float(m.get("threshold", DEFAULT_Z_THRESHOLD)),
-                                        window_days=wd))
-            out[t["name"]] = specs
+            out[t["name"]] = [_metric(m) for m in t.get("metrics") or []]
     return out
+
+
+def _metric(m: dict[str, Any]) -> MetricSpec:
+    """A metric entry.  ``value_column`` (or ``column``) with ``aggregate`` sum
+    or avg makes it a business metric; ``grain`` follows the window unless
+    given; a freshness threshold is in minutes."""
+    kind = m.get("type", "volume")
+    value = m.get("value_column") or m.get("column")
+    if value is not None and kind not in ("freshness", "sum", "avg"):
+        kind = m.get("aggregate", "sum")
+    days, hours = m.get("window_days"), m.get("window_hours")
+    default = DEFAULT_STALENESS_MINUTES if kind == "freshness" else DEFAULT_Z_THRESHOLD
+    return MetricSpec(name=m["name"], kind=kind, grain=m.get("grain") or ("day" if days else "hour"),
+                      threshold=float(m.get("threshold", default)), window_days=days, window_hours=hours,
+                      value_column=value, severity=str(m.get("severity", "CRITICAL")))
+
+
+def sources_from_dict(d: dict[str, Any], base_path: str = "") -> dict[str, SourceSpec]:
+    """Registry entries ``{db: {path | options, format, tables: [{name, path,
+    time_column}]}}`` -> ``{table: SourceSpec}``.  A table without a path is
+    read from ``<base path>/<name>.parquet``; a format of ``jdbc`` takes the
+    entry's options and the table as ``dbtable``."""
+    out: dict[str, SourceSpec] = {}
+    for db, cfg in (d or {}).items():
+        if not isinstance(cfg, dict):
+            continue
+        fmt = str(cfg.get("format", "parquet"))
+        root = str(cfg.get("path") or base_path).rstrip("/")
+        for t in cfg.get("tables") or []:
+            t = t if isinstance(t, dict) else {"name": t}
+            options = {str(k): str(v) for k, v in (cfg.get("options") or {}).items()}
+            if fmt == "jdbc":
+                options.setdefault("dbtable", t["name"])
+            path = None if fmt == "jdbc" else t.get("path") or f"{root}/{t['name']}.{fmt}"
+            out[t["name"]] = SourceSpec(name=t["name"], path=path, fmt=fmt, options=options,
+                                        time_column=t.get("time_column", "created_at"), database=str(db))
+    return out
+
+
+def load_registry(path: str, base_path: str = "") -> tuple[dict[str, SourceSpec], dict[str, list[MetricSpec]]]:
+    """Sources and metrics of a YAML registry file."""
+    import yaml
+    with open(path) as fh:
+        d = yaml.safe_load(fh) or {}
+    d = d.get("databases", d)
+    return sources_from_dict(d, base_path), metrics_from_dict(d)

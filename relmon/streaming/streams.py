@@ -28,13 +28,26 @@ from pyspark.sql import functions as F
 from relmon.session import ensure_utc, scratch_path
 
 
-def file_stream(spark: SparkSession, directory: str, glob: str, schema, fmt: str = "parquet",
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file-source stream over ``directory`` restricted to ``glob``."""
-    r = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", glob)
+    """A file-source stream over a table path: a directory of part files (the
+    layout on a cluster; new files become new micro-batches) or one file."""
+    r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(directory)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return r.load(path)
+    # the file source wants a directory: that of the file, with its name as the filter
+    return r.option("pathGlobFilter", p.getName()).load(p.getParent().toString())
+
+
+def kafka_stream(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
+    """Raw records of a Kafka topic as (raw, event_time): for the contract and
+    count operators.  Needs Spark's Kafka package on the class path."""
+    r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    return r.options(**options).load().select(F.col("value").cast("string").alias("raw"),
+                                              F.col("timestamp").alias("event_time"))
 
 
 def event_time(df: DataFrame, ts_col: str, out_col: str = "event_time") -> DataFrame:
@@ -81,20 +94,7 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append", trigger_
         w = w.format("parquet").option("path", out)
     else:
         w = w.foreachBatch(write_batch)
-    # the state partition count is frozen into the checkpoint at the first
-    # start: never more state partitions than the cluster has cores
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if int(before) > cores:
-            spark.conf.set(key, str(cores))
-    except Exception:  # noqa: BLE001 - keep the configured value
-        pass
-    try:
-        q = w.trigger(availableNow=True).start() if trigger_once else w.start()
-    finally:
-        spark.conf.set(key, before)
+    q = w.trigger(availableNow=True).start() if trigger_once else w.start()
     q.awaitTermination()
     if output_mode == "complete":
         # the last micro-batch carries the complete result
@@ -106,3 +106,28 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append", trigger_
             return spark.createDataFrame([], df.schema)
         return spark.read.parquet(f"{out}/batch_id={ids[-1]}")
     return spark.read.schema(df.schema).parquet(out)
+
+
+def run_to_stores(stream: DataFrame, baselines_path: str | None = None, alerts_path: str | None = None,
+                  to_baselines=None, to_alerts=None, checkpoint: str | None = None) -> int:
+    """Feed the batch stores from a stream until no data is left: each
+    micro-batch is turned into baseline rows and/or alert rows by the given
+    functions and written with the batch sinks, whose upsert and
+    insert-if-absent make a replayed batch harmless.  The batch id is handed
+    on, so a finished upsert of a replayed batch is recognised.  Returns the
+    number of micro-batches run."""
+    from relmon.sinks.store import append_alerts, upsert_baselines
+    spark = stream.sparkSession
+    seen: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if to_baselines is not None:
+            upsert_baselines(spark, to_baselines(batch), baselines_path, batch_id=batch_id)
+        if to_alerts is not None:
+            append_alerts(spark, to_alerts(batch), alerts_path)
+        seen.append(batch_id)
+
+    ck = checkpoint or scratch_path(spark, f"stream-stores-{uuid.uuid4().hex[:12]}")
+    stream.writeStream.option("checkpointLocation", ck).foreachBatch(write).trigger(availableNow=True).start() \
+          .awaitTermination()
+    return len(seen)

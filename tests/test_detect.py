@@ -104,12 +104,23 @@ def test_fill_gaps(spark):
     assert [r.value for r in g] == [3.0, 0.0, 0.0, 5.0]
 
 
-def test_previous_in_sequence_partitions_by_key_and_split(spark):
-    import re
+def test_previous_in_sequence_splits_a_hot_key_at_one_time(spark):
+    from pyspark.sql import functions as F
+    t = dt.datetime(2024, 1, 1)
+    rows = [("hot", t, i) for i in range(4000)] + [("cold", t + dt.timedelta(minutes=i), i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int")
+    out = D.previous_in_sequence(df, ["k"], "ts", ["id"], partitions=8)
+    got = out.groupBy("k").agg(F.count("*").alias("n"), F.count("prev_ts").alias("p"),
+                               F.max(F.expr("timestampdiff(MINUTE, prev_ts, ts)")).alias("g")).collect()
+    assert {r.k: (r.n, r.p, r.g) for r in got} == {"hot": (4000, 3999, 0), "cold": (50, 49, 1)}
+    spread = D._in_time_ranges(df, ["k"], "ts", ["id"], 8).filter("k = 'hot'").groupBy("_part").count().collect()
+    assert len(spread) >= 6 and max(r["count"] for r in spread) < 1500
+
+
+def test_interarrival_reads_its_table_once_without_join(spark, tmpdir_path):
     base = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(0, base + dt.timedelta(minutes=i), i) for i in range(100)],
-                               "k int, ts timestamp_ntz, id int")
-    plan = D.previous_in_sequence(df, ["k"], "ts", ["id"])._jdf.queryExecution().executedPlan().toString()
-    parts = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
-    # the raw rows are shuffled by (key, split); only the per-split aggregate is partitioned by key alone
-    assert any("_split" in p and "k#" in p for p in parts)
+    df = spark.createDataFrame([(i % 3, base + dt.timedelta(minutes=i * i % 977)) for i in range(300)], "k int, ts timestamp_ntz")
+    df.write.parquet(tmpdir_path + "/t")
+    q = D.interarrival_freshness(spark.read.parquet(tmpdir_path + "/t"), ["k"], "ts", "2024-01-02 00:00:00")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan

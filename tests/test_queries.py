@@ -23,7 +23,8 @@ def test_entry_smoke(spark):
 
 @needs_data
 def test_no_python_udfs_no_cross_joins_and_pushdown(spark):
-    for name, fn in E.queries().items():
+    from relmon.plans.queries import QUERIES
+    for name, fn in QUERIES.items():
         if name.startswith("stream_"):
             continue
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -44,7 +45,8 @@ def test_oracle_sf0001(spark):
         if os.path.exists(p):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
     bad = []
-    for name, sql in E.oracle_sql().items():
+    from relmon.plans.oracle import SQL
+    for name, sql in SQL.items():
         df = E.queries()[name](spark, SF)
         a = rows_of(df.columns, [tuple(r) for r in df.collect()])
         cur = con.execute(sql)

@@ -47,7 +47,7 @@ def test_stream_hourly_matches_batch(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "src")
     spark.createDataFrame(rows, "id long, ts timestamp_ntz").coalesce(1).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    s = streams.file_stream(spark, src, "*.parquet", schema)
+    s = streams.file_stream(spark, src, schema)
     out = streams.run_to_table(streams.hourly_counts(s, "ts"), "t")
     got = {r.bucket: r.row_count for r in out.collect()}
     last = max(r[1] for r in rows)
