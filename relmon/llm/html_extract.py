@@ -159,7 +159,7 @@ def candidates(page: str) -> list[int]:
     while todo:
         n, inside = todo.pop()
         inside = inside or marked and _is_root(n)
-        if n.tag in CANDIDATES and not n.has_root and not (inside and n.tag in CONTENT):
+        if n.tag in CANDIDATES and (inside or not n.has_root) and not (inside and n.tag in CONTENT):
             out.add(n.hash)
         todo += [(c, inside) for c in n.inner if type(c) is Node]
     return sorted(out)
@@ -189,7 +189,8 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
             if inside:
                 line.append(n)
         else:
-            if not n.has_root:
+            # what holds an article is looked into, unless it is inside one itself
+            if not n.has_root or inside and marked:
                 if _not_text(n) or not marked and n.tag == "header":
                     continue
                 if n.hash in templates and n.tag in CANDIDATES and not (inside and marked and n.tag in CONTENT):

@@ -158,9 +158,10 @@ class _Forest:
 def _large_run(fp: np.ndarray, home: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Spanning forest of the links home-visitor of one run, a home at a time."""
     label = np.arange(len(fp))
+    bits = fp.view(np.uint64)           # numpy counts the bits of a signed number's absolute value
     out: list[tuple[int, int]] = []
     for i in np.flatnonzero(home):
-        near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= limit)
+        near = np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= limit)
         labels, first = np.unique(label[near], return_index=True)
         other = labels != label[i]
         if other.any():
@@ -190,7 +191,7 @@ def _runs(key, fp, home, limit: int) -> list[tuple[int, int]]:
         left = np.repeat(piece, lens[r])
         offset = np.arange(len(left)) - np.repeat(np.cumsum(lens[r]) - lens[r], lens[r])
         right = np.repeat(starts[r], lens[r]) + offset
-        bits = np.bitwise_count(fp[left] ^ fp[right])
+        bits = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64))
         hit = (bits > 0) & (bits <= limit)
         for a, b in zip(fp[left[hit]].tolist(), fp[right[hit]].tolist()):
             if forest.join(a, b):
