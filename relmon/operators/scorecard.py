@@ -80,12 +80,18 @@ def _alert_counts(alerts: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
         _n(t == VOLUME_ANOMALY).alias("volume_anomalies"),
         _n(t == STALE_DATA_FLOW).alias("stale_alerts"),
         _n(t == CONTRACT_VIOLATION).alias("contract_violations"),
-        F.max("alert_timestamp").alias("latest_alert_24h"))
+        F.max("alert_timestamp").alias("latest_alert_24h"),
+        *[F.max(F.when(t == kind, F.col("alert_timestamp"))).alias(f"latest_{name}_alert")
+          for name, kind in (("volume", VOLUME_ANOMALY), ("stale", STALE_DATA_FLOW), ("contract", CONTRACT_VIOLATION))])
 
 
 def scores(df: DataFrame) -> DataFrame:
     """Score columns from (alerts_24h, critical_24h, volume_anomalies,
-    stale_alerts, contract_violations, total_baselines)."""
+    stale_alerts, contract_violations, total_baselines).
+
+    Fixed values: the scores, penalties and limits of the bands below.
+    ``gate_passed`` looks at the platform score, ``anomaly_gate_passed`` at any
+    anomaly or violation."""
     b = F.col("total_baselines")
     crit = F.col("critical_24h").cast("double")
     base = F.when(b > 0, F.greatest(F.lit(0.0), F.lit(100.0) - crit / F.greatest(b, F.lit(1)) * 50.0)) \
@@ -123,7 +129,7 @@ def scores(df: DataFrame) -> DataFrame:
     recs = F.array_compact(F.array(F.when(p < 75, F.lit(REC_PLATFORM)), F.when(bs < 75, F.lit(REC_BATCH)),
                                    F.when(cs < 75, F.lit(REC_CDC)), F.when(ks < 75, F.lit(REC_CONTRACT))))
     out = out.withColumn("recommendations", F.when(F.size(recs) == 0, F.array(F.lit(REC_MAINTAIN))).otherwise(recs))
-    return out.withColumn("gate_passed", p >= 75)
+    return out.withColumn("gate_passed", p >= 75).withColumn("anomaly_gate_passed", (nv + ns + nc) == 0)
 
 
 def scorecard(alerts: DataFrame, baselines: DataFrame, as_of, hours: float = 24.0) -> DataFrame:
@@ -133,8 +139,11 @@ def scorecard(alerts: DataFrame, baselines: DataFrame, as_of, hours: float = 24.
                             F.max("alert_timestamp").alias("latest_alert")).alias("_t"))
     b = baselines.agg(F.struct(F.count(F.lit(1)).alias("total_baselines"),
                                F.max("calculation_timestamp").alias("last_updated")).alias("_b"))
+    # alerts of the period by type, "TYPE=count" in the order of the names
+    types = recent(alerts, as_of, hours).groupBy("alert_type").agg(F.count(F.lit(1)).alias("n"))
+    types = types.agg(F.array_sort(F.collect_list(F.concat_ws("=", "alert_type", "n"))).alias("types"))
     # one-row aggregates attached as scalar subqueries: no join
-    j = (a.withColumn("_t", t.scalar()).withColumn("_b", b.scalar())
+    j = (a.withColumn("_t", t.scalar()).withColumn("_b", b.scalar()).withColumn("alert_types", types.scalar())
           .select("*", "_t.*", "_b.*").drop("_t", "_b"))
     return scores(j.withColumn("generated_at", _lit_ts(as_of)))
 

@@ -758,3 +758,19 @@ SQL["monitor_contract_alerts"] = f"""
 WITH v AS ({SQL["contract_violations_json"]})
 SELECT field_name, COUNT(DISTINCT 1) AS alerts, TIMESTAMP '2024-01-31 00:00:00' AS alert_timestamp FROM v GROUP BY 1
 """
+
+SQL["json_log_documents"] = SQL["contract_summary"]
+
+SQL["scorecard_details"] = f"""
+WITH {_AL},
+r0 AS (SELECT * FROM al WHERE alert_timestamp >= TIMESTAMP '2024-01-30 00:00:00'
+       AND alert_timestamp <= TIMESTAMP '2024-01-31 00:00:00'),
+n AS (SELECT alert_type, COUNT(*) AS n FROM r0 GROUP BY 1)
+SELECT MAX(CASE WHEN alert_type = 'VOLUME_ANOMALY' THEN alert_timestamp END) AS latest_volume_alert,
+       MAX(CASE WHEN alert_type = 'STALE_DATA_FLOW' THEN alert_timestamp END) AS latest_stale_alert,
+       MAX(CASE WHEN alert_type = 'CONTRACT_VIOLATION' THEN alert_timestamp END) AS latest_contract_alert,
+       (SELECT coalesce(string_agg(alert_type || '=' || n, ', ' ORDER BY alert_type), '') FROM n) AS alert_types,
+       COUNT(CASE WHEN alert_type IN ('VOLUME_ANOMALY', 'STALE_DATA_FLOW', 'CONTRACT_VIOLATION') THEN 1 END) = 0
+       AS anomaly_gate_passed
+FROM r0
+"""

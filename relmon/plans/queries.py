@@ -720,3 +720,35 @@ def monitor_contract_alerts(spark, sf_dir):
     out = _monitor(spark, sf_dir, contract=cdc_contract(), records=recs)
     return out["alerts"].filter(F.col("alert_type") == "CONTRACT_VIOLATION").groupBy("field_name", "alert_timestamp").agg(
         F.count(F.lit(1)).alias("alerts"))
+
+
+@query
+def scorecard_details(spark, sf_dir):
+    """HS-9 / HS-11: latest alert of each component, alerts by type, the gate on
+    any anomaly."""
+    from relmon.operators import scorecard as H
+    ensure_utc(spark)
+    return H.scorecard(_alerts(spark, sf_dir), _baselines(spark, sf_dir), EVENTS_AS_OF).select(
+        "latest_volume_alert", "latest_stale_alert", "latest_contract_alert",
+        F.array_join("alert_types", ", ").alias("alert_types"), "anomaly_gate_passed")
+
+
+@query
+def json_log_documents(spark, sf_dir):
+    """SRC-3 (document layout): the order payloads as files that hold one JSON
+    list each, read back and validated; totals of the run."""
+    import uuid
+
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    from relmon.session import scratch_path
+    from relmon.sources.logs import load_json_logs
+    ensure_utc(spark)
+    path = scratch_path(spark, f"json-docs-{uuid.uuid4().hex[:12]}")
+    # five thousand records a file
+    lists = cdc_payloads(load(spark, sf_dir, "orders")).groupBy(F.expr("record_id div 5000").alias("f")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ","), F.lit("]")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    docs = load_json_logs(spark, path, layout="document", pattern="part-*")
+    return C.summary(C.validate_variant(docs.filter(~F.col("parse_error")), cdc_contract(), keys_col="record_keys"))
