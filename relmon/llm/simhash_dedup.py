@@ -308,7 +308,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id last), all columns."""
     fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("th").alias("th")))
-    one = fps.join(_of_fingerprints(fps, max_bits), "fp").groupBy("root").agg(first.alias("k"))
+    # one row of each fingerprint first, so that no join sees a fingerprint's copies
+    per = fps.groupBy("fp").agg(first.alias("k"))
+    one = per.join(_of_fingerprints(fps, max_bits), "fp").groupBy("root").agg(F.min("k").alias("k"))
     one = stage(one.select(F.col("k.id").alias("doc_id"), F.col("k.th").alias("th")), "survivors")
     # rows that repeat the survivor's id and text are counted, so that one of them stays
     n = fps.join(one, fps["doc_id"].eqNullSafe(one["doc_id"]) & (fps["th"] == one["th"]), "left_semi")
