@@ -323,7 +323,8 @@ def _violation(rule: FieldRule, msgs: Column, kinds: Column, fv: FieldView, pos:
         F.lit(rule.type).alias("expected_type"),
         fv.pytype.alias("actual_type"),
         msgs.alias("errors"))
-    return F.when(msgs.isNotNull(), F.array(v)).otherwise(_empty_v())
+    # NULL where the field is fine
+    return F.when(msgs.isNotNull(), F.array(v))
 
 
 def _missing(rule: FieldRule, fv: FieldView, idx: int) -> Column:
@@ -353,42 +354,39 @@ def _unexpected(name: Column, pos: Column) -> Column:
 # the projections apart because collapsing them would duplicate non-trivial
 # expressions; all of them still run in one stage with no shuffle.
 
+def _own(df: DataFrame, tag: str) -> list[Column]:
+    """The record's own columns, without the work columns of earlier steps:
+    each step carries on only what a later one reads, as rows are copied."""
+    return [F.col(f"`{c}`") for c in df.columns if not c.startswith(f"_{tag}")]
+
+
 def _materialize_views(df: DataFrame, views: dict[str, FieldView], tag: str) -> tuple[DataFrame, dict]:
-    names = list(views)
-    first = {}
-    for i, n in enumerate(names):
-        fv = views[n]
-        first.update({f"_{tag}pr{i}": fv.present, f"_{tag}nl{i}": fv.is_null, f"_{tag}pt{i}": fv.pytype,
-                      f"_{tag}tx{i}": fv.text, f"_{tag}nu{i}": fv.number})
-    df = df.select("*", *[c.alias(k) for k, c in first.items()])
-    # repr may depend on the runtime type: evaluate it on the stored type column
-    reprs = {}
-    out = {}
-    for i, n in enumerate(names):
+    cols, out = [], {}
+    for i, (n, fv) in enumerate(views.items()):
+        parts = {"pr": fv.present, "nl": fv.is_null, "pt": fv.pytype, "tx": fv.text, "nu": fv.number, "rp": fv.repr}
+        cols += [c.alias(f"_{tag}{k}{i}") for k, c in parts.items()]
         out[n] = FieldView(present=F.col(f"_{tag}pr{i}"), is_null=F.col(f"_{tag}nl{i}"),
                            pytype=F.col(f"_{tag}pt{i}"), text=F.col(f"_{tag}tx{i}"), number=F.col(f"_{tag}nu{i}"),
                            repr=F.col(f"_{tag}rp{i}"))
-        reprs[f"_{tag}rp{i}"] = views[n].repr
-    df = df.select("*", *[c.alias(k) for k, c in reprs.items()])
-    return df, out
+    return df.select(*_own(df, tag), *cols), out
 
 
 def _violation_columns(df: DataFrame, contract: Contract, views: dict[str, FieldView], tag: str,
                        keys: Column | None):
-    """Adds message/kind arrays and then a [violation]-or-[] column per field."""
+    """Adds a [violation]-or-NULL column and a boolean for each field."""
     fields = list(contract.fields)
     rules = [_errors_for(f, views[f.name], contract) for f in fields]
     df = df.select("*", *[bad.alias(f"_{tag}b{i}") for i, (bad, _, _) in enumerate(rules)])
-    errs = {}
+    carried = [F.col(f"_{tag}{k}{i}") for i in range(len(fields)) for k in ("pr", "pt", "b")]
+    errs = []
     for i, (_, m, k) in enumerate(rules):
-        errs[f"_{tag}m{i}"] = F.when(F.col(f"_{tag}b{i}"), m)
-        errs[f"_{tag}g{i}"] = F.when(F.col(f"_{tag}b{i}"), k)
-    df = df.select("*", *[c.alias(k) for k, c in errs.items()])
-    viols = {}
+        errs += [F.when(F.col(f"_{tag}b{i}"), m).alias(f"_{tag}m{i}"), F.when(F.col(f"_{tag}b{i}"), k).alias(f"_{tag}g{i}")]
+    df = df.select(*_own(df, tag), *carried, *errs)
+    viols = []
     for i, f in enumerate(fields):
         pos = F.array_position(keys, F.lit(f.name)) if keys is not None else F.lit(i + 1)
-        viols[f"_{tag}v{i}"] = _violation(f, F.col(f"_{tag}m{i}"), F.col(f"_{tag}g{i}"), views[f.name], pos)
-    df = df.select("*", *[c.alias(k) for k, c in viols.items()])
+        viols.append(_violation(f, F.col(f"_{tag}m{i}"), F.col(f"_{tag}g{i}"), views[f.name], pos).alias(f"_{tag}v{i}"))
+    df = df.select(*_own(df, tag), *[F.col(f"_{tag}{k}{i}") for i in range(len(fields)) for k in ("pr", "b")], *viols)
     return df, {f.name: F.col(f"_{tag}v{i}") for i, f in enumerate(fields)}
 
 
@@ -398,14 +396,20 @@ def _assemble(df: DataFrame, contract: Contract, views: dict[str, FieldView], vi
     record's own fields in key order: every piece carries its position and
     one ``sort_array`` puts them in order."""
     parts = [_missing(f, views[f.name], i) for i, f in enumerate(contract.fields) if f.required]
-    parts += [viol[f.name] for f in contract.fields]
+    parts += [F.coalesce(viol[f.name], _empty_v()) for f in contract.fields]
     if keys is not None and contract.detect_new_fields:
         declared = F.array(*[F.lit(n) for n in contract.field_names]) if contract.fields else _empty_s()
         extra = F.array_except(keys, declared)
         # a lambda, but over the undeclared keys only (normally none)
         parts.append(F.when(F.size(extra) > 0, F.transform(
             extra, lambda k: _unexpected(k, F.array_position(keys, k)))).otherwise(_empty_v()))
-    allv = F.sort_array(F.concat(*parts)) if parts else _empty_v()
+    # most records are fine: one boolean, and nothing is put together for them
+    wrong = F.lit(False)
+    for i, f in enumerate(contract.fields):
+        wrong = wrong | F.col(f"_{tag}b{i}") | (~views[f.name].present if f.required else F.lit(False))
+    if keys is not None and contract.detect_new_fields:
+        wrong = wrong | (F.size(extra) > 0)
+    allv = F.when(wrong, F.sort_array(F.concat(*parts))).otherwise(_empty_v()) if parts else _empty_v()
     return df.withColumn("violations", allv)
 
 
@@ -459,12 +463,13 @@ def validate_variant(df: DataFrame, contract: Contract, record_col: str = "recor
                                     contract.coerce_types)
                  for i, f in enumerate(fields)}
     stage, views = _materialize_views(stage, raw_views, tag)
-    keys = F.col(keys_col) if keys_col else F.json_object_keys(F.to_json(rec))
-    stage = stage.withColumn(f"_{tag}keys", keys)
-    keys = F.col(f"_{tag}keys")
+    made = None if keys_col else "__record_keys"
+    if made:
+        stage = stage.withColumn(made, F.json_object_keys(F.to_json(rec)))
+    keys = F.col(keys_col or made)
     stage, viol = _violation_columns(stage, contract, views, tag, keys)
-    out = _assemble(stage, contract, views, viol, keys, tag)
-    return _drop_work(out, tag)
+    out = _drop_work(_assemble(stage, contract, views, viol, keys, tag), tag)
+    return out.drop(made) if made else out
 
 
 def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "table",
