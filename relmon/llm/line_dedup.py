@@ -68,19 +68,23 @@ def _bitmap(hot: DataFrame) -> Column:
     return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("a")).scalar()
 
 
-def _templates(distinct: DataFrame, lead: int, min_docs: int) -> DataFrame:
-    """(leaf, line, template, n_const, n) of the distinct lines of hot leaves.
-    distinct: (leaf, line, n_docs), line being the tokens joined by spaces."""
-    t = distinct.select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ")).alias("pos", "tok"))
-    support = t.groupBy("leaf", "pos", "tok").agg(F.sum("n_docs").alias("s"))
-    common = support.filter(F.col("s") >= min_docs).select("leaf", "pos", "tok", F.lit(True).alias("common"))
-    m = t.join(common, ["leaf", "pos", "tok"], "left")
-    constant = (F.col("tok") != VARIABLE) & (F.col("common") | (F.col("pos") < lead))
-    m = m.select("leaf", "line", "pos", F.when(constant, F.col("tok")).otherwise(F.lit(VARIABLE)).alias("tok"),
-                 F.when(constant, 1).otherwise(0).alias("c"))
-    g = m.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("p"),
-                                      F.sum("c").alias("n_const"), F.count(F.lit(1)).alias("n"))
-    return g.select("leaf", "line", F.xxhash64("leaf", F.transform("p", lambda x: x["tok"])).alias("template"), "n_const", "n")
+def _templates(distinct: DataFrame, min_docs: int) -> DataFrame:
+    """(lid, template, n_const, n) of the distinct lines of hot leaves.
+
+    distinct: (lid, leaf, line, n_docs), line being the tokens joined by
+    spaces.  A token in its place of a leaf is one 64-bit key, so what is
+    shuffled for each token is numbers; a template is the hash of the keys that
+    are constants.  The leading tokens, shared by the whole leaf, always are."""
+    tokens = F.split("line", " ")
+    keys = F.filter(F.transform(tokens, lambda t, i: F.when(t != VARIABLE, F.struct(i.alias("pos"), F.xxhash64("leaf", i, t).alias("k")))),
+                    lambda x: x.isNotNull())
+    t = distinct.select("lid", "n_docs", F.explode_outer(keys).alias("e")).select("lid", "n_docs", "e.pos", "e.k")
+    common = t.groupBy("k").agg(F.sum("n_docs").alias("s")).filter(F.col("s") >= min_docs).select("k")
+    g = t.select("lid", "pos", "k").join(common, "k").groupBy("lid").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("p"))
+    sizes = distinct.select("lid", F.size(tokens).alias("n"))
+    return g.join(sizes, "lid").select("lid", F.xxhash64(F.transform("p", lambda x: x["k"])).alias("template"),
+                                       F.size("p").alias("n_const"), "n")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
@@ -91,18 +95,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = lines.select("doc_id", "leaf").groupBy("leaf", "doc_id").agg(F.count(F.lit(1)).alias("k"))
     hot = stage(pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") >= min_docs).select("leaf"),
                 "leaves")
-    # second pass: the lines of hot leaves, tokens and all
+    # second pass: the lines of hot leaves, tokens and all.  A few of other leaves come through the
+    # bitmap; their templates have too few documents in the end
     word, bit = _bit(F.col("leaf"))
     passed = lines.withColumn("__map", _bitmap(hot)) \
                   .filter(F.call_function("shiftright", F.get("__map", word), bit).bitwiseAND(F.lit(1)) == 1).drop("__map")
     h = stage(passed.select("doc_id", "line_no", "leaf", F.array_join("tokens", " ").alias("line"),
-                            F.xxhash64("tokens").alias("lid")).join(hot, "leaf", "left_semi"), "hot-lines")
-    per_doc = h.groupBy("leaf", "line", "lid", "doc_id").agg(F.count(F.lit(1)).alias("k"))
-    distinct = stage(per_doc.groupBy("leaf", "line", "lid").agg(F.count(F.lit(1)).alias("n_docs")), "distinct-lines")
-    tpl = _templates(distinct, LEAD, min_docs).filter(F.col("n_const") >= F.lit(min_constant) * F.col("n"))
-    tpl = tpl.join(distinct.select("leaf", "line", "lid"), ["leaf", "line"]).select("leaf", "lid", "template")
-    at = stage(h.select("doc_id", "line_no", "leaf", "lid").join(tpl, ["leaf", "lid"])
-                .select("doc_id", "line_no", "template"), "template-lines")
+                            F.xxhash64("leaf", "tokens").alias("lid")), "hot-lines")
+    in_docs = h.groupBy("lid", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("lid").agg(F.count(F.lit(1)).alias("n_docs"))
+    one = h.select("lid", "leaf", "line").dropDuplicates(["lid"])
+    distinct = stage(one.join(in_docs, "lid"), "distinct-lines")
+    tpl = _templates(distinct, min_docs).filter(F.col("n_const") >= F.lit(min_constant) * F.col("n")).select("lid", "template")
+    at = stage(h.select("doc_id", "line_no", "lid").join(tpl, "lid").select("doc_id", "line_no", "template"), "template-lines")
     first = at.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"))
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     kept = first.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(order).alias("first")) \
