@@ -139,10 +139,10 @@ def baselines(series: DataFrame, keys: Sequence[str] = ("metric_name",), as_of=N
     return agg
 
 
-def seasonal_baselines(series: DataFrame, keys: Sequence[str] = ("metric_name",),
-                       season: str = "weekpart_hour") -> DataFrame:
-    """Baselines with a seasonal key added: ``weekpart_hour`` (weekday/weekend
-    x hour of day), ``hour`` (hour of day) or ``dow`` (day of week)."""
+def with_season(series: DataFrame, season: str = "weekpart_hour") -> tuple[DataFrame, list[str]]:
+    """The series with its seasonal key columns, and their names:
+    ``weekpart_hour`` (weekday/weekend x hour of day), ``weekpart``, ``hour``
+    (hour of day) or ``dow`` (day of week)."""
     s = series
     extra = []
     if season in ("weekpart_hour", "weekpart"):
@@ -155,7 +155,14 @@ def seasonal_baselines(series: DataFrame, keys: Sequence[str] = ("metric_name",)
     if season == "dow":
         s = s.withColumn("day_of_week", F.dayofweek("bucket"))
         extra.append("day_of_week")
-    return baselines(s, [*keys, *extra])
+    return s, extra
+
+
+def seasonal_baselines(series: DataFrame, keys: Sequence[str] = ("metric_name",),
+                       season: str = "weekpart_hour", min_samples: int | None = None) -> DataFrame:
+    """Baselines per key and season (see :func:`with_season`)."""
+    s, extra = with_season(series, season)
+    return baselines(s, [*keys, *extra], min_samples=min_samples)
 
 
 def bucket_index(grain: str) -> Column:

@@ -774,3 +774,16 @@ SELECT MAX(CASE WHEN alert_type = 'VOLUME_ANOMALY' THEN alert_timestamp END) AS
        AS anomaly_gate_passed
 FROM r0
 """
+
+SQL["seasonal_scores"] = f"""
+WITH b AS ({SQL["seasonal_baseline"]}),
+s AS (SELECT date_trunc('hour', ts) AS bucket, CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY 1),
+k AS (SELECT *, CASE WHEN dayofweek(bucket) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS day_class,
+             CAST(hour(bucket) AS INTEGER) AS hour_of_day FROM s),
+z AS (SELECT k.*, sample_size, {_Z.format(v='value', m='mean_value', sd='std_deviation')} AS z
+      FROM k JOIN b USING (day_class, hour_of_day))
+SELECT bucket, day_class, hour_of_day, value, CASE WHEN sample_size >= 10 THEN CAST(abs(z) AS DECIMAL(10,4)) END AS z_score,
+       sample_size >= 10 AND abs(z) > 3.0 AS is_anomaly,
+       CASE WHEN sample_size < 10 THEN 'skipped_few_samples' ELSE 'evaluated' END AS status
+FROM z
+"""

@@ -752,3 +752,15 @@ def json_log_documents(spark, sf_dir):
     lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     docs = load_json_logs(spark, path, layout="document", pattern="part-*")
     return C.summary(C.validate_variant(docs.filter(~F.col("parse_error")), cdc_contract(), keys_col="record_keys"))
+
+
+@query
+def seasonal_scores(spark, sf_dir):
+    """DT-11 / DT-8: every hour scored against its season's baseline; seasons
+    with fewer than ten hours are skipped."""
+    ensure_utc(spark)
+    s = P.metric_series(_events(spark, sf_dir), "ts", grain="hour", metrics={"hourly_ingestion_rate": F.count(F.lit(1))})
+    base = P.seasonal_baselines(s, keys=["metric_name"], season="weekpart_hour", min_samples=10)
+    keyed, extra = P.with_season(s, "weekpart_hour")
+    return D.score_buckets(keyed, keys=["metric_name", *extra], baseline=base).select(
+        "bucket", "day_class", "hour_of_day", "value", "z_score", "is_anomaly", "status")

@@ -28,6 +28,7 @@ BASE = {"order_key": "ORDER-003", "customer_id": 1, "product_id": 2, "quantity":
 
 
 def test_chaos_records(spark):
+    # fixed values: records whose verdicts must be the same
     recs = [dict(BASE, order_key="ORDER-001", total_amount="ONE HUNDRED"),
             dict(BASE, order_key=12345, total_amount="NINETY-NINE"),
             dict(BASE)]
@@ -87,6 +88,7 @@ def test_flat_dialect(spark):
         "order_key": {"type": "String", "required": True, "max_length": 50},
         "total_amount": {"type": "Float", "required": True, "min_value": 0.0},
         "quantity": {"type": "Integer", "required": True, "min_value": 1}}})
+    # fixed values: records of the flat dialect
     recs = [{"order_key": "ORD-123", "total_amount": 99.99, "quantity": 2},
             {"order_key": "X" * 69, "total_amount": 99.99, "quantity": 2},
             {"order_key": "ORD-123", "total_amount": -10.0, "quantity": 2},

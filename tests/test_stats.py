@@ -35,6 +35,7 @@ def test_zero_sd_gives_zero(spark):
 
 
 def test_sample_sd_and_single_bucket(spark):
+    # fixed values: the sample whose mean and deviations must come out the same
     vals = [950, 1050, 1100, 900, 1200, 980, 1020, 1150, 890, 1160]
     s = spark.createDataFrame([("m", float(v)) for v in vals], "metric_name string, value double")
     b = P.baselines(s).first()
