@@ -407,5 +407,5 @@ def test_ratio_separates_junk_from_prose_and_is_the_formula(spark):
 
 
 def test_model_is_not_copied_into_rows(spark, odd, labels):
-    plan = quality_rules.quality_report(odd, labels)._jdf.queryExecution().executedPlan().toString()
+    plan = quality_rules.quality_filter(odd, labels)._jdf.queryExecution().executedPlan().toString()
     assert "array(CASE WHEN" in plan and "array(__m" not in plan
