@@ -16,6 +16,11 @@ then lets the second pass keep the tokens of few other lines (a full bitmap
 would let more lines through, never fewer).  Everything after that works on
 the distinct lines of hot leaves.  Equal lines are combined before they are
 counted, so a line in a third of all documents is one row.
+
+With ``exact_docs`` equal lines (the same words, digits and all) of at least
+``EXACT_TOKENS`` words go from their second document on already: nothing was
+generalised there.  Only hashes of lines are counted for that.  The registered
+query asks for it (``WHOLE``).
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ LEAD = 3
 MIN_TOKENS = 5           # shorter lines are left alone
 MIN_DOCS = 3
 MIN_CONSTANT = 0.8       # share of constant tokens of a template
+EXACT_TOKENS = 5         # equal lines of so many words need exact_docs documents only, shorter ones min_docs
+WHOLE = {"exact_docs": 2}    # limits of the registered query
 BITMAP_BITS = 21
 VARIABLE = "<*>"
 
@@ -43,12 +50,13 @@ def _leaf(tokens: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(doc_id, line_no, tokens, leaf) of the lines that are long enough."""
+    """(doc_id, line_no, tokens, same, leaf) of the lines that are long enough; equal lines have the same ``same``."""
     # outer: no filter on the size of the array is inferred, which would compute the tokens twice
     each = F.transform(F.split(whole_text(text_col), "\n"),
-                       lambda x, i: F.struct(i.alias("line_no"), _tokens(x).alias("tokens")))
+                       lambda x, i: F.struct(i.alias("line_no"), _tokens(x).alias("tokens"),
+                                                   F.when(x.rlike("[0-9]"), F.xxhash64(words(x))).alias("raw")))
     d = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(each).alias("e")).filter(F.size("e.tokens") >= min_tokens)
-    d = d.select("doc_id", "e.line_no", "e.tokens")
+    d = d.select("doc_id", "e.line_no", "e.tokens", F.coalesce("e.raw", F.xxhash64("e.tokens")).alias("same"))
     return d.withColumn("leaf", _leaf(F.col("tokens")))
 
 
@@ -87,12 +95,29 @@ def _templates(distinct: DataFrame, min_docs: int) -> DataFrame:
                                        F.size("p").alias("n_const"), "n")
 
 
+def _order() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+
+
+def _equal_lines(lines: DataFrame, exact_docs: int, min_docs: int) -> DataFrame:
+    """(doc_id, line_no) of equal lines but the first.  lines: (doc_id, line_no, same, n)."""
+    in_docs = lines.groupBy("same", "doc_id").agg(F.min("line_no").alias("line_no"), F.max("n").alias("n"))
+    need = F.when(F.col("n") >= EXACT_TOKENS, exact_docs).otherwise(min_docs)
+    kept = in_docs.groupBy("same").agg(F.count(F.lit(1)).alias("n_docs"), F.min(_order()).alias("first"), F.max("n").alias("n")) \
+                  .filter(F.col("n_docs") >= need).select("same", F.col("first.d").alias("fd"), F.col("first.l").alias("fl"))
+    return lines.join(kept, "same").filter(~(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("line_no") == F.col("fl")))) \
+                .select("doc_id", "line_no")
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                  min_tokens: int = MIN_TOKENS, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """(doc_id, line_no) of every line that goes."""
+                  min_tokens: int = MIN_TOKENS, min_constant: float = MIN_CONSTANT, exact_docs: int | None = None) -> DataFrame:
+    """(doc_id, line_no) of every line that goes, maybe more than once."""
     lines = _lines(docs, id_col, text_col, min_tokens)
+    keys = lines
+    if exact_docs:
+        keys = stage(lines.select("doc_id", "line_no", "same", "leaf", F.size("tokens").alias("n")), "line-keys")
     # hot leaves: those of at least min_docs documents
-    pairs = lines.select("doc_id", "leaf").groupBy("leaf", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    pairs = keys.select("doc_id", "leaf").groupBy("leaf", "doc_id").agg(F.count(F.lit(1)).alias("k"))
     hot = stage(pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") >= min_docs).select("leaf"),
                 "leaves")
     # second pass: the lines of hot leaves, tokens and all.  A few of other leaves come through the
@@ -108,11 +133,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tpl = _templates(distinct, min_docs).filter(F.col("n_const") >= F.lit(min_constant) * F.col("n")).select("lid", "template")
     at = stage(h.select("doc_id", "line_no", "lid").join(tpl, "lid").select("doc_id", "line_no", "template"), "template-lines")
     first = at.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"))
-    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    kept = first.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(order).alias("first")) \
+    kept = first.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(_order()).alias("first")) \
                 .filter(F.col("n_docs") >= min_docs).select("template", F.col("first.d").alias("fd"), F.col("first.l").alias("fl"))
-    return at.join(kept, "template").filter(~(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("line_no") == F.col("fl")))) \
+    gone = at.join(kept, "template").filter(~(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("line_no") == F.col("fl")))) \
              .select("doc_id", "line_no")
+    return gone.unionByName(_equal_lines(keys, exact_docs, min_docs)) if exact_docs else gone
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

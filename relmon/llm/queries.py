@@ -59,7 +59,7 @@ def op10_quality_rules(spark, sf_dir):
 @query
 def op4_line_dedup(spark, sf_dir):
     """Every document without the lines of recurring templates."""
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
 
 
 @query
