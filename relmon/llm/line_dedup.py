@@ -19,8 +19,9 @@ counted, so a line in a third of all documents is one row.
 
 With ``exact_docs`` equal lines (the same words, digits and all) of at least
 ``EXACT_TOKENS`` words go from their second document on already: nothing was
-generalised there.  Only hashes of lines are counted for that.  The registered
-query asks for it (``WHOLE``).
+generalised there.  Only hashes of lines are counted for that.  Shorter lines
+are guarded by ``MIN_DOCS``.  The registered query asks for both (``WHOLE``);
+lines without a word always stay.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ MIN_TOKENS = 5           # shorter lines are left alone
 MIN_DOCS = 3
 MIN_CONSTANT = 0.8       # share of constant tokens of a template
 EXACT_TOKENS = 5         # equal lines of so many words need exact_docs documents only, shorter ones min_docs
-WHOLE = {"exact_docs": 2}    # limits of the registered query
+WHOLE = {"exact_docs": 2, "min_tokens": 1}    # limits of the registered query
 BITMAP_BITS = 21
 VARIABLE = "<*>"
 

@@ -15,3 +15,9 @@ def test_equal_lines_of_two_documents(spark):
     assert got[1] == f"one own line of words\n{passage}" and got[2] == "another own line of words"
     assert got[3] == "the code 1234 is for you" and got[4] == ""
     assert got[5] and got[6] and got[7] == "said twice in one document\nsaid twice in one document"
+
+
+def test_short_lines_need_three_documents(spark):
+    got = left(spark, {i: f"All rights reserved.\n\nEnd\nown{'abcdef'[i]}" + ("\nonly two" if i < 2 else "") for i in range(6)})
+    assert got[0] == "All rights reserved.\n\nEnd\nowna\nonly two"
+    assert got[1] == "\nownb\nonly two" and got[5] == "\nownf"
