@@ -20,8 +20,10 @@ counted, so a line in a third of all documents is one row.
 With ``exact_docs`` equal lines (the same words, digits and all) of at least
 ``EXACT_TOKENS`` words go from their second document on already: nothing was
 generalised there.  Only hashes of lines are counted for that.  Shorter lines
-are guarded by ``MIN_DOCS``.  The registered query asks for both (``WHOLE``);
-lines without a word always stay.
+are guarded by ``MIN_DOCS``.  With ``by_support`` the needed share of constants
+falls as a template's documents grow, so lines with several variable fields go
+too.  The registered query asks for all of it (``WHOLE``); lines without a word
+always stay.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ MIN_TOKENS = 5           # shorter lines are left alone
 MIN_DOCS = 3
 MIN_CONSTANT = 0.8       # share of constant tokens of a template
 EXACT_TOKENS = 5         # equal lines of so many words need exact_docs documents only, shorter ones min_docs
-WHOLE = {"exact_docs": 2, "min_tokens": 1}    # limits of the registered query
+# (documents, share of constants, constants after the leading tokens or all there are): with more
+# documents a template needs fewer constants
+BY_SUPPORT = ((10, 0.5, 1), (100, 0.0, 2))
+WHOLE = {"exact_docs": 2, "min_tokens": 1, "by_support": BY_SUPPORT}    # limits of the registered query
 BITMAP_BITS = 21
 VARIABLE = "<*>"
 
@@ -78,7 +83,8 @@ def _bitmap(hot: DataFrame) -> Column:
 
 
 def _templates(distinct: DataFrame, min_docs: int) -> DataFrame:
-    """(lid, template, n_const, n) of the distinct lines of hot leaves.
+    """(lid, template, n_const, n_tail, n) of the distinct lines of hot leaves;
+    n_tail counts the constants after the leading tokens.
 
     distinct: (lid, leaf, line, n_docs), line being the tokens joined by
     spaces.  A token in its place of a leaf is one 64-bit key, so what is
@@ -93,7 +99,19 @@ def _templates(distinct: DataFrame, min_docs: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("p"))
     sizes = distinct.select("lid", F.size(tokens).alias("n"))
     return g.join(sizes, "lid").select("lid", F.xxhash64(F.transform("p", lambda x: x["k"])).alias("template"),
-                                       F.size("p").alias("n_const"), "n")
+                                       F.size("p").alias("n_const"),
+                                       F.size(F.filter("p", lambda x: x["pos"] >= LEAD)).alias("n_tail"), "n")
+
+
+def _needed(min_docs: int, min_constant: float, by_support: tuple) -> Column:
+    """The documents a template must have; null if no number suffices."""
+    need = F.when(F.col("n_const") >= F.lit(min_constant) * F.col("n"), min_docs)
+    # prose that starts alike has constants in front only and no field among them
+    field_in_front = F.col("n_const") - F.col("n_tail") < F.least(F.col("n"), F.lit(LEAD))
+    for docs, share, tail in by_support:
+        guard = F.col("n_tail") >= F.least(F.lit(tail), F.greatest(F.col("n") - LEAD, F.lit(0)))
+        need = need.when((F.col("n_const") >= F.lit(share) * F.col("n")) & (guard | (F.lit(share > 0) & field_in_front)), docs)
+    return need
 
 
 def _order() -> Column:
@@ -111,7 +129,8 @@ def _equal_lines(lines: DataFrame, exact_docs: int, min_docs: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                  min_tokens: int = MIN_TOKENS, min_constant: float = MIN_CONSTANT, exact_docs: int | None = None) -> DataFrame:
+                  min_tokens: int = MIN_TOKENS, min_constant: float = MIN_CONSTANT, exact_docs: int | None = None,
+                  by_support: tuple = ()) -> DataFrame:
     """(doc_id, line_no) of every line that goes, maybe more than once."""
     lines = _lines(docs, id_col, text_col, min_tokens)
     keys = lines
@@ -131,11 +150,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in_docs = h.groupBy("lid", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("lid").agg(F.count(F.lit(1)).alias("n_docs"))
     one = h.select("lid", "leaf", "line").dropDuplicates(["lid"])
     distinct = stage(one.join(in_docs, "lid"), "distinct-lines")
-    tpl = _templates(distinct, min_docs).filter(F.col("n_const") >= F.lit(min_constant) * F.col("n")).select("lid", "template")
-    at = stage(h.select("doc_id", "line_no", "lid").join(tpl, "lid").select("doc_id", "line_no", "template"), "template-lines")
-    first = at.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"))
-    kept = first.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(_order()).alias("first")) \
-                .filter(F.col("n_docs") >= min_docs).select("template", F.col("first.d").alias("fd"), F.col("first.l").alias("fl"))
+    tpl = _templates(distinct, min_docs).select("lid", "template", _needed(min_docs, min_constant, by_support).alias("need"))
+    at = stage(h.select("doc_id", "line_no", "lid").join(tpl.filter(F.col("need").isNotNull()), "lid")
+                .select("doc_id", "line_no", "template", "need"), "template-lines")
+    first = at.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"), F.max("need").alias("need"))
+    kept = first.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(_order()).alias("first"), F.max("need").alias("need")) \
+                .filter(F.col("n_docs") >= F.col("need")).select("template", F.col("first.d").alias("fd"), F.col("first.l").alias("fl"))
     gone = at.join(kept, "template").filter(~(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("line_no") == F.col("fl")))) \
              .select("doc_id", "line_no")
     return gone.unionByName(_equal_lines(keys, exact_docs, min_docs)) if exact_docs else gone

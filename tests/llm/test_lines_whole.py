@@ -21,3 +21,16 @@ def test_short_lines_need_three_documents(spark):
     got = left(spark, {i: f"All rights reserved.\n\nEnd\nown{'abcdef'[i]}" + ("\nonly two" if i < 2 else "") for i in range(6)})
     assert got[0] == "All rights reserved.\n\nEnd\nowna\nonly two"
     assert got[1] == "\nownb\nonly two" and got[5] == "\nownf"
+
+
+def test_templates_with_several_variable_fields(spark):
+    rare = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(120)]
+    texts = {i: f"own{rare[i]}\nPosted on 2021-03-{i:02d} at 12:{i:02d} by admin\nLogin u{i} from 10.0.0.{i} at 12:{i:02d}\nPage {i} of {i + 9}"
+             for i in range(12)}
+    texts |= {100 + i: f"It was a {r} {r}x {r}y {r}z" for i, r in enumerate(rare)}    # prose that starts alike
+    texts |= {300 + i: f"Job {i} state {r} host {r}x user {r}y zone {r}z" for i, r in enumerate(rare)}    # 5 of 10 at most
+    texts |= {500 + i: f"Seen {i} by {r} {r}x {r}y {r}z until {r}w {r}v today" for i, r in enumerate(rare)}    # 4 of 10
+    got = left(spark, texts)
+    assert all(got[i] == texts[i] for i in [0, *range(100, 220), 300, 500])
+    assert all(got[i] == f"own{rare[i]}" for i in range(1, 12))
+    assert not any(got[i] for i in [*range(301, 420), *range(501, 620)])
