@@ -8,10 +8,11 @@ of the article is the main text.
 
 Elements whose name, role, class or id says that they are no article text
 (navigation, adverts, forms, comments ...) go as well, so a host with few
-pages is treated like any other.  Where a page marks its article, paragraphs,
-headings, lists and the like inside it are not candidates for deletion:
-passages that several articles share, and copies of a whole article, are
-article text however often they recur.
+pages is treated like any other.  Inside the article - or the
+densest text block, where a page marks none - paragraphs, headings, lists and the
+like, and blocks that merely wrap them, are not candidates for deletion: passages that several articles share, and
+copies of a whole article, are article text however often they recur.  Pages of
+a host with the same main content count once.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ NOT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor s
                       "modal newsletter subscribe signup share sharing social related recommended comment comments "
                       "respond reply replies disqus skip pagination pager".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table figure figcaption".split())
+PARAGRAPH = frozenset("p pre blockquote".split())
 CANDIDATES = frozenset("div section nav aside footer header ul ol dl table form p menu".split())
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -54,22 +56,27 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "inner", "hash", "has_root")
+    __slots__ = ("tag", "names", "named", "inner", "hash", "root", "has_root", "size", "own", "para")
 
-    def __init__(self, tag: str, names: frozenset | tuple = ()):
-        self.tag, self.names, self.inner = tag, names, []
-        self.hash, self.has_root = 0, False
+    def __init__(self, tag: str, names: tuple = (), named: bool = False):
+        self.tag, self.names, self.named, self.inner = tag, names, named, []
+        self.hash, self.root, self.has_root = 0, False, False
+        # characters of text; of its own and its inline elements' text; whether paragraphs are inside
+        self.size, self.own, self.para = 0, 0, False
 
 
-def _names(attrs: str) -> tuple[str, ...]:
-    """Words of class, id and role."""
+def _names(attrs: str) -> tuple[tuple[str, ...], bool]:
+    """Words of class, id and role, and whether any is a name that is no article text."""
     if "=" not in attrs:
-        return ()
-    out = []
+        return (), False
+    out, named = [], False
     for m in _ATTR.finditer(attrs):
         if m[1].lower() in ("class", "id", "role"):
-            out += _NAME.findall((m[2] or m[3] or m[4] or "").lower())
-    return tuple(out)
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                words = _NAME.findall(token)
+                out += words
+                named = named or not NOT_NAMES.isdisjoint(words)
+    return tuple(out), named
 
 
 def parse(page: str) -> Node:
@@ -98,7 +105,7 @@ def parse(page: str) -> Node:
             _close(stack, {"p"})
         if tag in CLOSES:
             _close(stack, CLOSES[tag])
-        node = Node(tag, _names(m[3] if m[3] is not None else m[6] or ""))
+        node = Node(tag, *_names(m[3] if m[3] is not None else m[6] or ""))
         stack[-1].inner.append(node)
         if tag in VOID:
             continue
@@ -123,46 +130,93 @@ def _close(stack: list[Node], tags: set[str]) -> None:
 
 
 def _is_root(n: Node) -> bool:
-    return (n.tag in ("article", "main") or "main" in n.names and n.tag == "div") and not _not_text(n)
+    return n.tag in ("article", "main") or "main" in n.names and n.tag == "div" and not n.named
 
 
-def _not_text(n: Node) -> bool:
-    return n.tag in NOT_TEXT or any(x in NOT_NAMES for x in n.names)
+def _not_text(n: Node, total: int) -> bool:
+    """By tag or by name."""
+    return n.tag in NOT_TEXT or n.named
 
 
 def digest(root: Node) -> bool:
-    """Hashes every subtree, bottom up, and notes which hold an article; says
-    whether any does."""
+    """Hashes every subtree, bottom up, marks the articles and notes what holds
+    one; says whether there is any.  A page without
+    articles has its densest text block marked."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
         order.append(n)
         todo += [c for c in n.inner if type(c) is Node]
+    roots = [n for n in order if _is_root(n)]
+    for n in [n for n in roots if not n.named]:
+        n.root = True
     for n in reversed(order):
         parts = [n.tag, *n.names]
         for c in n.inner:
             if type(c) is Node:
                 parts.append(str(c.hash))
                 n.has_root |= c.has_root
+                n.size += c.size
+                n.para |= c.para or c.tag in PARAGRAPH
+                n.own += c.size if c.tag not in BLOCK else 0
             elif s := " ".join(c.split()):
                 parts.append(s)
-        n.has_root |= _is_root(n)
+                n.size += len(s)
+                n.own += len(s)
+        n.has_root |= n.root
+        if n.tag in NOT_TEXT:
+            n.size = n.own = 0
         n.hash = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
-    return root.has_root
+    if not root.has_root:
+        _mark_densest(root)
+        return False
+    return True
 
 
-def candidates(page: str) -> list[int]:
-    """Hashes of the subtrees that may be templates, each once."""
+def _mark_densest(root: Node) -> None:
+    """Marks the block with most text in its own paragraphs, each character
+    twice, and outside of blocks, and what holds it."""
+    best, most, todo = [], 0, [(root, None)]
+    while todo:
+        n, up = todo.pop()
+        if n is not root and (_not_text(n, root.size) or n.tag == "header" or n.tag in CONTENT):
+            continue
+        at = (n, up)
+        if n is root or n.tag in BLOCK:
+            score = n.own + 2 * sum(c.size for c in n.inner if type(c) is Node and c.tag in PARAGRAPH)
+            if score > most:
+                best, most = at, score
+        todo += [(c, at) for c in reversed(n.inner) if type(c) is Node]
+    if best:
+        best[0].root = True
+    while best:
+        best[0].has_root, best = True, best[1]
+
+
+def _may_go(n: Node, inside: bool, marked: bool) -> bool:
+    """Whether a subtree is deleted as a template.  Inside the article, or the
+    densest block, content and what merely wraps content stay."""
+    if n.tag not in CANDIDATES or n.root or n.has_root and not (inside and marked):
+        return False
+    wraps = n.para and not any(type(c) is str and c.strip() for c in n.inner)
+    return not (inside and (n.tag in CONTENT or wraps))
+
+
+def candidates(page: str) -> tuple[int, list[int]]:
+    """A hash of the main content (of the whole page, if no article is marked)
+    and those of the subtrees that may be templates, each once."""
     root = parse(page)
     marked = digest(root)
-    out, todo = set(), [(root, False)]
+    out, mains, todo = set(), [], [(root, False)]
     while todo:
         n, inside = todo.pop()
-        inside = inside or marked and _is_root(n)
-        if n.tag in CANDIDATES and (inside or not n.has_root) and not (inside and n.tag in CONTENT):
+        if _may_go(n, inside, marked):
             out.add(n.hash)
-        todo += [(c, inside) for c in n.inner if type(c) is Node]
-    return sorted(out)
+        if n.root and not inside:
+            mains.append(n.hash)
+        todo += [(c, inside or n.root) for c in n.inner if type(c) is Node]
+    key = xxhash.xxh64_intdigest(" ".join(map(str, sorted(mains)))) - (1 << 63) if marked else root.hash
+    return key, sorted(out)
 
 
 def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -179,30 +233,30 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
                 blocks.append(s)
             line.clear()
 
-    # (node or text or None for the end of a block, inside the article)
-    todo: list[tuple] = [(root, not marked)]
+    # (node or text or None for the end of a block, whether its text counts, inside the article or densest block)
+    todo: list[tuple] = [(root, not marked, False)]
     while todo:
-        n, inside = todo.pop()
+        n, counts, inside = todo.pop()
         if n is None:
             flush()
         elif type(n) is str:
-            if inside:
+            if counts:
                 line.append(n)
         else:
             # what holds an article is looked into, unless it is inside one itself
             if not n.has_root or inside and marked:
-                if _not_text(n) or not marked and n.tag == "header":
+                if _not_text(n, root.size) or not marked and n.tag == "header":
                     continue
-                if n.hash in templates and n.tag in CANDIDATES and not (inside and marked and n.tag in CONTENT):
-                    flush()
-                    continue
-            here = inside or marked and _is_root(n)
+            if n.hash in templates and _may_go(n, inside, marked):
+                flush()
+                continue
+            here = inside or n.root
             if n.tag == "br":
                 line.append(" ")
             if n.tag in BLOCK:
                 flush()
-                todo.append((None, here))
-            todo += [(c, here) for c in reversed(n.inner)]
+                todo.append((None, False, here))
+            todo += [(c, counts or n.root, here) for c in reversed(n.inner)]
     flush()
     return "\n".join(blocks)
 
@@ -221,15 +275,19 @@ def template_hashes(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([candidates(t.as_py()) for t in b.column(2)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["page_id", "host", "h"])
+            found = [candidates(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([k for k, _ in found], pa.int64()),
+                                              pa.array([h for _, h in found], pa.list_(pa.int64()))],
+                                             names=["page_id", "host", "main", "h"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("t"))
-    found = stage(rows.mapInArrow(run, f"page_id {kind}, host string, h array<bigint>"), "subtrees")
+    found = stage(rows.mapInArrow(run, f"page_id {kind}, host string, main bigint, h array<bigint>"), "subtrees")
     each = found.select("page_id", "host", F.explode("h").alias("h"))
-    n_host = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    often = (each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_pages)
+    # copies of a page's main content count once
+    once = found.groupBy("host", "main").agg(F.min("h").alias("h"))
+    n_host = once.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    often = (once.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_pages)
                  .join(n_host, "host").filter(F.col("k") >= F.lit(min_share) * F.col("n")).select("host", "h"))
     return each.join(often, ["host", "h"]).groupBy("page_id", "host").agg(F.collect_set("h").alias("gone"))
 
@@ -238,7 +296,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per input row: page_id, url, text, n_chars.
 
     A null or empty html has an empty text; a null url belongs to the host '';
-    repeated rows give repeated results and count as pages; an empty table
+    repeated rows give repeated results and count as one page; an empty table
     gives no rows; other columns are not read.  Pages of any size are read whole.
     """
     gone = template_hashes(pages, id_col, url_col, html_col, **limits)
