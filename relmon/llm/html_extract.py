@@ -8,7 +8,8 @@ of the article is the main text.
 
 Elements whose name, role, class or id says that they are no article text
 (navigation, adverts, forms, comments ...) go as well, so a host with few
-pages is treated like any other.  Inside the article - or the
+pages is treated like any other.  Names are whole tokens, and never those of the
+page, its article or what holds most of its text.  Inside the article - or the
 densest text block, where a page marks none - paragraphs, headings, lists and the
 like, and blocks that merely wrap them, are not candidates for deletion: passages that several articles share, and
 copies of a whole article, are article text however often they recur.  Pages of
@@ -66,7 +67,7 @@ class Node:
 
 
 def _names(attrs: str) -> tuple[tuple[str, ...], bool]:
-    """Words of class, id and role, and whether any is a name that is no article text."""
+    """Words of class, id and role, and whether a whole token of them consists of names that are no article text."""
     if "=" not in attrs:
         return (), False
     out, named = [], False
@@ -75,7 +76,7 @@ def _names(attrs: str) -> tuple[tuple[str, ...], bool]:
             for token in (m[2] or m[3] or m[4] or "").lower().split():
                 words = _NAME.findall(token)
                 out += words
-                named = named or not NOT_NAMES.isdisjoint(words)
+                named = named or bool(words) and NOT_NAMES.issuperset(words)
     return tuple(out), named
 
 
@@ -134,13 +135,14 @@ def _is_root(n: Node) -> bool:
 
 
 def _not_text(n: Node, total: int) -> bool:
-    """By tag or by name."""
-    return n.tag in NOT_TEXT or n.named
+    """By tag, or by name: never the page or its article, nor what holds most of its text."""
+    return n.tag in NOT_TEXT or n.named and not n.root and n.tag not in ("html", "body", "main") and 2 * n.size <= total
 
 
 def digest(root: Node) -> bool:
     """Hashes every subtree, bottom up, marks the articles and notes what holds
-    one; says whether there is any.  A page without
+    one; says whether there is any.  An article with a name of NOT_NAMES (a
+    reader's comment) counts where the page has no other.  A page without
     articles has its densest text block marked."""
     order, todo = [], [root]
     while todo:
@@ -148,7 +150,7 @@ def digest(root: Node) -> bool:
         order.append(n)
         todo += [c for c in n.inner if type(c) is Node]
     roots = [n for n in order if _is_root(n)]
-    for n in [n for n in roots if not n.named]:
+    for n in [n for n in roots if n.tag == "main" or not n.named] or roots:
         n.root = True
     for n in reversed(order):
         parts = [n.tag, *n.names]

@@ -19,3 +19,15 @@ def test_copies_and_shared_passages_keep_their_text(spark):
               + [f"{menu}<div><p>Own {o}</p>{passage}</div>" for o in own])
     assert got[0] == f"Copied text of one page\n{own[0]}"
     assert got[5] == f"Own {own[1]}\nA passage that several pages share, and rather long."
+
+
+def test_names_of_pages_articles_and_parts_of_tokens_drop_nothing():
+    text = "<p>All of the text of this page.</p>"
+    want = "All of the text of this page."
+    assert H.main_text(f"<body class='has-sidebar sidebar'>{text}</body>") == want
+    assert H.main_text(f"<article class='post comments-open'>{text}</article>") == want
+    assert H.main_text(f"<article class='social'>{text}</article><div>x</div>") == want
+    assert H.main_text(f"<main class='sidebar with-sidebar'>{text}</main>") == want
+    assert H.main_text(f"<article>{text}<section class='social-policy'><p>Policy</p></section></article>") == f"{want}\nPolicy"
+    assert H.main_text(f"<div class=menu>{text}</div><div>x</div>") == f"{want}\nx"
+    assert H.main_text(f"<article>{text}<div class='x social-share'>go</div></article><article class=comment>me</article>") == want
