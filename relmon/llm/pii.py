@@ -48,11 +48,16 @@ EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]{12,}[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LOOSE_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+# 3-3-4, then numbers with a trunk zero, then any groups
+LOOSE_PHONE = (r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|"
+               r"\(?0[1-9][0-9]{0,4}\)?[ ./-]{0,1}[0-9]{2,8}(?:[ .-][0-9]{2,4}){0,4}|"
+               r"\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,4}){2,4})(?![0-9])")
+NATIONAL = (r"^(?:\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}|\(?0[1-9].*|"
+            r"[6-9][0-9]{2}[ .-](?:[0-9]{3}[ .-][0-9]{3}|[0-9]{2}[ .-][0-9]{2}[ .-][0-9]{2}))$")
 LOOSE_EMAIL = (r"(?<![A-Za-z0-9])[A-Za-z0-9_]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}"
                r" ?[\[(]dot[\])] ?[A-Za-z]{2,16}(?![A-Za-z0-9])")
 ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,128}(?![A-Za-z0-9_/+@.-])"
+SECRET = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+(?!@|\.++[A-Za-z0-9_/+@-])"
 
 VOTES = 5
 FEATURES = 8
@@ -120,7 +125,7 @@ def loose_spans(text: Column) -> dict[str, Column]:
     digit = text.rlike("[0-9]")
     secret = F.filter(_found(text, SECRET), lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]"))
     return {"email": F.when(text.rlike(r"[\[(]at[\])]"), _found(text, LOOSE_EMAIL)).otherwise(none),
-            "phone": F.when(digit, _found(text, LOOSE_PHONE)).otherwise(none),
+            "phone": F.when(digit, F.filter(_found(text, LOOSE_PHONE), lambda x: F.length(_digits(x["s"])).between(9, 13))).otherwise(none),
             "id": F.when(digit, _found(text, ID)).otherwise(none),
             "secret": F.when(digit, secret).otherwise(none)}
 
@@ -133,7 +138,7 @@ def _votes(kind: str, strict: bool, x: Column) -> list[Column]:
     if strict:
         pattern = F.lit(1)
     else:
-        pattern = {"email": F.lit(0), "phone": vote(s.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9]"), s.rlike("[0-9]")),
+        pattern = {"email": F.lit(0), "phone": vote(s.rlike(NATIONAL), s.rlike("[0-9]")),
                    "id": vote(~s.rlike(r"^(?:000|666|9)|-00-|-0000$"), s.rlike("[0-9]")),
                    "secret": vote(s.rlike(r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16,})$"), s.rlike("^[A-Za-z]+[0-9]{1,4}$"))}[kind]
     gazetteer = {
@@ -149,7 +154,7 @@ def _votes(kind: str, strict: bool, x: Column) -> list[Column]:
     n = F.length(_digits(s))
     distinct = F.size(F.array_distinct(F.split(s, "")))
     shape = {"email": vote(F.length(s).between(6, 64), F.lit(True)), "ip": vote(F.length(s) <= 15, F.lit(True)),
-             "card": vote(n.isin(14, 15, 16), F.lit(True)), "phone": vote(n.between(10, 13), F.lit(True)),
+             "card": vote(n.isin(14, 15, 16), F.lit(True)), "phone": vote(n.between(9, 13), F.lit(True)),
              "id": vote(distinct > 4, F.lit(True)),
              "secret": vote((distinct * 3 > F.length(s)) | (distinct > 8), F.lit(True))}[kind]
     return [pattern, gazetteer, context, boundary, shape]
