@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from relmon.llm.common import stage
 
 MIN_PAGES = 3            # a template recurs on at least so many pages of its host
-MIN_SHARE = 0.1          # and on this share of them
+MIN_SHARE = 0.1          # and on this share of them,
+MANY_PAGES = 30          # or on so many
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -268,7 +269,7 @@ def host(url: Column) -> Column:
 
 
 def template_hashes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                    min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+                    min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(page_id, host, gone): the hashes of each page's template subtrees.
 
     Counts are combined on the map side, so a menu on a third of all pages is
@@ -290,7 +291,7 @@ def template_hashes(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     once = found.groupBy("host", "main").agg(F.min("h").alias("h"))
     n_host = once.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     often = (once.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_pages)
-                 .join(n_host, "host").filter(F.col("k") >= F.lit(min_share) * F.col("n")).select("host", "h"))
+                 .join(n_host, "host").filter(F.col("k") >= F.least(F.lit(min_share) * F.col("n"), F.lit(many_pages))).select("host", "h"))
     return each.join(often, ["host", "h"]).groupBy("page_id", "host").agg(F.collect_set("h").alias("gone"))
 
 

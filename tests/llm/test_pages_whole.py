@@ -31,3 +31,10 @@ def test_names_of_pages_articles_and_parts_of_tokens_drop_nothing():
     assert H.main_text(f"<article>{text}<section class='social-policy'><p>Policy</p></section></article>") == f"{want}\nPolicy"
     assert H.main_text(f"<div class=menu>{text}</div><div>x</div>") == f"{want}\nx"
     assert H.main_text(f"<article>{text}<div class='x social-share'>go</div></article><article class=comment>me</article>") == want
+
+
+def test_templates_of_a_part_of_a_large_host_go(spark):
+    own = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(500)]
+    got = run(spark, [f"<article>{'<div>Section notice</div>' if i < 40 else ''}{'<div>A few</div>' if i > 490 else ''}<p>{o}</p></article>"
+                      for i, o in enumerate(own)])
+    assert got[0] == own[0] and got[39] == own[39] and got[495] == f"A few\n{own[495]}"
