@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relmon.llm import bpe_codec, compression_quality, exact_dedup, html_extract, line_dedup, mixing, pii, quality_rules, simhash_dedup, token_count
+from relmon.llm import (bpe_codec, compression_quality, exact_dedup, fill_middle, filter_audit, html_extract, line_dedup, mixing, pii,
+                        quality_rules, simhash_dedup, token_count, warc)
 from relmon.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,21 @@ def op9_compression_quality(spark, sf_dir):
 def op1_pii_spans(spark, sf_dir):
     """Personal data of every document: base counts and digest, all spans."""
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back from byte ranges."""
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    """What every order of the five filters removes of each source, step by step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_fill_middle(spark, sf_dir):
+    """Every document cut, reordered and restored; digests of both texts."""
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
