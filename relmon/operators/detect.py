@@ -25,8 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relmon.functions import stats as S
+from relmon.operators import moments as M
 from relmon.operators.contract import _render
 from relmon.operators.profile import _lit_ts, to_datetime
+from relmon.operators.sequence import in_time_ranges as _in_time_ranges
+from relmon.operators.sequence import stage
 from relmon.specs import DEFAULT_STALENESS_MINUTES, DEFAULT_Z_THRESHOLD
 
 BASELINE_KEY = ("metric_name", "source_database", "table_name")
@@ -244,19 +247,6 @@ def z_trajectory(series: DataFrame, ref_start, ref_end, keys: Sequence[str] = ("
              .withColumn("severity_band", S.severity_band(z)))
 
 
-def _in_time_ranges(df: DataFrame, keys: Sequence[str], time_col: str, order_cols: Sequence[str],
-                    partitions: int | None) -> DataFrame:
-    """Rows range-partitioned and sorted by (keys, time, order_cols), with the
-    partition's number.  The ranges come from a sample of the data, so a key
-    that holds most rows is cut into as many ranges as it needs, also where
-    many of its rows have one time: a hash of the row is the last sort key."""
-    order = [F.col(c) for c in (*keys, time_col, *order_cols)]
-    d = df.withColumn("_tie", F.xxhash64(*df.columns))
-    order = [*order, F.col("_tie")]
-    d = d.repartitionByRange(partitions, *order) if partitions else d.repartitionByRange(*order)
-    return d.withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)
-
-
 def previous_in_sequence(df: DataFrame, keys: Sequence[str], time_col: str, order_cols: Sequence[str] = (),
                          partitions: int | None = None) -> DataFrame:
     """Adds ``prev_ts``: the time of the previous row of the same key in
@@ -269,7 +259,7 @@ def previous_in_sequence(df: DataFrame, keys: Sequence[str], time_col: str, orde
     last time of the key's partition before it, from a table with one row for
     each; partitions are numbered in time order within a key.
     """
-    d = _stage(_in_time_ranges(df, keys, time_col, order_cols, partitions))
+    d = stage(_in_time_ranges(df, keys, time_col, order_cols, partitions))
     w_in = Window.partitionBy("_part", *keys).orderBy(time_col, *order_cols, "_tie")
     d = d.withColumn("_prev_in", F.lag(time_col).over(w_in))
     edges = d.groupBy("_part", *keys).agg(F.max(time_col).alias("_last"))
@@ -284,17 +274,6 @@ def previous_in_sequence(df: DataFrame, keys: Sequence[str], time_col: str, orde
                .select(*df.columns, "prev_ts"))
 
 
-def _stage(df: DataFrame) -> DataFrame:
-    """The ranges are drawn from a sample, so the numbered partitions are
-    written once (in the shared folder) for all that is computed on them."""
-    import uuid
-
-    from relmon.session import scratch_path
-    path = scratch_path(df.sparkSession, f"sequence-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def interarrival_gaps(df: DataFrame, keys: Sequence[str], time_col: str, partitions: int | None = None) -> DataFrame:
     """Inter-arrival gap (minutes) of every row after the first of its key."""
     p = previous_in_sequence(df.select(*keys, time_col), keys, time_col, partitions=partitions)
@@ -309,30 +288,25 @@ def interarrival_freshness(df: DataFrame, keys: Sequence[str], time_col: str, as
 
     One read of the (key, time) columns and no join: rows are range-partitioned
     by (key, time); each (partition, key) is reduced to its first and last time
-    and the count, sum, sum of squares and maximum of its gaps; a ``lag`` over
-    that small table adds the gaps between partitions."""
+    and the mergeable state (count, mean, M2) and maximum of its gaps; a ``lag``
+    over that small table adds the gaps between partitions."""
     d = _in_time_ranges(df.select(*keys, time_col).filter(F.col(time_col).isNotNull()), keys, time_col, (), partitions)
     w_in = Window.partitionBy("_part", *keys).orderBy(time_col)
     gap = S.minutes_between(F.lag(time_col).over(w_in), time_col)
     d = d.withColumn("_gap", gap)
     part = d.groupBy("_part", *keys).agg(
-        F.min(time_col).alias("first"), F.max(time_col).alias("last"), F.count("_gap").alias("n"),
-        F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("q"),
-        F.max("_gap").alias("m"))
+        F.min(time_col).alias("first"), F.max(time_col).alias("last"), M.state_of(F.col("_gap")).alias("s"), F.max("_gap").alias("m"))
     # ranges of a key follow each other in time
     before = F.lag("last").over(Window.partitionBy(*keys).orderBy("first", "last"))
     part = part.withColumn("_edge", S.minutes_between(before, "first"))
-    edge = F.coalesce(F.col("_edge"), F.lit(0.0))
-    one = F.col("_edge").isNotNull().cast("long")
-    g = part.groupBy(*keys).agg(F.max("last").alias("latest_timestamp"), F.sum(F.col("n") + one).alias("n_gaps"),
-                                F.sum(F.col("s") + edge).alias("s"), F.sum(F.col("q") + edge * edge).alias("q"),
+    one = F.struct(F.lit(1).cast("bigint").alias("n"), F.col("_edge").alias("mean"), F.lit(0.0).alias("m2"))
+    part = part.withColumn("s", F.when(F.col("_edge").isNull(), F.col("s")).otherwise(M.merged(F.col("s"), one)))
+    # a key's ranges, at most as many as there are partitions, merged in time order
+    g = part.groupBy(*keys).agg(F.max("last").alias("latest_timestamp"), M.merge_states("s", "first").alias("s"),
                                 F.max(F.greatest(F.col("m"), F.col("_edge"))).alias("m"))
-    n = F.col("n_gaps")
-    mean = F.when(n > 0, F.col("s") / n)
-    var = F.greatest((F.col("q") - F.col("s") * F.col("s") / n) / (n - 1), F.lit(0.0))
-    j = g.select(*keys, "latest_timestamp", n.cast("long").alias("n_gaps"), S.as_stat(mean).alias("mean_gap_minutes"),
-                 S.as_stat(F.when(n > 1, F.sqrt(var)).when(n == 1, F.lit(0.0))).alias("std_gap_minutes"),
-                 S.as_stat("m").alias("max_gap_minutes"))
+    s = F.col("s")
+    j = g.select(*keys, "latest_timestamp", s["n"].cast("long").alias("n_gaps"), S.as_stat(M.mean_of(s)).alias("mean_gap_minutes"),
+                 S.as_stat(M.stddev_of(s)).alias("std_gap_minutes"), S.as_stat("m").alias("max_gap_minutes"))
     cur = S.minutes_between("latest_timestamp", _lit_ts(as_of))
     z = S.signed_z(cur, "mean_gap_minutes", "std_gap_minutes")
     return j.select(*keys, "latest_timestamp", "n_gaps", "mean_gap_minutes", "std_gap_minutes", "max_gap_minutes",

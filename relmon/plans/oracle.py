@@ -787,3 +787,57 @@ SELECT bucket, day_class, hour_of_day, value, CASE WHEN sample_size >= 10 THEN C
        CASE WHEN sample_size < 10 THEN 'skipped_few_samples' ELSE 'evaluated' END AS status
 FROM z
 """
+
+SQL["asof_event_scores"] = f"""
+WITH b AS (SELECT event_type, CAST(ts AS DATE)::TIMESTAMP + INTERVAL 1 DAY AS calculation_timestamp,
+                  CAST(AVG(value) AS DECIMAL(15,4)) AS baseline_mean,
+                  CAST(COALESCE(STDDEV_SAMP(value), 0.0) AS DECIMAL(15,4)) AS baseline_std,
+                  CAST(COUNT(value) AS INTEGER) AS sample_size
+           FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5 GROUP BY 1, 2),
+j AS (SELECT e.event_id, e.event_type, e.value, b.calculation_timestamp, b.baseline_mean, b.baseline_std, b.sample_size
+      FROM events e ASOF LEFT JOIN b ON e.event_type = b.event_type AND e.ts >= b.calculation_timestamp),
+z AS (SELECT *, {_Z.format(v='value', m='baseline_mean', sd='baseline_std')} AS z FROM j)
+SELECT event_id, event_type, calculation_timestamp, baseline_mean, baseline_std, sample_size,
+       CASE WHEN baseline_mean IS NOT NULL THEN CAST(z AS DECIMAL(10,4)) END AS signed_z,
+       COALESCE(baseline_mean IS NOT NULL AND abs(z) > 3.0, FALSE) AS is_anomaly,
+       CASE WHEN baseline_mean IS NULL THEN 'skipped_no_baseline' ELSE 'evaluated' END AS status
+FROM z
+"""
+
+SQL["smoothed_series"] = """
+WITH RECURSIVE s AS (SELECT event_type, date_trunc('hour', ts) AS bucket, CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bucket) AS i FROM s),
+r AS (SELECT event_type, bucket, value, i, value AS sm FROM n WHERE i = 1
+      UNION ALL
+      SELECT n.event_type, n.bucket, n.value, n.i, 0.1 * n.value + 0.9 * r.sm FROM r JOIN n ON n.event_type = r.event_type AND n.i = r.i + 1)
+SELECT event_type, 'hourly_ingestion_rate' AS metric_name, bucket, value, CAST(sm AS DECIMAL(15,4)) AS smoothed_value FROM r
+"""
+
+SQL["incremental_baseline"] = """
+WITH s AS (SELECT event_type, date_trunc('hour', ts) AS bucket, CAST(COUNT(*) AS DOUBLE) AS value FROM events
+           WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1, 2)
+SELECT event_type, 'hourly_ingestion_rate' AS metric_name, CAST(AVG(value) AS DECIMAL(15,4)) AS mean_value,
+       CAST(COALESCE(STDDEV_SAMP(value), 0.0) AS DECIMAL(15,4)) AS std_deviation, CAST(COUNT(*) AS INTEGER) AS sample_size,
+       CAST(COUNT(DISTINCT CAST(bucket AS DATE)) AS INTEGER) AS days, TIMESTAMP '2024-01-31 00:00:00' AS calculation_timestamp
+FROM s GROUP BY event_type
+"""
+
+SQL["alert_backoff"] = f"""
+WITH RECURSIVE {_AL},
+p AS (SELECT alert_type, source_table, alert_timestamp AS t, MIN(event_id) AS event_id FROM al GROUP BY 1, 2, 3),
+c AS (SELECT alert_type, source_table, MIN(t) AS t, 0 AS level FROM p GROUP BY 1, 2
+      UNION ALL
+      SELECT alert_type, source_table, nt, CASE WHEN nt >= t + INTERVAL 720 MINUTE THEN 0 ELSE least(level + 1, 4) END
+      FROM (SELECT c.alert_type, c.source_table, c.t, c.level, MIN(p.t) AS nt
+            FROM c JOIN p ON p.alert_type = c.alert_type AND p.source_table = c.source_table
+                         AND p.t >= c.t + to_minutes(CAST(30 * pow(2, c.level) AS BIGINT)) GROUP BY 1, 2, 3, 4))
+SELECT p.event_id, alert_type, source_table, t AS alert_timestamp, CAST(level AS INTEGER) AS backoff_level, 30.0 * pow(2, level) AS wait_minutes
+FROM c JOIN p USING (alert_type, source_table, t)
+"""
+
+SQL["retention_store"] = f"""
+WITH {_AL}
+SELECT CAST(alert_timestamp AS DATE) AS alert_date, alert_type, COUNT(DISTINCT alert_timestamp) AS alerts,
+       MIN(alert_timestamp) AS first_alert, MAX(alert_timestamp) AS last_alert
+FROM al WHERE alert_timestamp >= TIMESTAMP '2024-01-17 00:00:00' GROUP BY 1, 2
+"""

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relmon.functions import stats as S
 from relmon.operators import detect as D
 from relmon.operators import profile as P
 from relmon.plans.tables import BATCH_DB, CDC_DB, EVENTS_AS_OF, ORDERS_AS_OF, load
@@ -231,6 +232,67 @@ def latest_baseline(spark, sf_dir):
     return D.latest_baseline(gen1.unionByName(gen2))
 
 
+def _daily_value_versions(spark, sf_dir):
+    """A baseline of event values per type, calculated at the midnight after each working day."""
+    e = _events(spark, sf_dir)
+    v = F.col("value")
+    g = e.groupBy("event_type", F.to_date("ts").alias("day")).agg(
+        S.as_stat(F.avg(v)).alias("baseline_mean"),
+        S.as_stat(F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("baseline_std"), F.count(v).cast("int").alias("sample_size"))
+    return g.filter(F.dayofweek("day").between(2, 6)).select(
+        "event_type", F.date_add("day", 1).cast("timestamp_ntz").alias("calculation_timestamp"), "baseline_mean", "baseline_std", "sample_size")
+
+
+@query
+def asof_event_scores(spark, sf_dir):
+    """J-1 / T-2: every event's value scored against the baseline of its type
+    that was valid at its time (as-of join, the latest version not after it)."""
+    ensure_utc(spark)
+    from relmon.operators.sequence import asof_join
+    j = asof_join(_events(spark, sf_dir).select("event_id", "event_type", "ts", "value"), _daily_value_versions(spark, sf_dir),
+                  ["event_type"], "ts", "calculation_timestamp", ["baseline_mean", "baseline_std", "sample_size"])
+    z = S.signed_z("value", "baseline_mean", "baseline_std")
+    return j.select("event_id", "event_type", "calculation_timestamp", "baseline_mean", "baseline_std", "sample_size",
+                    S.as_z(z).alias("signed_z"), F.coalesce(S.is_anomaly(z), F.lit(False)).alias("is_anomaly"),
+                    F.when(F.col("baseline_mean").isNull(), "skipped_no_baseline").otherwise("evaluated").alias("status"))
+
+
+@query
+def smoothed_series(spark, sf_dir):
+    """DT-9: the whole hourly series of every type exponentially smoothed (alpha 0.1)."""
+    ensure_utc(spark)
+    from relmon.operators.sequence import smoothed_series
+    s = smoothed_series(_hourly_by_type(spark, sf_dir), ["event_type", "metric_name"], alpha=0.1)
+    return s.select("event_type", "metric_name", "bucket", "value", S.as_stat("smoothed_value").alias("smoothed_value"))
+
+
+@query
+def incremental_baseline(spark, sf_dir):
+    """DT-5 / A-5 / SNK-1: hourly baselines over a sliding window of 7 days kept as
+    mergeable day states in a store.  The first run profiles all days but the
+    last, later ones add a day, replay one and expire what left the window; no
+    run looks at a day profiled before."""
+    ensure_utc(spark)
+    import uuid
+
+    from relmon.operators import moments as M
+    from relmon.session import scratch_path
+    from relmon.sinks import store as K
+    path = scratch_path(spark, f"day-states-{uuid.uuid4().hex[:12]}")
+    keys = ["event_type", "metric_name"]
+
+    def profile(lo, hi):
+        e = _events(spark, sf_dir)
+        e = e.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
+        s = P.metric_series(e, "ts", grain="hour", by=["event_type"], metrics={"hourly_ingestion_rate": F.count(F.lit(1))})
+        K.put_day_states(M.day_states(s, keys), path)
+    profile("1970-01-01 00:00:00", "2024-01-30 00:00:00")
+    for _ in range(2):      # the second is a replay
+        profile("2024-01-30 00:00:00", EVENTS_AS_OF)
+    K.drop_expired_states(spark, path, EVENTS_AS_OF, 7)
+    return M.window_baselines(K.day_states(spark, path), EVENTS_AS_OF, 7, keys)
+
+
 # ---------------------------------------------------------------- contracts
 
 def _cdc_validated(spark, sf_dir):
@@ -386,6 +448,16 @@ def alert_cooldown(spark, sf_dir):
     return c.select("event_id", "alert_type", "alert_timestamp", "prev_ts", "gap_minutes")
 
 
+@query
+def alert_backoff(spark, sf_dir):
+    """W-4: alerts that pass a chained cool-down per (type, table): a silence of
+    30 minutes after the first, doubled with each further one up to 8 hours,
+    short again after 12 hours."""
+    from relmon.operators.backoff import backoff
+    b = backoff(_alerts(spark, sf_dir), 30, factor=2.0, max_level=4, reset_minutes=720, order_cols=["event_id"])
+    return b.select("event_id", "alert_type", "source_table", "alert_timestamp", "backoff_level", "wait_minutes")
+
+
 @query
 def alert_stats(spark, sf_dir):
     """A-6 / A-8 / T-4: last-24h alerts by type and severity."""
@@ -429,6 +501,21 @@ def retention(spark, sf_dir):
         "event_id", "alert_type", "alert_timestamp")
 
 
+@query
+def retention_store(spark, sf_dir):
+    """SNK-5: the alert store written by date, its partitions older than 14 days
+    dropped, and what is left read back."""
+    import uuid
+
+    from relmon.session import scratch_path
+    from relmon.sinks import store as K
+    path = scratch_path(spark, f"alert-store-{uuid.uuid4().hex[:12]}")
+    K.append_alerts(spark, _alerts(spark, sf_dir), path)
+    K.drop_expired_alerts(spark, path, EVENTS_AS_OF, days=14)
+    return spark.read.parquet(path).groupBy("alert_date", "alert_type").agg(
+        F.count(F.lit(1)).alias("alerts"), F.min("alert_timestamp").alias("first_alert"), F.max("alert_timestamp").alias("last_alert"))
+
+
 @query
 def new_alerts(spark, sf_dir):
     """SNK-2 / AL-1: a batch of alerts inserted if absent from the store

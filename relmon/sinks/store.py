@@ -139,20 +139,43 @@ def append_alerts(spark: SparkSession, batch: DataFrame, path: str, key=ALERT_KE
     fresh.write.mode("append").partitionBy("alert_date").parquet(path)
 
 
-def drop_expired_alerts(spark: SparkSession, path: str, as_of, days: int = 90) -> list[str]:
-    """Retention: drop the ``alert_date`` partitions older than ``days``."""
-    cutoff = (to_datetime(as_of) - _dt.timedelta(days=int(days))).date()
+def _drop_partitions(spark: SparkSession, path: str, column: str, cutoff: _dt.date) -> list[str]:
+    """Drop the partitions of a date column older than ``cutoff``; rows without a date stay."""
     fs, p = _fs(spark, path)
     dropped = []
     if not fs.exists(p):
         return dropped
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("alert_date="):
+        if st.isDirectory() and name.startswith(column + "="):
             value = name.split("=", 1)[1]
-            if value == NULL_PARTITION:         # alerts without a time don't expire
+            if value == NULL_PARTITION:
                 continue
             if _dt.date.fromisoformat(value) < cutoff:
                 fs.delete(st.getPath(), True)
                 dropped.append(name)
     return dropped
+
+
+def drop_expired_alerts(spark: SparkSession, path: str, as_of, days: int = 90) -> list[str]:
+    """Retention: drop the ``alert_date`` partitions older than ``days``."""
+    return _drop_partitions(spark, path, "alert_date", (to_datetime(as_of) - _dt.timedelta(days=int(days))).date())
+
+
+def put_day_states(states: DataFrame, path: str) -> None:
+    """Store baseline states (keys, state_day, state), one partition per day.
+    The days present in ``states`` are replaced as a whole, other days are not
+    touched, so a day profiled again (a replay, late rows) replaces itself."""
+    states.repartition("state_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+          .partitionBy("state_day").parquet(path)
+
+
+def day_states(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored states; a filter on ``state_day`` reads only those days' files."""
+    fs, p = _fs(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else None
+
+
+def drop_expired_states(spark: SparkSession, path: str, as_of, window_days: int) -> list[str]:
+    """Days that have left the window of every later run."""
+    return _drop_partitions(spark, path, "state_day", (to_datetime(as_of) - _dt.timedelta(days=int(window_days))).date())
