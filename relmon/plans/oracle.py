@@ -841,3 +841,52 @@ SELECT CAST(alert_timestamp AS DATE) AS alert_date, alert_type, COUNT(DISTINCT a
        MIN(alert_timestamp) AS first_alert, MAX(alert_timestamp) AS last_alert
 FROM al WHERE alert_timestamp >= TIMESTAMP '2024-01-17 00:00:00' GROUP BY 1, 2
 """
+
+_GAPS = """g AS (SELECT event_type, ts, LEAD(ts) OVER (PARTITION BY event_type ORDER BY ts) AS next_ts FROM events)"""
+
+SQL["stream_silent_sources"] = f"""
+WITH {_GAPS},
+w AS (SELECT epoch_ms(MAX(ts)) - 600000 AS w FROM events),
+r AS (SELECT event_type, ts, next_ts, k, ts + to_minutes(CAST(15 * pow(2, k) AS BIGINT)) AS due
+      FROM g, (SELECT unnest([0, 1, 2]) AS k))
+SELECT event_type, ts AS silent_since, due AS alert_timestamp, CAST(k AS INTEGER) AS reminder
+FROM r, w WHERE (next_ts IS NULL OR next_ts > due) AND epoch_ms(due) + 1 <= w
+"""
+
+SQL["stream_outages"] = f"""
+WITH b AS (SELECT event_type, ts, LAG(ts) OVER (PARTITION BY event_type ORDER BY ts) AS prev_ts FROM events),
+s AS (SELECT *, SUM(CASE WHEN prev_ts IS NULL OR ts >= prev_ts + INTERVAL 15 MINUTE THEN 1 ELSE 0 END)
+                OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM b)
+SELECT event_type, MIN(ts) AS first_event, MAX(ts) AS last_event, COUNT(*) AS row_count FROM s GROUP BY event_type, sid
+HAVING MAX(ts) + INTERVAL 15 MINUTE <= (SELECT MAX(ts) FROM events) - INTERVAL 60 MINUTE
+"""
+
+SQL["stream_volume_scores"] = f"""
+WITH w AS (SELECT event_type, date_trunc('hour', ts) - to_hours(k) AS window_start, COUNT(*) AS row_count
+           FROM events, (SELECT unnest(range(0, 6)) AS k) GROUP BY 1, 2),
+e AS (SELECT *, window_start + INTERVAL 6 HOUR AS window_end FROM w),
+c AS (SELECT *, CASE WHEN window_end <= (SELECT MAX(ts) FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00') - INTERVAL 1 HOUR
+                     THEN TIMESTAMP '2024-01-08 00:00:00' ELSE TIMESTAMP '2024-01-16 00:00:00' END AS calculation_timestamp
+      FROM e WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR),
+t AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS b, ts FROM events),
+v AS (SELECT event_type, u.u AS calculation_timestamp, CAST(AVG(n) AS DECIMAL(15,4)) AS mean_value,
+             CAST(COALESCE(STDDEV_SAMP(n), 0.0) AS DECIMAL(15,4)) AS std_deviation
+      FROM (SELECT event_type, u.u, b, CAST(COUNT(*) AS DOUBLE) AS n
+            FROM t, (SELECT unnest([TIMESTAMP '2024-01-08 00:00:00', TIMESTAMP '2024-01-16 00:00:00']) AS u) u
+            WHERE ts < u.u GROUP BY 1, 2, 3) u GROUP BY 1, 2),
+z AS (SELECT c.*, v.mean_value, v.std_deviation, {_Z.format(v='row_count', m='v.mean_value', sd='v.std_deviation')} AS z
+      FROM c LEFT JOIN v USING (event_type, calculation_timestamp))
+SELECT event_type, window_start, window_end, row_count, mean_value, std_deviation, calculation_timestamp,
+       CAST(z AS DECIMAL(10,4)) AS signed_z, COALESCE(abs(z) > 3.0, FALSE) AS is_anomaly
+FROM z
+"""
+
+SQL["stream_store_replay"] = f"""
+WITH {_AL},
+l AS (SELECT event_type, date_trunc('hour', ts) AS b FROM events WHERE ts >= TIMESTAMP '2024-01-21 00:00:00')
+SELECT CAST(alert_timestamp AS DATE) AS alert_date, alert_type, COUNT(DISTINCT alert_timestamp) AS alerts FROM al GROUP BY 1, 2
+UNION ALL
+SELECT CAST(MAX(b) AS DATE), 'baseline hourly:' || event_type, COUNT(DISTINCT b) FROM l GROUP BY event_type
+"""
+
+SQL["stream_json_contract"] = SQL["contract_quarantine"]

@@ -623,6 +623,155 @@ def stream_freshness(spark, sf_dir):
     return D.freshness_check(latest, "ts", EVENTS_AS_OF, table_name="events", by=["event_type"])
 
 
+def _slices(spark, df, time_col, cuts, name, fmt="parquet"):
+    """A table as a folder that grows: a function that adds the next slice of time,
+    and the folder.  Every call is what a producer adds between two runs of a job."""
+    import uuid
+
+    from relmon.session import scratch_path
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    bounds = [None, *cuts, None]
+
+    def add(i):
+        part = df
+        if bounds[i] is not None:
+            part = part.filter(F.col(time_col) >= F.lit(bounds[i]).cast("timestamp_ntz"))
+        if bounds[i + 1] is not None:
+            part = part.filter(F.col(time_col) < F.lit(bounds[i + 1]).cast("timestamp_ntz"))
+        part.write.format(fmt).mode("append").save(path)
+    add(0)
+    return path, add, len(cuts) + 1
+
+
+def _base(spark, name):
+    import uuid
+
+    from relmon.session import scratch_path
+    return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query
+def stream_silent_sources(spark, sf_dir):
+    """ST-4 / DT-2: sources that fall silent for more than 15 minutes, with reminders
+    at 30 and 60, from timers per source; the job is stopped and goes on twice
+    while data arrive, and a last run without new data adds nothing."""
+    ensure_utc(spark)
+    from relmon.streaming.silence import rocksdb_state, silent_sources
+    from relmon.streaming.streams import file_stream, run_available
+    e = _events(spark, sf_dir).select("event_type", "ts")
+    path, add, n = _slices(spark, e, "ts", ["2024-01-11 00:00:00", "2024-01-21 00:00:00"], "silent-in")
+    base = _base(spark, "silent")
+    for i in range(n + 1):
+        if 0 < i < n:
+            add(i)
+        with rocksdb_state(spark):
+            out = run_available(silent_sources(file_stream(spark, path, e.schema), "ts", ["event_type"], 15, reminders=2), base)
+    return out
+
+
+@query
+def stream_outages(spark, sf_dir):
+    """ST-1 / W-1: stretches of activity of every type, closed by 15 silent
+    minutes (session windows over two runs of one job)."""
+    ensure_utc(spark)
+    from relmon.streaming.streams import file_stream, run_available, sessions
+    e = _events(spark, sf_dir).select("event_type", "ts")
+    path, add, n = _slices(spark, e, "ts", ["2024-01-16 00:00:00"], "sessions-in")
+    base = _base(spark, "sessions")
+    for i in range(n):
+        if i:
+            add(i)
+        out = run_available(sessions(file_stream(spark, path, e.schema), "ts", ["event_type"], "15 minutes"), base)
+    return out
+
+
+@query
+def stream_volume_scores(spark, sf_dir):
+    """ST-1 / W-1 / J-1: rolling 6-hour volumes of every type at each hour, scored
+    as their windows close against the stored baseline; between the two runs a
+    profiling run stores a newer one, which the second run reads."""
+    ensure_utc(spark)
+    from relmon.sinks.store import upsert_baselines
+    from relmon.streaming.streams import file_stream, score_against_store, sliding_counts
+    e = _events(spark, sf_dir).select("event_type", "ts")
+    path, add, _ = _slices(spark, e, "ts", ["2024-01-16 00:00:00"], "volume-in")
+    store, base = _base(spark, "volume-baselines"), _base(spark, "volume")
+
+    def named(df):
+        return df.withColumn("metric_name", F.concat(F.lit("rolling_6h:"), "event_type")) \
+                 .withColumn("source_database", F.lit(CDC_DB)).withColumn("table_name", F.lit("events"))
+
+    def profile(until):
+        past = e.filter(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+        sums = past.groupBy("event_type", F.window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+        upsert_baselines(spark, P.baselines(named(sums), ["metric_name", "source_database", "table_name"], as_of=until), store)
+    for i, until in enumerate(["2024-01-08 00:00:00", "2024-01-16 00:00:00"]):
+        profile(until)
+        if i:
+            add(i)
+        counts = named(sliding_counts(file_stream(spark, path, e.schema), "ts", ["event_type"], "6 hours", "1 hour"))
+        out = score_against_store(counts, store, base, ["metric_name", "source_database", "table_name"])
+    return out.select("event_type", "window_start", "window_end", "row_count", "mean_value", "std_deviation", "calculation_timestamp",
+                      "signed_z", "is_anomaly")
+
+
+@query
+def stream_store_replay(spark, sf_dir):
+    """ST-5 / SNK-1 / SNK-2: alerts and baselines fed from a stream in three
+    micro-batches, then the whole stream once more without its checkpoint; what
+    the alert store holds per day and type, with the day's baseline of alerts."""
+    ensure_utc(spark)
+    from relmon.plans.tables import alert_store
+    from relmon.sinks.store import read_latest
+    from relmon.streaming.streams import file_stream, run_to_stores
+    e = _events(spark, sf_dir)
+    path, add, n = _slices(spark, e, "ts", ["2024-01-11 00:00:00", "2024-01-21 00:00:00"], "stores-in")
+    alerts, base, ck = _base(spark, "alerts"), _base(spark, "baselines"), _base(spark, "stores")
+
+    def to_baselines(batch):
+        s = P.metric_series(batch, "ts", grain="hour", by=["event_type"], metrics={"m": F.count(F.lit(1))})
+        s = s.withColumn("metric_name", F.concat(F.lit("hourly:"), "event_type"))
+        newest = s.groupBy("metric_name").agg(F.max("bucket").alias("calculation_timestamp"))
+        b = P.baselines(s, ["metric_name"], source_database=CDC_DB, table_name="events")
+        return b.join(newest, "metric_name")
+    for i in range(n):
+        if i:
+            add(i)
+        run_to_stores(file_stream(spark, path, e.schema), base, alerts, to_baselines, alert_store, checkpoint=ck)
+    run_to_stores(file_stream(spark, path, e.schema), None, alerts, None, alert_store, checkpoint=ck + "-again")
+    b = read_latest(spark, base)
+    stored = spark.read.parquet(alerts).groupBy("alert_date", "alert_type").agg(F.count(F.lit(1)).alias("alerts"))
+    return stored.select("alert_date", "alert_type", "alerts").unionByName(
+        b.select(F.to_date("calculation_timestamp").alias("alert_date"), F.concat(F.lit("baseline "), "metric_name").alias("alert_type"),
+                 F.col("sample_size").cast("long").alias("alerts")))
+
+
+@query
+def stream_json_contract(spark, sf_dir):
+    """SRC-7 / ST-2: a folder of JSON-lines envelopes read as a stream in two runs;
+    the payloads that break the CDC contract."""
+    ensure_utc(spark)
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    from relmon.streaming.streams import file_stream, run_available
+    orders = load(spark, sf_dir, "orders")
+    lines = cdc_payloads(orders).join(orders.select(F.col("o_orderkey").alias("record_id"), "o_orderdate"), "record_id") \
+        .select("record_id", "raw", "o_orderdate")
+    path, add, n = _slices(spark, lines, "o_orderdate", ["1997-01-01 00:00:00"], "json-in", fmt="json")
+    base = _base(spark, "json")
+    for i in range(n):
+        if i:
+            add(i)
+        recs = file_stream(spark, path, "record_id long, raw string", fmt="json").select(
+            "record_id", F.parse_json("raw").alias("record"), F.json_object_keys("raw").alias("record_keys"))
+        val = C.validate_variant(recs, cdc_contract(), record_col="record", keys_col="record_keys")
+        out = run_available(val.filter(~F.col("is_valid")).select(
+            "record_id", F.size("violations").alias("violation_count"),
+            F.col("violations")[0]["violation_type"].alias("first_violation_type")), base)
+    return out
+
+
 # ---------------------------------------------------------------- a whole monitoring run
 
 def _monitor(spark, sf_dir, **more):

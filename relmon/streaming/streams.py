@@ -10,6 +10,9 @@ need state differ:
   on a key that contains the alert day, so the result does not depend on
   where micro-batch boundaries fall;
 * running freshness: ``max(ts)`` per source (state = one row per source);
+* trailing totals and outages: sliding and session windows under the same
+  watermark; closed windows are scored against the stored baselines;
+* silent sources: timers per source (:mod:`relmon.streaming.silence`);
 * sinks: ``foreachBatch`` writing each micro-batch to a directory named by
   its batch id with overwrite, so a replayed batch replaces itself
   (idempotent), then the batch operators run on the result.
@@ -76,6 +79,67 @@ def latest_per_source(stream: DataFrame, ts_col: str, by=()) -> DataFrame:
     return stream.groupBy(*by).agg(F.max(ts_col).alias(ts_col))
 
 
+def sliding_counts(stream: DataFrame, ts_col: str, by=(), window: str = "24 hours", slide: str = "1 hour",
+                   watermark: str = "1 hour") -> DataFrame:
+    """Row counts of overlapping windows (a trailing total at each slide), each
+    emitted once when the watermark has passed its end.  A row is in window/slide
+    windows; they are summed on the map side before the shuffle."""
+    s = event_time(stream, ts_col).withWatermark("event_time", watermark)
+    g = s.groupBy(F.window("event_time", window, slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("row_count"))
+    return g.select(*by, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "row_count")
+
+
+def sessions(stream: DataFrame, ts_col: str, by=(), gap: str = "60 minutes", watermark: str = "1 hour") -> DataFrame:
+    """Stretches of activity per source, closed by a silence of ``gap``: first and
+    last event, rows.  What lies between a session's last event and the next one is
+    an outage of at least ``gap``."""
+    s = event_time(stream, ts_col).withWatermark("event_time", watermark)
+    g = s.groupBy(F.session_window("event_time", gap).alias("w"), *by).agg(
+        F.count(F.lit(1)).alias("row_count"), F.max("event_time").alias("last"))
+    return g.select(*by, F.col("w.start").cast("timestamp_ntz").alias("first_event"),
+                    F.col("last").cast("timestamp_ntz").alias("last_event"), "row_count")
+
+
+def run_available(df: DataFrame, base: str, output_mode: str = "append") -> DataFrame:
+    """Run a streaming query over the data available now, its checkpoint and
+    output under ``base``, and return all that it has put out so far.  Called
+    again, it goes on where it ended: state, offsets and output are those of the
+    checkpoint, and data read before adds nothing."""
+    out = base + "/out"
+    q = df.writeStream.outputMode(output_mode).format("parquet").option("path", out) \
+          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def score_against_store(counts: DataFrame, baselines_path: str, base: str, keys, value_col: str = "row_count",
+                        threshold: float = 3.0) -> DataFrame:
+    """Score each closed window of a stream against the baseline store's newest
+    version *at the time of its micro-batch*: the store is read again for every
+    batch, so a profiling run takes effect without a restart.  A batch writes the
+    folder of its id, so a replayed one replaces itself.  Returns all scores so far."""
+    from relmon.operators.detect import latest_baseline
+    from relmon.sinks.store import BASELINE_SCHEMA, _fs, read_latest
+    spark = counts.sparkSession
+    out = base + "/scores"
+    cols = ["mean_value", "std_deviation", "sample_size", "calculation_timestamp"]
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        from relmon.functions import stats as S
+        store = read_latest(batch.sparkSession, baselines_path, BASELINE_SCHEMA)
+        b = latest_baseline(store, list(keys)).select(*keys, *cols)
+        z = S.signed_z(value_col, "mean_value", "std_deviation")
+        j = batch.join(b, list(keys), "left").withColumn("signed_z", S.as_z(z)) \
+                 .withColumn("is_anomaly", F.coalesce(S.is_anomaly(z, threshold), F.lit(False)))
+        j.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    counts.writeStream.option("checkpointLocation", base + "/checkpoint").foreachBatch(score) \
+          .trigger(availableNow=True).start().awaitTermination()
+    fs, p = _fs(spark, out)
+    return spark.read.parquet(out).drop("batch_id") if fs.exists(p) else None
+
+
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append", trigger_once: bool = True) -> DataFrame:
     """Run a streaming query to completion over the data available now and
     return its output as a batch DataFrame.  Output and checkpoint live in
