@@ -452,7 +452,14 @@ def validate_variant(df: DataFrame, contract: Contract, record_col: str = "recor
     taken from the variant (sorted order).
     """
     tag = "cv"
-    df = spread(df, partitions)
+    stage, views, keys, made = _variant_views(spread(df, partitions), contract, record_col, keys_col, tag)
+    stage, viol = _violation_columns(stage, contract, views, tag, keys)
+    out = _drop_work(_assemble(stage, contract, views, viol, keys, tag), tag)
+    return out.drop(made) if made else out
+
+
+def _variant_views(df: DataFrame, contract: Contract, record_col: str, keys_col: str | None, tag: str):
+    """The fields of a variant record as columns: (DataFrame, views, keys, name of a keys column made for it)."""
     rec = F.col(record_col)
     fields = contract.fields
     stage = df.select("*", *[F.variant_get(rec, _path(f.name), "variant").alias(f"_{tag}x{i}")
@@ -466,10 +473,25 @@ def validate_variant(df: DataFrame, contract: Contract, record_col: str = "recor
     made = None if keys_col else "__record_keys"
     if made:
         stage = stage.withColumn(made, F.json_object_keys(F.to_json(rec)))
-    keys = F.col(keys_col or made)
-    stage, viol = _violation_columns(stage, contract, views, tag, keys)
-    out = _drop_work(_assemble(stage, contract, views, viol, keys, tag), tag)
-    return out.drop(made) if made else out
+    return stage, views, F.col(keys_col or made), made
+
+
+def verdict_variant(df: DataFrame, contract: Contract, record_col: str = "record", keys_col: str | None = None) -> DataFrame:
+    """The records with ``is_valid`` only, as :func:`validate_variant` gives it: no
+    messages, kinds, positions or violation structs are compiled or carried."""
+    tag = "cv"
+    stage, views, keys, made = _variant_views(df, contract, record_col, keys_col, tag)
+    bad = [_errors_for(f, views[f.name], contract)[0].alias(f"_{tag}b{i}") for i, f in enumerate(contract.fields)]
+    stage = stage.select(*_own(stage, tag), *[F.col(f"_{tag}pr{i}") for i in range(len(contract.fields))], *bad)
+    wrong = F.lit(False)
+    for i, f in enumerate(contract.fields):
+        wrong = wrong | F.col(f"_{tag}b{i}") | (~views[f.name].present if f.required else F.lit(False))
+    if contract.detect_new_fields:
+        declared = F.array(*[F.lit(n) for n in contract.field_names]) if contract.fields else _empty_s()
+        wrong = wrong | (F.size(F.array_except(keys, declared)) > 0)
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    # behind a generator, for the reason given at _drop_work
+    return stage.select(*keep, F.inline(F.array(F.struct((~F.coalesce(wrong, F.lit(False))).alias("is_valid")))))
 
 
 def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "table",
@@ -565,6 +587,21 @@ def summary(validated: DataFrame) -> DataFrame:
         F.coalesce(F.sum(crit), F.lit(0)).cast("long").alias("critical_violations"))
 
 
+def summary_of_broken(broken: DataFrame, records: DataFrame) -> DataFrame:
+    """:func:`summary` from the invalid records alone (with their violations) and
+    the table they come from, of which only the rows are counted: no record is
+    validated a second time."""
+    n = F.size("violations")
+    crit = F.size(F.filter("violations", lambda v: v["violation_type"].isin(*CRITICAL_TYPES)))
+    total = records.agg(F.count(F.lit(1)).alias("n")).scalar()
+    g = broken.agg(F.count(F.lit(1)).alias("invalid_records"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_violations"),
+                   F.coalesce(F.sum(crit), F.lit(0)).cast("long").alias("critical_violations")).withColumn("total_records", total)
+    # sums over no record at all are null, as in summary()
+    some = F.col("total_records") > 0
+    return g.select("total_records", F.when(some, F.col("total_records") - F.col("invalid_records")).alias("valid_records"),
+                    F.when(some, F.col("invalid_records")).alias("invalid_records"), "total_violations", "critical_violations")
+
+
 def counts_by_type(validated: DataFrame) -> DataFrame:
     """Violations per type.  Each record is reduced map-side first, so a
     record-heavy partition ships one small row per type, not its records."""

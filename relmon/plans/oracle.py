@@ -747,7 +747,7 @@ WITH d AS (SELECT CAST(o_orderdate AS DATE) AS bucket, COUNT(*) AS n, SUM(CAST(o
            FROM orders GROUP BY 1)
 SELECT 'daily_orders' AS metric_name, bucket, CAST(n AS DOUBLE) AS value FROM d
 UNION ALL SELECT 'daily_revenue', bucket, CAST(r AS DOUBLE) FROM d
-UNION ALL SELECT 'avg_order_value', bucket, CAST(CAST(n AS DECIMAL(10,2)) AS DOUBLE) FROM d
+UNION ALL SELECT 'avg_order_value', bucket, ((2 * CAST(r * 100 AS BIGINT) + n) // (2 * n)) / 100.0 FROM d
 """
 
 SQL["open_alerts"] = f"""
@@ -945,3 +945,44 @@ SELECT path, type, round(o, 9) AS old_share, round(w, 9) AS new_share,
        CASE WHEN po = 0 THEN 'NEW_FIELD' WHEN pw = 0 THEN 'LOST_FIELD' WHEN o = 0 THEN 'NEW_TYPE' WHEN w = 0 THEN 'LOST_TYPE' ELSE 'SHARE' END AS change
 FROM x WHERE abs(o - w) > 1e-9
 """
+
+SQL["registry_alerts"] = """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS b, CAST(COUNT(*) AS DOUBLE) AS v FROM orders
+           WHERE o_orderdate >= TIMESTAMP '2001-07-03 00:00:00' AND o_orderdate < TIMESTAMP '2001-08-02 00:00:00' GROUP BY 1),
+p AS (SELECT CAST(o_orderdate AS DATE) AS b, AVG(o_totalprice) AS v FROM orders
+      WHERE o_orderdate >= TIMESTAMP '2001-07-19 00:00:00' AND o_orderdate < TIMESTAMP '2001-08-02 00:00:00' GROUP BY 1),
+e AS (SELECT date_trunc('hour', ts) AS b, CAST(COUNT(*) AS DOUBLE) AS v FROM events
+      WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1),
+s AS (SELECT 'orders' AS t, 'daily_row_count' AS m, 'WARNING' AS sev, b = DATE '2001-08-01' AS cur, CAST(b AS TIMESTAMP) AS b, v FROM o
+      UNION ALL SELECT 'orders', 'avg_order_value', 'CRITICAL', b = DATE '2001-08-01', CAST(b AS TIMESTAMP), v FROM p
+      UNION ALL SELECT 'events', 'hourly_ingestion_rate', 'CRITICAL', b = TIMESTAMP '2024-01-30 23:00:00', b, v FROM e),
+g AS (SELECT t, m, sev, CAST(MAX(v) FILTER (cur) AS DECIMAL(15,4)) AS cv, MAX(v) FILTER (cur) AS raw, MAX(b) FILTER (cur) AS b,
+             CAST(AVG(v) FILTER (NOT cur) AS DECIMAL(15,4)) AS mean, CAST(COALESCE(STDDEV_SAMP(v) FILTER (NOT cur), 0.0) AS DECIMAL(15,4)) AS sd,
+             CAST(COUNT(*) FILTER (NOT cur) AS INTEGER) AS n FROM s GROUP BY 1, 2, 3),
+f AS (SELECT MAX(ts) AS ts, CAST(date_diff('microsecond', MAX(ts), TIMESTAMP '2024-01-31 00:00:00') AS DOUBLE) / 6.0e7 AS mins FROM events)
+SELECT 'VOLUME_ANOMALY' AS alert_type, t AS source_table, m AS field_name, sev AS alert_severity, TIMESTAMP '2024-01-31 00:00:00' AS alert_timestamp,
+       CAST(cv AS DOUBLE) AS metric_value, CAST(cv AS DOUBLE) AS details_current_value, CAST(mean AS DOUBLE) AS details_baseline_mean,
+       n AS details_sample_size, strftime(b, '%Y-%m-%d %H:%M:%S') AS details_bucket, NULL AS details_latest_timestamp
+FROM g WHERE raw IS NOT NULL AND n > 0 AND sd > 0 AND abs((raw - CAST(mean AS DOUBLE)) / CAST(sd AS DOUBLE)) > 0.25
+UNION ALL
+SELECT 'STALE_DATA_FLOW', 'events', NULL, 'CRITICAL', TIMESTAMP '2024-01-31 00:00:00', CAST(CAST(mins AS DECIMAL(15,4)) AS DOUBLE), NULL, NULL, NULL, NULL,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') FROM f WHERE mins > 1.0
+"""
+
+SQL["registry_contract_summary"] = """
+WITH r AS (SELECT o_orderkey AS k, o_orderstatus AS st FROM orders),
+c AS (SELECT k,
+        CASE WHEN k % 79 = 0 THEN 1 ELSE 0 END AS missing,
+        CASE WHEN k % 79 <> 0 AND CASE WHEN k % 71 = 0 THEN length('ORD ' || k) WHEN k % 67 = 0 THEN 0 ELSE length('ORD-' || k) END > 10 THEN 1 ELSE 0 END AS long_key,
+        CASE WHEN k % 7 = 0 OR k % 7 > 5 THEN 1 ELSE 0 END AS quantity,
+        CASE WHEN st NOT IN ('F', 'O') THEN 1 ELSE 0 END AS status FROM r)
+SELECT COUNT(*) AS total_records, CAST(SUM(CASE WHEN missing + long_key + quantity + status = 0 THEN 1 ELSE 0 END) AS BIGINT) AS valid_records,
+       CAST(SUM(CASE WHEN missing + long_key + quantity + status > 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid_records,
+       CAST(SUM(missing + long_key + quantity + status) AS BIGINT) AS total_violations,
+       CAST(SUM(missing + quantity + status) AS BIGINT) AS critical_violations
+FROM c
+"""
+
+SQL["source_ranges"] = """
+SELECT CAST(unnest(range(0, 12)) AS INTEGER) AS part, TRUE AS even, TRUE AS read, (SELECT COUNT(*) FROM orders) AS all_rows
+"""

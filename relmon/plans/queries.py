@@ -379,8 +379,10 @@ def contract_violations_by_type(spark, sf_dir):
 def contract_valid_records(spark, sf_dir):
     """CT-12: records that pass (the clean side of the quarantine split)."""
     from relmon.operators import contract as C
-    valid, _ = C.split(_cdc_validated(spark, sf_dir))
-    return valid.select("record_id")
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    recs = cdc_payloads(load(spark, sf_dir, "orders")).select("record_id", "record", "record_keys")
+    return C.verdict_variant(recs, cdc_contract(), keys_col="record_keys").filter("is_valid").select("record_id")
 
 
 @query
@@ -998,12 +1000,95 @@ def metric_csv_series(spark, sf_dir):
     path = scratch_path(spark, f"metrics-{uuid.uuid4().hex[:12]}")
     amt = F.col("o_totalprice").cast("decimal(12,2)")
     daily = load(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("order_date")).agg(
-        F.count(F.lit(1)).alias("daily_orders"), F.sum(amt).alias("daily_revenue"),
-        F.count(F.lit(1)).cast("decimal(10,2)").alias("avg_order_value"))
+        F.count(F.lit(1)).alias("daily_orders"), F.sum(amt).alias("daily_revenue"))
+    # the mean to the cent, half up, in whole numbers (the same in any engine)
+    cents = F.expr("(2 * cast(daily_revenue * 100 as bigint) + daily_orders) div (2 * daily_orders)")
+    daily = daily.withColumn("avg_order_value", (cents / F.lit(100).cast("decimal(3,0)")).cast("decimal(10,2)"))
     daily.write.option("header", True).csv(path)
     return load_metric_csv(spark, path)
 
 
+REGISTRY = """
+databases:
+  batch_analytics_db:
+    tables:
+      - name: orders
+        time_column: o_orderdate
+        metrics:
+          - {name: daily_row_count, type: volume, threshold: 0.25, window_days: 30, severity: WARNING}
+          - {name: avg_order_value, column: o_totalprice, aggregate: avg, threshold: 0.25, window_days: 14}
+  cdc_history_db:
+    tables:
+      - name: events
+        time_column: ts
+        metrics:
+          - {name: hourly_ingestion_rate, type: volume, threshold: 0.25, window_hours: 48}
+          - {name: freshness, type: freshness, threshold: 1}
+"""
+
+FLAT_CONTRACT = """
+contract_name: flat_orders
+fields:
+  order_key: {type: string, required: true, max_length: 10}
+  quantity: {type: integer, required: true, min_value: 1, max_value: 5}
+  order_status: {type: string, allowed_values: [pending, completed]}
+  legacy_flag: {type: boolean}
+"""
+
+
+def _registry_run(spark, sf_dir):
+    """A monitoring run as a user configures it: sources and metrics of a YAML
+    registry, a contract in the flat dialect, alerts with their details."""
+    import yaml
+
+    from relmon.plans.monitor import MonitoredSource, run
+    from relmon.plans.tables import cdc_payloads
+    from relmon.specs import contract_from_dict, metrics_from_dict, sources_from_dict
+    reg = yaml.safe_load(REGISTRY)["databases"]
+    sources, metrics = sources_from_dict(reg, sf_dir), metrics_from_dict(reg)
+    at = {"orders": ORDERS_AS_OF, "events": EVENTS_AS_OF}
+    minutes = {"orders": None, "events": 30}
+    srcs = [MonitoredSource(sources[t], metrics[t], freshness_minutes=minutes[t], as_of=at[t]) for t in sources]
+    recs = cdc_payloads(load(spark, sf_dir, "orders")).select("record_id", "record", "record_keys")
+    from dataclasses import replace
+    contract = replace(contract_from_dict(yaml.safe_load(FLAT_CONTRACT)), detect_new_fields=False)
+    return run(spark, srcs, EVENTS_AS_OF, contract=contract, records=recs)
+
+
+@query
+def registry_alerts(spark, sf_dir):
+    """SRC-5 / SRC-6 / AL-3 / F-15: alerts of volume, business and freshness metrics
+    of a registry-driven run, with what their details (JSON) say."""
+    ensure_utc(spark)
+    a = _registry_run(spark, sf_dir)["alerts"].filter(F.col("alert_type") != "CONTRACT_VIOLATION")
+
+    def detail(name, kind):
+        return F.get_json_object("details", f"$.{name}").cast(kind).alias(f"details_{name}")
+    return a.select("alert_type", "source_table", "field_name", "alert_severity", "alert_timestamp",
+                    F.col("metric_value").cast("double").alias("metric_value"), detail("current_value", "double"),
+                    detail("baseline_mean", "double"), detail("sample_size", "int"), detail("bucket", "string"), detail("latest_timestamp", "string"))
+
+
+@query
+def registry_contract_summary(spark, sf_dir):
+    """CT-13 / CT-10: totals of the run's contract in the flat dialect."""
+    ensure_utc(spark)
+    return _registry_run(spark, sf_dir)["contract_summary"]
+
+
+@query
+def source_ranges(spark, sf_dir):
+    """SRC-1 / SRC-5: equi-depth predicates for a read of orders in 12 parts; each
+    part's rows, and whether they are within a tenth of an equal share."""
+    from relmon.sources.ranges import part_counts, range_predicates
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    preds = range_predicates(o, "o_custkey", 12)
+    counts = part_counts(o, preds)
+    share = counts.agg(F.sum("rows")).scalar() / F.lit(len(preds))
+    return counts.select("part", (F.abs(F.col("rows") - share) <= 0.1 * share).alias("even"),
+                         F.col("rows").isNotNull().alias("read"), counts.agg(F.sum("rows")).scalar().alias("all_rows"))
+
+
 @query
 def open_alerts(spark, sf_dir):
     """AL-4: unresolved alerts per type."""
