@@ -1,8 +1,10 @@
 """Each operator on documents against a brute-force version, and on odd rows."""
 import collections
 import hashlib
+import math
 import random
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -390,20 +392,58 @@ def test_quality_rules_against_brute_force(spark, texts, sf):
         assert not (r["kept"] and r["base_failed"])
 
 
+def brute_ratio(texts, good, buckets=1 << 16, prior=0.5, rejected=0.001):
+    """Ratio and verdict of every text by the words of the module's docstring, in plain Python."""
+    def xx(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def signed(n):
+        return n - (1 << 64) if n >= 1 << 63 else n
+
+    def grams(t):
+        h = [xx(w.encode()) | 1 for w in words(t)]
+        pairs = [xx(struct.pack("<Q", y), xx(struct.pack("<Q", x))) & ~1 for x, y in zip(h, h[1:])]
+        return [g % (2 * buckets) for g in h + pairs]
+
+    def fold(i):
+        return xx(struct.pack("<q", i), xx(b"fold")) & 1
+    of = {i: grams(t) for i, t in texts.items()}
+    raw = collections.Counter(g for gs in of.values() for g in gs)
+    sums = [sum(n for g, n in raw.items() if g % 2 == k) for k in (0, 1)]
+    llr = {}
+    for f in (0, 1):        # the model of fold f comes from the trusted documents of the other one
+        seen = collections.Counter(g for i in good if fold(i) != f for g in of[i])
+        n = [sum(c for g, c in seen.items() if g % 2 == k) for k in (0, 1)]
+        for i, gs in of.items():
+            if fold(i) == f:
+                each = [0.0 if not n[g % 2] else math.log((seen[g] / n[g % 2] / (raw[g] / sums[g % 2]) + prior) / (1 + prior)) for g in gs]
+                llr[i] = sum(each) / len(each) if each else 0.0
+    low = [llr[i] for i in good if len(words(texts[i])) >= 20]
+    least = np.quantile(low, rejected) if low else float("-inf")
+    return {i: (llr[i], llr[i] >= least and not brute_rules(texts[i])[-1]) for i in texts}
+
+
 def test_ratio_separates_junk_from_prose_and_is_the_formula(spark):
     data = junk_and_prose()
-    d = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    texts = {i: t for i, t, _ in data} | {90_001: "", 90_002: "one", 90_003: None or " "}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     lab = spark.createDataFrame([(i, q, 0) for i, _, q in data if i % 2], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in rows(quality_rules.quality_report(d, lab))}
     assert np.mean([got[i]["kept"] for i, _, q in data if q]) > 0.97
     assert not any(got[i]["kept"] for i, _, q in data if not q)
-    # the ratio of one document from the table of buckets
-    ids = quality_rules.trusted_ids(lab)
-    model = {r.bucket: (r.llr0, r.llr1) for r in quality_rules.fit(d, ids).collect()}
-    one = d.filter("doc_id = 4").select(quality_rules._fold("doc_id").alias("f"), F.split("text", " ").alias("w")) \
-           .withColumn("e", F.transform("w", quality_rules._ending))
-    r = one.select("f", quality_rules._grams(one, quality_rules.BUCKETS).alias("b")).first()
-    assert got[4]["llr"] == pytest.approx(np.mean([model[b][r.f] for b in r.b]), abs=1e-9)
+    want = brute_ratio(texts, [i for i, _, q in data if i % 2 and q])
+    for i, (llr, kept) in want.items():
+        assert got[i]["llr"] == pytest.approx(llr, abs=1e-9) and got[i]["kept"] == kept, i
+
+
+def test_buckets_follow_the_corpus(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "word " * 1000), (2, None)], "doc_id long, text string")
+    least, most = quality_rules.MIN_BUCKETS, quality_rules.MAX_BUCKETS
+    assert quality_rules.bucket_count(d) == least and quality_rules.bucket_count(d.limit(0)) == least
+    monkeypatch.setattr(quality_rules, "CHARS_PER_BUCKET", 1)
+    many = spark.range(4 * least // 1024).select(F.repeat(F.lit("x"), 1024).alias("text"))
+    assert quality_rules.bucket_count(many) == 4 * least
+    assert quality_rules.bucket_count(spark.range(64).select(F.repeat(F.lit("x"), most // 32).alias("text"))) == most
 
 
 def test_model_is_not_copied_into_rows(spark, odd, labels):
