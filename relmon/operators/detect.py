@@ -2,12 +2,8 @@
 
 Plans, in Spark terms:
 
-* current volume / freshness: one filtered scan, one (optionally grouped)
-  aggregate with map-side partial aggregation.  The global ``max(ts)`` of a
-  whole table is answered from parquet footers when
-  ``spark.sql.parquet.aggregatePushdown`` is on AND parquet is read through
-  the V2 source (``parquet`` removed from ``spark.sql.sources.useV1SourceList``);
-  with the default V1 reader it is a scan of the one pruned column.
+* current volume / freshness: one filtered scan of the pruned columns, one
+  (optionally grouped) aggregate with map-side partial aggregation.
 * current metric joined with the latest baseline: the baseline side is one
   row per metric key.  No static broadcast hint: AQE measures the
   materialised baseline at run time and switches to a broadcast-hash join when

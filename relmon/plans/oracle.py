@@ -986,3 +986,5 @@ FROM c
 SQL["source_ranges"] = """
 SELECT CAST(unnest(range(0, 12)) AS INTEGER) AS part, TRUE AS even, TRUE AS read, (SELECT COUNT(*) FROM orders) AS all_rows
 """
+
+SQL["json_large_lists"] = SQL["contract_summary"]

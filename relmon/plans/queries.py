@@ -1141,6 +1141,28 @@ def json_log_documents(spark, sf_dir):
     return C.summary(C.validate_variant(docs.filter(~F.col("parse_error")), cdc_contract(), keys_col="record_keys"))
 
 
+@query
+def json_large_lists(spark, sf_dir):
+    """SRC-3 (large list files): the order payloads as one JSON list per order
+    priority, each cut into byte ranges and read by many tasks; totals of the run."""
+    import uuid
+
+    from relmon.operators import contract as C
+    from relmon.plans.contracts import cdc_contract
+    from relmon.plans.tables import cdc_payloads
+    from relmon.session import scratch_path
+    from relmon.sources.json_lists import read_json_lists
+    ensure_utc(spark)
+    path = scratch_path(spark, f"json-lists-{uuid.uuid4().hex[:12]}")
+    # the lists are written as lines of records; a line end is white space to a parser
+    recs = cdc_payloads(load(spark, sf_dir, "orders")).select(F.concat(F.lit(","), "raw").alias("value"), (F.col("record_id") % 4).alias("f"))
+    lines = recs.withColumn("n", F.lit(1)).unionByName(
+        recs.select("f").distinct().select(F.lit("[").alias("value"), "f", F.lit(0).alias("n")))
+    lines.repartition("f").sortWithinPartitions("f", "n").select("value", "f").write.partitionBy("f").text(path)
+    docs = read_json_lists(spark, path, "part-*")
+    return C.summary(C.validate_variant(docs.filter(~F.col("parse_error")), cdc_contract(), keys_col="record_keys"))
+
+
 @query
 def seasonal_scores(spark, sf_dir):
     """DT-11 / DT-8: every hour scored against its season's baseline; seasons
