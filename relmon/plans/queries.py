@@ -1143,8 +1143,7 @@ def json_log_documents(spark, sf_dir):
 
 @query
 def json_large_lists(spark, sf_dir):
-    """SRC-3 (large list files): the order payloads as one JSON list per order
-    priority, each cut into byte ranges and read by many tasks; totals of the run."""
+    """SRC-3 (large list files): the order payloads as four JSON lists, each cut into byte ranges and read by many tasks; totals of the run."""
     import uuid
 
     from relmon.operators import contract as C
@@ -1155,9 +1154,12 @@ def json_large_lists(spark, sf_dir):
     ensure_utc(spark)
     path = scratch_path(spark, f"json-lists-{uuid.uuid4().hex[:12]}")
     # the lists are written as lines of records; a line end is white space to a parser
-    recs = cdc_payloads(load(spark, sf_dir, "orders")).select(F.concat(F.lit(","), "raw").alias("value"), (F.col("record_id") % 4).alias("f"))
-    lines = recs.withColumn("n", F.lit(1)).unionByName(
-        recs.select("f").distinct().select(F.lit("[").alias("value"), "f", F.lit(0).alias("n")))
+    recs = cdc_payloads(load(spark, sf_dir, "orders")).select("raw", "record_id", (F.col("record_id") % 4).alias("f"))
+    first = recs.groupBy("f").agg(F.min("record_id").alias("first"))
+    own = F.concat(F.when(F.col("record_id") == F.col("first"), F.lit("")).otherwise(F.lit(",")), "raw")
+    lines = recs.join(first, "f").select("f", F.col("record_id").alias("n"), own.alias("value")).unionByName(
+        first.select("f", (F.col("first") - 1).alias("n"), F.lit("[").alias("value"))).unionByName(
+        first.select("f", F.lit(1 << 62).alias("n"), F.lit("]").alias("value")))
     lines.repartition("f").sortWithinPartitions("f", "n").select("value", "f").write.partitionBy("f").text(path)
     docs = read_json_lists(spark, path, "part-*")
     return C.summary(C.validate_variant(docs.filter(~F.col("parse_error")), cdc_contract(), keys_col="record_keys"))
