@@ -62,26 +62,74 @@ SECRET = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+(?!@|\.++[A-Za-z0-9_/+@-])"
 VOTES = 5
 FEATURES = 8
 BEFORE = 32
+CHUNK = 256         # elements of a chunk of a running total
 SPAN = "struct<start:int,`end`:int,s:string,before:string,after:string>"
 
 
+def _bound(c: Column, f) -> Column:
+    """f(c) with ``c`` evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _scan(a: Column, op) -> Column:
+    """Running totals of an array of ints by an associative ``op``: within chunks,
+    over the chunks' totals, then both together.  An aggregate that grows its result
+    copies it at every step; here no copy is longer than a chunk or the number of chunks."""
+    def small(x: Column) -> Column:
+        none = F.lit(None).cast("int")
+
+        def step(acc: Column, v: Column) -> Column:
+            t = F.when(acc["t"].isNull(), v).otherwise(op(acc["t"], v))
+            return F.struct(t.alias("t"), F.concat(acc["out"], F.array(t)).alias("out"))
+        return F.aggregate(x, F.struct(none.alias("t"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def large(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int"))
+        inner = F.transform(at, lambda k: small(F.slice(x, k * CHUNK + 1, F.lit(CHUNK))))
+
+        def joined(c: Column) -> Column:
+            return _bound(small(F.transform(c, lambda y: F.element_at(y, -1))), lambda t: F.flatten(F.transform(
+                c, lambda y, k: F.when(k == 0, y).otherwise(F.transform(y, lambda v: op(F.get(t, k - 1), v))))))
+        return _bound(inner, joined)
+    return _bound(a, lambda x: F.when(F.size(x) <= CHUNK, small(x)).otherwise(large(x)))
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """Matches with offsets, from the pieces between the matches."""
+    """Matches with offsets: running sums of the lengths of the pieces between the
+    matches and of the matches."""
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # both arrays are bound once, then walked together
-    empty = F.array().cast(f"array<{SPAN}>")
-    def walk(p: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(p["p"], i))
-            end = start + F.length(F.get(p["h"], i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(p["h"], i).alias("s"),
-                            F.substring(F.get(p["p"], i), -BEFORE, BEFORE).alias("before"),
-                            F.substring(F.get(p["p"], i + 1), 1, 1).alias("after"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-        todo = F.when(F.size(p["h"]) > 0, F.sequence(F.lit(0), F.size(p["h"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(todo, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.get(F.transform(F.array(F.struct(pieces.alias("p"), hits.alias("h"))), walk), F.lit(0))
+
+    def spans(x: Column) -> Column:
+        p, h = x["p"], x["h"]
+        ends = _scan(F.transform(h, lambda s, i: F.length(F.get(p, i)) + F.length(s)), lambda t, v: t + v)
+        return _bound(ends, lambda e: F.transform(h, lambda s, i: F.struct(
+            (F.get(e, i) - F.length(s)).alias("start"), F.get(e, i).alias("end"), s.alias("s"),
+            F.substring(F.get(p, i), -BEFORE, BEFORE).alias("before"), F.substring(F.get(p, i + 1), 1, 1).alias("after"))))
+    none = F.array().cast(f"array<{SPAN}>")
+    # both arrays are bound once; most texts have no match
+    return _bound(F.struct(pieces.alias("p"), hits.alias("h")), lambda x: F.when(F.size(x["h"]) > 0, spans(x)).otherwise(none))
+
+
+def _apart(more: Column, base: Column) -> Column:
+    """The candidates that overlap no base span.  Base spans at their start and
+    candidates at their end in one order: a candidate is met by those that began
+    before its end, and overlaps one of them if the furthest end among them is
+    beyond its start."""
+    def meet(x: Column) -> Column:
+        b, m = x["b"], x["m"]
+        starts = F.transform(b, lambda y: F.struct(y["start"].alias("at"), F.lit(1).alias("o"), y["end"].alias("end"), F.lit(-1).alias("i")))
+        ends = F.transform(m, lambda y, i: F.struct(y["end"].alias("at"), F.lit(0).alias("o"), F.lit(-1).alias("end"), i.alias("i")))
+
+        def told(e: Column) -> Column:
+            reach = _scan(F.transform(e, lambda y: y["end"]), lambda t, v: F.greatest(t, v))
+            # the furthest end before each candidate, back in the candidates' order
+            seen = _bound(reach, lambda r: F.array_sort(F.filter(F.transform(e, lambda y, k: F.struct(y["i"].alias("i"), F.get(r, k).alias("r"))),
+                                                                 lambda z: z["i"] >= 0)))
+            return _bound(seen, lambda z: F.filter(m, lambda y, i: F.get(z, i)["r"] <= y["start"]))
+        return _bound(F.array_sort(F.concat(starts, ends)), told)
+    return _bound(F.struct(base.alias("b"), more.alias("m")),
+                  lambda x: F.when((F.size(x["b"]) > 0) & (F.size(x["m"]) > 0), meet(x)).otherwise(x["m"]))
 
 
 def _digits(s: Column) -> Column:
@@ -181,8 +229,7 @@ def with_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     more = F.concat(*[each(a, k, False) for k, a in loose_spans(F.col("x")).items()])
     any_ = F.col("x").rlike(r"[0-9@]|[\[(]at[\])]")
     d = d.select("doc_id", F.when(any_, base).otherwise(empty).alias("base"), F.when(any_, more).otherwise(empty).alias("more"))
-    overlaps = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return d.select("doc_id", "base", F.filter("more", lambda c: ~overlaps(c)).alias("more"))
+    return d.select("doc_id", "base", _apart(F.col("more"), F.col("base")).alias("more"))
 
 
 # ---------------------------------------------------------------- model (on the table of combinations)
@@ -268,16 +315,17 @@ def accepted(models: dict[str, list[float]]) -> list[str]:
     return [f"{k}:{f}" for k, w in models.items() for f in every if score(w, f) >= 0.5]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", models: dict[str, list[float]] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base
-    spans), base_sha256, spans, n_added.
+    spans), base_sha256, spans, n_added.  ``models`` (classifiers fitted before)
+    saves the pass that fits them.
 
     A null text counts as empty and has no spans (the digest is that of the
     empty string, spans is empty); null ids, repeated rows and long texts are
     like any other; an empty table gives no rows; other columns are not read.
     """
     c = with_candidates(docs, id_col, text_col)
-    yes = accepted(fit(c))
+    yes = accepted(fit(c) if models is None else models)
     d = c.select("doc_id", "base", F.filter("more", lambda x: F.concat(x["kind"], F.lit(":"), x["features"]).isin(yes)).alias("add"))
     order = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(i)) for k, i in ORDER.items()])
 
