@@ -6,9 +6,14 @@ pages of a host each hash occurs.  Subtrees that recur on many pages of their
 host are templates - menus, notices, footers - and are deleted.  What is left
 of the article is the main text.
 
-Elements whose name, role, class or id says that they are no article text
+Blocks whose text differs from page to page (reader comments, sidebars, related
+articles) recur in structure: a second hash, of an element's tag and names alone, is
+counted where a word of the names hints at no article text ("comment-list",
+"site-sidebar"); if it recurs on the host, the block is deleted whatever its text and size.
+
+Elements whose name, role, class or id as a whole says that they are no article text
 (navigation, adverts, forms, comments ...) go as well, so a host with few
-pages is treated like any other.  Names are whole tokens, and never those of the
+pages is treated like any other.  Those names are whole tokens, and never those of the
 page, its article or what holds most of its text.  Inside the article - or the
 densest text block, where a page marks none - paragraphs, headings, lists and the
 like, and blocks that merely wrap them, are not candidates for deletion: passages that several articles share, and
@@ -58,19 +63,21 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "named", "inner", "hash", "root", "has_root", "size", "own", "para")
+    __slots__ = ("tag", "names", "named", "hint", "inner", "hash", "shape", "root", "has_root", "size", "own", "para")
 
-    def __init__(self, tag: str, names: tuple = (), named: bool = False):
-        self.tag, self.names, self.named, self.inner = tag, names, named, []
-        self.hash, self.root, self.has_root = 0, False, False
+    def __init__(self, tag: str, names: tuple = (), named: bool = False, hint: bool = False):
+        self.tag, self.names, self.named, self.hint, self.inner = tag, names, named, hint, []
+        # of the whole subtree; of its tag and names only (where a name hints at no article text)
+        self.hash, self.shape, self.root, self.has_root = 0, 0, False, False
         # characters of text; of its own and its inline elements' text; whether paragraphs are inside
         self.size, self.own, self.para = 0, 0, False
 
 
-def _names(attrs: str) -> tuple[tuple[str, ...], bool]:
-    """Words of class, id and role, and whether a whole token of them consists of names that are no article text."""
+def _names(attrs: str) -> tuple[tuple[str, ...], bool, bool]:
+    """Words of class, id and role, whether a whole token of them consists of names that
+    are no article text, and whether any word is one."""
     if "=" not in attrs:
-        return (), False
+        return (), False, False
     out, named = [], False
     for m in _ATTR.finditer(attrs):
         if m[1].lower() in ("class", "id", "role"):
@@ -78,7 +85,7 @@ def _names(attrs: str) -> tuple[tuple[str, ...], bool]:
                 words = _NAME.findall(token)
                 out += words
                 named = named or bool(words) and NOT_NAMES.issuperset(words)
-    return tuple(out), named
+    return tuple(out), named, not NOT_NAMES.isdisjoint(out)
 
 
 def parse(page: str) -> Node:
@@ -170,6 +177,8 @@ def digest(root: Node) -> bool:
         if n.tag in NOT_TEXT:
             n.size = n.own = 0
         n.hash = xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+        if n.hint:
+            n.shape = xxhash.xxh64_intdigest("\x1e".join(("shape", n.tag, *(x for x in n.names if not x.isdigit())))) - (1 << 63)
     if not root.has_root:
         _mark_densest(root)
         return False
@@ -205,6 +214,12 @@ def _may_go(n: Node, inside: bool, marked: bool) -> bool:
     return not (inside and (n.tag in CONTENT or wraps))
 
 
+def _may_go_by_shape(n: Node) -> bool:
+    """Whether a subtree is deleted if its tag and names recur on the host, whatever
+    its text and size: reader comments, sidebars, related articles."""
+    return n.hint and not n.root and not n.has_root and n.tag not in ("html", "body", "main")
+
+
 def candidates(page: str) -> tuple[int, list[int]]:
     """A hash of the main content (of the whole page, if no article is marked)
     and those of the subtrees that may be templates, each once."""
@@ -215,6 +230,8 @@ def candidates(page: str) -> tuple[int, list[int]]:
         n, inside = todo.pop()
         if _may_go(n, inside, marked):
             out.add(n.hash)
+        if _may_go_by_shape(n):
+            out.add(n.shape)
         if n.root and not inside:
             mains.append(n.hash)
         todo += [(c, inside or n.root) for c in n.inner if type(c) is Node]
@@ -250,7 +267,7 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
             if not n.has_root or inside and marked:
                 if _not_text(n, root.size) or not marked and n.tag == "header":
                     continue
-            if n.hash in templates and _may_go(n, inside, marked):
+            if n.hash in templates and _may_go(n, inside, marked) or n.shape in templates and _may_go_by_shape(n):
                 flush()
                 continue
             here = inside or n.root
