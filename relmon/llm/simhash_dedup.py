@@ -14,7 +14,9 @@ over all 64 bits.  No link is lost; a pair meets at a few anchors only.
 Work is done on distinct fingerprints, so any number of copies is one vertex.
 At an anchor only a spanning forest of the links found is kept, so rows stay
 in proportion to the vertices even where all fingerprints of a group link.
-Anchors that hold a large share of the fingerprints are split by salt.
+Anchors with many fingerprints are split into a grid of cells of a fixed size:
+those at home are dealt over its rows, all that come there over its columns, and each
+pair meets in one cell.
 Components are found by alternating star contraction, each round a written
 table in the shared folder.
 """
@@ -36,8 +38,9 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 PART = 31                 # length of the Hamming code: positions 1..31
-HOT_SHARE = 1024          # an anchor with more than 1/1024 of the fingerprints is split
-HOT_LEAST = 4096          # but none smaller than this
+CELL_HOMES = 4096         # of an anchor with more fingerprints, a cell holds about so many at home
+CELL_ROWS = 1 << 15       # and about so many in all
+COUNTERS = 2048           # fingerprints that may hold more than 1/2048 of the rows are joined on the map side
 SMALL_RUN = 4096          # comparisons of a run that are done in one vector step
 _PIECE = 1 << 15
 
@@ -115,19 +118,23 @@ def anchors(classes: DataFrame) -> DataFrame:
     return out
 
 
-def salted(rows: DataFrame, n_classes: int) -> DataFrame:
-    """Split hot anchors: the fingerprints at home are dealt over the salts, all
-    that visit go to each.  Hot anchors are at most 2 x HOT_SHARE rows (each
-    part has one home a fingerprint), so they can be broadcast."""
-    most = max(HOT_LEAST, n_classes // HOT_SHARE)
-    hot = (rows.filter("home").groupBy("key").count().filter(F.col("count") > most)
-               .select("key", F.ceil(F.col("count") / F.lit(most)).cast("int").alias("n")))
-    n = F.coalesce(F.col("n"), F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), n).cast("int")
-    return (rows.join(F.broadcast(hot), "key", "left")
-                .select("key", "fp", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"),
-                        (F.col("home")).alias("home"), own.alias("own"))
-                .select("key", "salt", "fp", (F.col("home") & (F.col("own") == F.col("salt"))).alias("home")))
+def salted(rows: DataFrame) -> DataFrame:
+    """(key, salt, fp, home): anchors cut into cells.  A fingerprint at home is in all
+    cells of its row, as one that the others are compared with, and like every
+    fingerprint of the anchor in all cells of its column.  An anchor of up to
+    ``CELL_HOMES`` at home and ``CELL_ROWS`` in all is one cell."""
+    size = rows.groupBy("key").agg(F.count(F.when(F.col("home"), 1)).alias("h"), F.count(F.lit(1)).alias("v"))
+    hot = size.filter((F.col("h") > CELL_HOMES) | ((F.col("v") > CELL_ROWS) & (F.col("h") > 0))).select(
+        "key", F.ceil(F.col("h") / CELL_HOMES).cast("int").alias("nh"), F.ceil(F.col("v") / CELL_ROWS).cast("int").alias("nv"))
+    nh, nv = F.coalesce("nh", F.lit(1)), F.coalesce("nv", F.lit(1))
+    i, j = F.pmod(F.xxhash64("fp"), nh).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), nv).cast("int")
+    column = F.transform(F.sequence(F.lit(0), nh - 1), lambda r: F.struct(
+        (r * nv + j).alias("salt"), (F.col("home") & (r == i)).alias("home")))
+    # the rest of a home's row; where its column crosses it, it is there already
+    row = F.transform(F.filter(F.sequence(F.lit(0), nv - 1), lambda c: F.col("home") & (c != j)),
+                      lambda c: F.struct((i * nv + c).alias("salt"), F.lit(True).alias("home")))
+    return rows.join(hot, "key", "left").select("key", "fp", F.explode(F.concat(column, row)).alias("c")) \
+               .select("key", F.col("c.salt").alias("salt"), "fp", F.col("c.home").alias("home"))
 
 
 # ---------------------------------------------------------------- links at an anchor
@@ -215,7 +222,7 @@ def _link_batches(limit: int):
             if not b.num_rows:
                 continue
             # key and salt in one number: equal neighbours are equal in both
-            key = b.column(0).to_numpy() * np.int64(1 << 20) + b.column(1).to_numpy()
+            key = b.column(0).to_numpy() * np.int64(1 << 30) + b.column(1).to_numpy()
             fp, home = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
             change = np.flatnonzero(key[1:] != key[:-1]) + 1
             held_key = held[-1][0][-1] if held else None
@@ -236,7 +243,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     that of all pairs within ``max_bits``."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two parts with covering radius 1 find links of at most three bits")
-    rows = salted(anchors(classes), classes.count())
+    rows = salted(anchors(classes))
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
     return dealt.mapInArrow(_link_batches(max_bits), "a long, b long")
 
@@ -288,6 +295,16 @@ def _of_fingerprints(fps: DataFrame, max_bits: int) -> DataFrame:
                                                      F.coalesce("cid", "rep").alias("component_id"))
 
 
+def _of_rows(fps: DataFrame, of: DataFrame) -> DataFrame:
+    """Every row with what ``of`` says of its fingerprint.  Fingerprints that may be
+    frequent (at most ``COUNTERS``, by a Misra-Gries summary) are joined on the map side."""
+    found = fps.freqItems(["fp"], max(1.0 / COUNTERS, 1e-4)).first()
+    often = list(found[0] or []) if found else []
+    is_often = F.col("fp").isin(often) if often else F.lit(False)
+    hot = fps.filter(is_often).join(F.broadcast(of.filter(is_often)), "fp")
+    return hot.unionByName(fps.filter(~is_often).join(of.filter(~is_often), "fp"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
@@ -298,7 +315,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives no rows; other columns are not read.
     """
     fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    return fps.join(_of_fingerprints(fps, max_bits), "fp").select(
+    return _of_rows(fps, stage(_of_fingerprints(fps, max_bits), "components")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -318,8 +318,10 @@ def test_links_keep_every_component_of_random_fingerprints(spark):
         frozenset(b for b in signed if want[b] == want[a]) for a in root}
 
 
-def test_large_runs_and_salts_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "HOT_LEAST", 8)
+@pytest.mark.parametrize("homes,most", [(8, 1 << 15), (8, 16), (1 << 12, 5)])
+def test_large_runs_and_cells_lose_no_link(spark, monkeypatch, homes, most):
+    monkeypatch.setattr(simhash_dedup, "CELL_HOMES", homes)
+    monkeypatch.setattr(simhash_dedup, "CELL_ROWS", most)
     rnd = random.Random(12)
     near = {0x5555} | {0x5555 ^ 1 << a ^ 1 << b for a in range(40) for b in range(a)}
     key, fp = np.zeros(len(near), dtype=np.int64), np.array(sorted(near), dtype=np.int64)
@@ -332,6 +334,33 @@ def test_large_runs_and_salts_lose_no_link(spark, monkeypatch):
     assert {v: got.get(v, v) for v in some} == want
 
 
+def test_cells_of_a_hot_anchor_are_bounded_and_meet_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CELL_HOMES", 16)
+    monkeypatch.setattr(simhash_dedup, "CELL_ROWS", 32)
+    rows_ = [(1, f, f % 3 > 0) for f in range(300)] + [(2, f, False) for f in range(200)] + [(3, f, True) for f in range(9)]
+    got = rows(simhash_dedup.salted(spark.createDataFrame(rows_, "key long, fp long, home boolean")))
+    cells = collections.defaultdict(list)
+    for r in got:
+        cells[r["key"], r["salt"]].append((r["fp"], r["home"]))
+    for key, all_ in ((1, 300), (3, 9)):
+        met = collections.Counter((a, b) for (k, _), c in cells.items() if k == key for a, h in c if h for b, _ in c if a != b)
+        own = [f for k, f, h in rows_ if k == key and h]
+        assert all(met[a, b] for a in own for b in range(all_) if a != b)
+    # homes of one row of the grid, and what comes to a column, with some spread
+    assert max(sum(h for _, h in c) for c in cells.values()) <= 32 and max(len(c) for (k, _), c in cells.items() if k == 1) <= 96
+    assert all(len({f for f, _ in c}) == len(c) for c in cells.values())
+    assert {s for k, s in cells if k == 3} == {0}
+
+
+def test_frequent_fingerprints_do_not_change_the_result(spark, monkeypatch):
+    rows_ = [(i, "the same few words here") for i in range(400)] + [(1000 + i, f"text number {i} stands alone {i * i}") for i in range(30)] + [(None, "the same few words here")]
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = sorted(map(str, rows(simhash_dedup.simhash_components(d))))
+    monkeypatch.setattr(simhash_dedup, "COUNTERS", 2)
+    assert sorted(map(str, rows(simhash_dedup.simhash_components(d)))) == got and len(got) == 431
+    assert sum("'component_id': 0}" in x for x in got) == 401
+
+
 def test_near_dedup_keeps_the_smallest_id_once(spark, odd):
     left = simhash_dedup.near_dedup(odd)
     assert left.columns == odd.columns
