@@ -6,8 +6,8 @@ size (all pieces, so the whole text); the difference of the two compressed
 sizes, divided by the size of the text, is the only feature, and a logistic
 curve fitted on other labelled rows turns it into a calibrated score.
 
-Fitting reads bounded samples: ``DICT_DOCS`` documents of each label (at most
-``PIECES`` pieces of each) for the dictionaries, ``CALIBRATION_DOCS`` others
+Fitting reads bounded samples: ``DICT_DOCS`` documents of each label (all their
+pieces) for the dictionaries, ``CALIBRATION_DOCS`` others
 for the curve, always those whose hashed ids are smallest.  What the driver
 gets is two dictionaries and that many pairs of numbers.  Every document is
 scored, in Arrow batches next to the data; nothing is shuffled for it.
@@ -27,7 +27,6 @@ from relmon.llm.common import stage, whole_text
 
 DICT_DOCS = 1500
 CALIBRATION_DOCS = 4000
-PIECES = 6
 PIECE = 2048
 DICT_BYTES = 112_640
 LEVEL = 3
@@ -134,9 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             out = []
             for i, part, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                ps = split(t)
-                step = max(1, -(-len(ps) // PIECES))
-                out += [{"part": part, "doc_id": str(i), "n": n, "p": p} for n, p in enumerate(ps[::step])]
+                out += [{"part": part, "doc_id": str(i), "n": n, "p": p} for n, p in enumerate(split(t))]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.string()), ("doc_id", pa.string()),
                                                              ("n", pa.int32()), ("p", pa.binary())]))
 
