@@ -1,4 +1,5 @@
 import collections
+import hashlib
 
 import corpus_pipeline as C
 import public_tokenizers
@@ -9,6 +10,10 @@ from relmon.llm.oracle import SQL
 from relmon.llm.queries import QUERIES
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_stages_against_brute_force(spark, sf):
     import re
 
@@ -36,8 +41,11 @@ def test_stages_against_brute_force(spark, sf):
     out = C.run(spark, sf).collect()
     assert collections.Counter(r.doc_id for r in out) == copies
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    for r in out[:50]:
-        assert r.n_tokens == len(lib.encode(left[r.doc_id], add_special_tokens=False).ids)
+    want = {}
+    for i, t in left.items():
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want[r.doc_id] for r in out)
 
 
 def test_stages_on_odd_rows_and_empty_tables(spark, odd, none, labels, tmp_path):
@@ -57,8 +65,9 @@ def test_oracle_queries(spark, sf):
 
     from tools.oracle_compare import rows_of
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
-    assert len(QUERIES) == 10
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     for name, sql in SQL.items():
         df = QUERIES[name](spark, sf)
         cur = con.execute(sql)
