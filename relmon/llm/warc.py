@@ -13,8 +13,8 @@ a member of the file itself: within a range they are jumped over, and what a
 later range takes for records inside a member that began before it is dropped
 by comparing each range's offsets with how far the ranges before it reached.
 
-The writer never moves a page's html for the sake of its duplicates: which page
-of equal payloads is the response is decided on narrow rows.  Files carry a name
+Which page of equal payloads is the response is decided on narrow rows; the html
+moves once at most, to meet that decision by id and digest.  Files carry a name
 of the task's attempt, and the manifest that Spark's own committer writes says
 which of them count, so a task that is lost and run again leaves no record twice.
 """
@@ -181,7 +181,7 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     again = revisits(pages, id_col, html_col, least).select(
         F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("first_id").alias("__first"))
     p = _payload(html_col)
-    # the digest is computed inside the join condition: pages without a revisit among them aren't hashed again
+    # hashed again beside the html: a page meets its decision by id and digest, so copies of a payload are no hot key
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), p.alias("html"), F.unhex(F.sha2(p, 256)).alias("digest"))
     rows = rows.join(again, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     rows = rows.select(F.col("id").cast("string").alias("id"), F.col("url").cast("string").alias("url"), "html",
