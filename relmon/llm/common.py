@@ -35,5 +35,4 @@ def whole_text(col: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none gives an empty array."""
-    flat = F.translate(text, SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")

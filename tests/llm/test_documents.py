@@ -465,6 +465,36 @@ def test_ratio_separates_junk_from_prose_and_is_the_formula(spark):
         assert got[i]["llr"] == pytest.approx(llr, abs=1e-9) and got[i]["kept"] == kept, i
 
 
+@pytest.fixture(scope="module")
+def many_trusted(spark):
+    """More than 20,000 trusted documents, and 300 others, of which 100 have no id."""
+    rnd = random.Random(3)
+    vocab = ["".join(rnd.choice("aeioulnrst") for _ in range(4)) for _ in range(500)]
+    texts = {i: " ".join(rnd.choices(vocab, k=24)) for i in range(20_700)} | {i: f"odd{i} " * 3 + " ".join(rnd.choices(vocab, k=20)) for i in range(20_700, 20_900)}
+    d = spark.createDataFrame([(i if i < 20_800 else None, t) for i, t in texts.items()], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i < 20_600), 0) for i in range(20_700)], "doc_id long, quality int, toxic int")
+    return texts, d, lab, brute_ratio(texts, range(20_600))
+
+
+def test_models_and_threshold_come_from_all_trusted_documents(many_trusted):
+    _, d, lab, want = many_trusted
+    assert quality_rules.trusted_ids(lab).count() == 20_600
+    got = rows(quality_rules.quality_report(d, lab))
+    assert len(got) == d.count() and sum(r["doc_id"] is None for r in got) == 100
+    for r in got:
+        if r["doc_id"] is not None:
+            llr, kept = want[r["doc_id"]]
+            assert r["llr"] == pytest.approx(llr, abs=1e-9) and r["kept"] == kept
+
+
+def test_low_quantile_is_the_percentile(spark):
+    for n, parts in ((1, 1), (2, 2), (1001, 3), (5003, 5), (60_000, 4)):
+        v = spark.range(0, n, numPartitions=parts).select((F.xxhash64("id") % 5000 / 7).alias("llr"))
+        for share in (0.001, 0.25, 1.0):
+            assert quality_rules._low_quantile(v, share) == v.agg(F.percentile("llr", F.lit(share))).first()[0]
+    assert quality_rules._low_quantile(v.limit(0), 0.001) is None
+
+
 def test_buckets_follow_the_corpus(spark, monkeypatch):
     d = spark.createDataFrame([(1, "word " * 1000), (2, None)], "doc_id long, text string")
     least, most = quality_rules.MIN_BUCKETS, quality_rules.MAX_BUCKETS
