@@ -508,3 +508,9 @@ def test_buckets_follow_the_corpus(spark, monkeypatch):
 def test_model_is_not_copied_into_rows(spark, odd, labels):
     plan = quality_rules.quality_filter(odd, labels)._jdf.queryExecution().executedPlan().toString()
     assert "array(CASE WHEN" in plan and "array(__m" not in plan
+
+
+def test_filter_takes_its_threshold_from_all_trusted_documents(many_trusted):
+    _, d, lab, want = many_trusted
+    kept = {r["doc_id"] for r in rows(quality_rules.quality_filter(d, lab))} - {None}
+    assert kept == {i for i, (_, k) in want.items() if k and i < 20_800}
