@@ -178,3 +178,34 @@ def test_sampling_methods(spark):
     r2 = sorted(r.k for r in sample_records(df, "random", 10, order_cols=["k"]).collect())
     assert r1 == r2 and len(r1) == 10
     assert sample_records(df, "latest", None, "ts").count() == 200
+
+
+def _plan(spark, df):
+    key = "spark.sql.debug.maxToStringFields"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+
+
+@pytest.mark.parametrize("layout", ["document", "lines"])
+def test_logs_are_parsed_once(spark, tmpdir_path, layout):
+    spark.createDataFrame([('{"order_key": "a"}',), ("nope",)], "value string").coalesce(1).write.text(f"{tmpdir_path}/logs")
+    logs = load_json_logs(spark, f"{tmpdir_path}/logs", layout=layout, pattern="part-*").filter(~F.col("parse_error"))
+    plan = _plan(spark, logs)
+    assert plan.count("parseJson(") == 1 and "schemaOfVariant" not in plan
+
+
+def test_only_objects_are_records(spark):
+    from relmon.sources.logs import _finish
+    raws = ['{"a": 1}', ' \t\r\n{"a": [1, {"b": null}]} ', "{}", "[]", '[{"a": 1}]', "1", "-2.5", "true", "null", '"{x}"', "", " ", "{", '{"a": 1',
+            '{"a": 1} x', "\ufeff{}", "\x0b{}", "\u00a0{}", "/* c */ {}", "{'a': 1}", "nope", None, '{"a": 1, "a": 2}']
+    d = spark.createDataFrame([("f", i, r) for i, r in enumerate(raws)], "source_file string, record_index long, raw string")
+    p = F.try_parse_json("raw")
+    plain = d.select(F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False)).alias("ok"), "record_index", F.to_json(p).alias("text"))
+    want = {r.record_index: (not r.ok, r.text if r.ok else None) for r in plain.collect()}
+    got = _finish(d).select("record_index", "parse_error", F.to_json("record").alias("text"), "record_keys").collect()
+    assert {r.record_index: (r.parse_error, r.text) for r in got} == want and len(got) == len(raws)
+    assert all((r.record_keys is None) == r.parse_error for r in got)
