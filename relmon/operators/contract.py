@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relmon.session import spread
+from relmon.session import ensure_jit, spread
 from relmon.sources.logs import iso_text
 from relmon.specs import Contract, FieldRule
 
@@ -125,7 +125,7 @@ def _variant_pytype(kind: Column) -> Column:
             .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
             .when(kind == "BOOLEAN", F.lit("bool"))
             # a JSON integer of more than 18 digits is parsed to a DECIMAL without scale
-            .when(kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), F.lit("int"))
+            .when(kind.endswith(",0)") & kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), F.lit("int"))
             .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), F.lit("float"))
             .when(kind.startswith("ARRAY"), F.lit("list"))
             .when(kind.startswith("OBJECT"), F.lit("dict"))
@@ -142,13 +142,11 @@ def _float_repr(plain: Column) -> Column:
         F.concat(plain, F.lit(".0")))
 
 
-def variant_field(v: Column, kind: Column) -> FieldView:
-    """Typed extractions are guarded by the runtime type already read from
+def variant_field(v: Column, pytype: Column, js: Column) -> FieldView:
+    """The view of a value, its type's name and its JSON text.  Typed extractions are guarded by the runtime type already read from
     the variant: a cast is only attempted where it succeeds (a failing
     ``try_variant_get`` goes through exception handling and is ~10x slower)."""
-    pytype = _variant_pytype(kind)
     num = pytype.isin("int", "float", "bool")
-    js = F.to_json(v)
     repr_ = (F.when(pytype == "bool", F.when(F.variant_get(v, "$", "boolean"), F.lit("True"))
                     .otherwise(F.lit("False")))
              .when(pytype == "float", _float_repr(js))
@@ -156,7 +154,7 @@ def variant_field(v: Column, kind: Column) -> FieldView:
              .otherwise(js))
     return FieldView(present=v.isNotNull(), is_null=F.is_variant_null(v), pytype=pytype,
                      text=F.when(pytype == "str", F.variant_get(v, "$", "string"))
-                     .when(pytype.isin("int", "float", "bool"), F.to_json(v)),
+                     .when(num, js),
                      number=F.when(num, F.try_variant_get(v, "$", "double")), repr=repr_)
 
 
@@ -460,13 +458,19 @@ def validate_variant(df: DataFrame, contract: Contract, record_col: str = "recor
 
 def _variant_views(df: DataFrame, contract: Contract, record_col: str, keys_col: str | None, tag: str):
     """The fields of a variant record as columns: (DataFrame, views, keys, name of a keys column made for it)."""
+    ensure_jit(df.sparkSession)
     rec = F.col(record_col)
     fields = contract.fields
     stage = df.select("*", *[F.variant_get(rec, _path(f.name), "variant").alias(f"_{tag}x{i}")
                              for i, f in enumerate(fields)])
     stage = stage.select("*", *[F.schema_of_variant(F.col(f"_{tag}x{i}")).alias(f"_{tag}k{i}")
                                 for i in range(len(fields))])
-    raw_views = {f.name: _trim_view(f, variant_field(F.col(f"_{tag}x{i}"), F.col(f"_{tag}k{i}")),
+    # the type's name and the JSON text (of other than strings, which no rule reads) are made once and read by the views
+    stage = stage.select(*_own(stage, tag), *[F.col(f"_{tag}x{i}") for i in range(len(fields))],
+                         *[_variant_pytype(F.col(f"_{tag}k{i}")).alias(f"_{tag}y{i}") for i in range(len(fields))])
+    stage = stage.select("*", *[F.when(F.col(f"_{tag}y{i}") != "str", F.to_json(f"_{tag}x{i}")).alias(f"_{tag}j{i}")
+                                for i in range(len(fields))])
+    raw_views = {f.name: _trim_view(f, variant_field(*[F.col(f"_{tag}{k}{i}") for k in "xyj"]),
                                     contract.coerce_types)
                  for i, f in enumerate(fields)}
     stage, views = _materialize_views(stage, raw_views, tag)
@@ -505,6 +509,7 @@ def validate_typed(df: DataFrame, contract: Contract, static_mismatch: str = "ta
     fields.  ``"row"`` reproduces one violation per row for them as well.
     """
     tag = "ct"
+    ensure_jit(df.sparkSession)
     df = spread(df, partitions)
     views: dict[str, FieldView] = {}
     rules = []

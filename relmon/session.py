@@ -49,6 +49,14 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def ensure_jit(spark: SparkSession) -> None:
+    """Stages whose fused code the JVM would only interpret run as per-operator
+    code (see ``DEFAULT_CONF``), also in a session that was built elsewhere."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key, "65535")) > int(DEFAULT_CONF[key]):
+        spark.conf.set(key, DEFAULT_CONF[key])
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (cluster setting)."""
     try:

@@ -209,3 +209,20 @@ def test_only_objects_are_records(spark):
     got = _finish(d).select("record_index", "parse_error", F.to_json("record").alias("text"), "record_keys").collect()
     assert {r.record_index: (r.parse_error, r.text) for r in got} == want and len(got) == len(raws)
     assert all((r.record_keys is None) == r.parse_error for r in got)
+
+
+def test_contract_stages_stay_within_the_jit_limit(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    was = spark.conf.get(key)
+    try:
+        for limit, kept in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, limit)
+            C.validate_variant(_records(spark, [BASE]), cdc_contract(), keys_col="record_keys")
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_type_name_and_json_text_are_made_once(spark):
+    plan = _plan(spark, C.validate_variant(_records(spark, [BASE]), cdc_contract(), keys_col="record_keys"))
+    assert plan.count("^DECIMAL") == len(cdc_contract().fields)
