@@ -3,8 +3,9 @@
 A JDBC read is cut by predicates, one part each.  Equal steps between the
 smallest and the largest key leave parts empty where keys are missing and
 overfull where they crowd; here the bounds are quantiles of the key column (one
-aggregate, a sketch of bounded size a task), so every part has about the same
-number of rows unless a single key value holds more.
+aggregate, a sketch of bounded size a task, and one that counts on both sides of
+each), so every part has about the same number of rows unless a single key value
+holds more.
 """
 
 from __future__ import annotations
@@ -18,12 +19,21 @@ ACCURACY = 100_000      # a bound is off by at most rows / ACCURACY ranks
 
 
 def quantile_bounds(df: DataFrame, column: str, parts: int) -> list:
-    """At most ``parts`` - 1 increasing values that cut the known values evenly."""
+    """At most ``parts`` - 1 increasing values that cut the known values evenly: the
+    rows of a quantile's value go to the side that leaves the cut nearer to its rank."""
     if parts < 2:
         return []
     probs = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(column, probs, ACCURACY)).first()[0] or []
-    return sorted(set(found))
+    if not found:
+        return []
+    key, kind = F.col(column), df.select(column).schema[0].dataType
+    sides = [F.struct(F.count(F.when(key < at, 1)).alias("below"), F.count(F.when(key <= at, 1)).alias("upto"),
+                      F.min(F.when(key > at, key)).alias("next")) for at in (F.lit(v).cast(kind) for v in found)]
+    n, *around = df.agg(F.count(column), *sides).first()
+    # a cut behind the value that another quantile makes anyhow isn't made twice
+    late = [x["next"] is not None and x["next"] not in found and x["upto"] - p * n < p * n - x["below"] for p, x in zip(probs, around)]
+    return sorted({x["next"] if after else v for v, x, after in zip(found, around, late)})
 
 
 def _literal(v) -> str:
@@ -52,7 +62,7 @@ def part_counts(df: DataFrame, predicates: list[str]) -> DataFrame:
 
 
 def read_in_parts(spark: SparkSession, spec: SourceSpec, column: str, parts: int) -> DataFrame:
-    """A JDBC source read by ``parts`` tasks at most.  The bounds come from one read
+    """A JDBC source read by ``parts`` tasks at most.  The bounds come from two reads
     of the key column alone; for other formats this is a plain read, which Spark cuts itself."""
     if spec.fmt != "jdbc":
         return spec.read(spark)

@@ -135,3 +135,18 @@ def test_drift_names_what_changed(spark):
     assert got == {("$.a", "BIGINT"): (1.0, 0.5, "SHARE"), ("$.a", "STRING"): (0.0, 0.5, "NEW_TYPE"), ("$.gone", "BOOLEAN"): (0.5, 0.0, "LOST_FIELD"),
                    ("$.gone", "VOID"): (0.5, 0.0, "LOST_FIELD"), ("$.b", "OBJECT"): (0.0, 0.5, "NEW_FIELD"), ("$.b.c", "BIGINT"): (0.0, 0.5, "NEW_FIELD")}
     assert J.type_drift(old, new, 0.6).collect() == []
+
+
+def test_part_bounds_cut_on_the_nearer_side_of_a_value(spark):
+    from relmon.sources.ranges import part_counts, quantile_bounds, range_predicates
+
+    def parts(counts, n):
+        d = spark.createDataFrame([(k,) for k, c in counts.items() for _ in range(c)], "k long")
+        preds = range_predicates(d, "k", n)
+        return quantile_bounds(d, "k", n), [r["rows"] for r in part_counts(d, preds).orderBy("part").collect()]
+    assert parts({1: 1, 2: 9, 3: 10}, 2) == ([3], [10, 10])                     # not 1 and 19
+    assert parts({1: 9, 2: 2, 3: 9}, 2) == ([2], [9, 11])                       # a tie stays in front
+    assert parts({1: 4, 2: 11, 3: 15}, 3) == ([2, 3], [4, 11, 15])              # the cut behind 2 is there
+    assert parts({1: 40}, 4)[1] == [0, 40]
+    assert parts({None: 3, 1: 1, 2: 9, 3: 10}, 2) == ([3], [13, 10])            # rows without a value go first
+    assert parts({None: 3}, 2) == ([], [3])
